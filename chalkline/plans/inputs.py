@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.questions import coerce_path
 from chalkline.plans import salt as S
-from chalkline.sources.tables import read_table
+from chalkline.sources.tables import read_table, spread
 
 
 def pick(choices, idx: Column) -> Column:
@@ -27,7 +27,7 @@ def salted(text: Column, ident: Column, phrases, sep: str = " ") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def content_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def language_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def _ts_seconds(conv: Column, turn: Column) -> Column:
@@ -59,7 +59,7 @@ def _ts_seconds(conv: Column, turn: Column) -> Column:
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One uploaded file per page: ``uploads/<page_id>/<name>`` holding the
     page's HTML bytes (the S2 shape: path, length, content)."""
-    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    p = spread(read_table(spark, sf_dir, "pages").select("page_id", "html"))
     name = pick(S.FILE_NAMES, F.col("page_id") % len(S.FILE_NAMES))
     content = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     return p.select("page_id", F.concat(F.lit("uploads/"), F.col("page_id").cast("string"), F.lit("/"), name)
@@ -98,17 +98,21 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests_with_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_upload_hash(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> DataFrame:
     """Requests with the SHA-256 of the uploaded file (T15), null when the
     path is missing or no such upload exists (the reference's unreadable
-    file). Equi-join on path; AQE broadcasts the hash side only when its
-    measured size is small."""
+    file). Equi-join on path; only (path, hash) crosses the shuffle, and
+    AQE broadcasts that side only when its measured size is small."""
     from chalkline.functions.keys import file_hash
-    r = requests(spark, sf_dir).withColumn("file_path", coerce_path(F.col("file")))
+    r = reqs.withColumn("file_path", coerce_path(F.col("file")))
     h = uploads(spark, sf_dir).select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("document_hash"))
     return r.join(h, on="file_path", how="left")
 
 
+def requests_with_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_upload_hash(spark, sf_dir, requests(spark, sf_dir))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated answers: assistant turns with an answer phrase in front."""
     c = conversations(spark, sf_dir).filter(F.col("role") == "assistant")

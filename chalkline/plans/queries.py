@@ -78,7 +78,8 @@ def question_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sessions.number_turns(I.requests_with_hash(spark, sf_dir))
+    # turns are numbered on the bare request log, before the upload-hash join
+    r = I.with_upload_hash(spark, sf_dir, sessions.number_turns(I.requests(spark, sf_dir)))
     r = (r.withColumn("intent", route_intent(F.col("turn") == 1, F.col("message"), F.col("content_source")))
          .withColumn("chapter_no", chapter_int(F.col("chapter"))))
     r = r.withColumn("cache_query", cache_query(F.col("intent"), F.col("message")))
@@ -128,7 +129,8 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request looked up in the index of answered requests."""
-    out = cache.cache_lookup(_routed(spark, sf_dir), _index(spark, sf_dir))
+    log = _log(spark, sf_dir)
+    out = cache.cache_lookup(log, cache.latest_entries(_entries(log)))
     return out.select("event_id", "key", "hit", "cached_text")
 
 
