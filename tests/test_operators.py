@@ -207,3 +207,35 @@ def test_templates(spark):
     info = spark.createDataFrame([("This chapter tells a story",)], "t string")
     r = info.select(helpful_response(identify_content_type(F.col("t")), F.lit("why?")).alias("x")).collect()[0].x
     assert r.startswith("Great! I can see this is a English textbook content. You asked: 'why?'\n\n")
+
+
+def test_resolve_content_golden(spark):
+    # FIXTURES J1: known chapter ok; unknown chapter missing; empty chapter text unreadable; chapter text of
+    # spaces ok; upload text of spaces unreadable; upload .docx unsupported; upload mode without file missing
+    reqs = spark.createDataFrame([
+        (1, "Math", "1", "Chapter", None), (2, "Math", "2", "Chapter", None), (3, "Hindi", "1", "Chapter", None),
+        (4, "Science", "1", "Chapter", None), (5, "Math", "1", "Upload PDF", "u/a.pdf"),
+        (6, "Math", "1", "Upload PDF", "u/f.docx"), (7, "Math", "1", "Upload PDF", None),
+        (8, "Math", "1", R.SOURCE_CAMERA, "u/a.pdf"), (9, "Math", "1", "Upload PDF", "u/gone.pdf"),
+        (10, "Math", "1", "Upload PDF", "u/b.pdf")],
+        "event_id long, subject string, chapter string, content_source string, file_path string")
+    catalog = spark.createDataFrame([("math", 1, "content/math/chapter1.pdf", "text"),
+                                     ("hindi", 1, "content/hindi/chapter1.pdf", ""),
+                                     ("science", 1, "content/science/chapter1.pdf", "   ")],
+                                    "subject string, chapter int, path string, text string")
+    uploads = spark.createDataFrame([("u/a.pdf", "   "), ("u/f.docx", "words"), ("u/b.pdf", "body")],
+                                    "path string, text string")
+    uploads = uploads.select("path", docs.py_strip(F.col("text")).alias("text"))
+    out = {r.event_id: (r.status, r.content, r.status_message)
+           for r in docs.resolve_content(reqs, catalog, uploads).collect()}
+    assert out[1][:2] == ("ok", "text")
+    assert out[2][0] == "missing" and out[2][2].startswith(R.NOT_FOUND_HEAD + "Content not found: content/math/chapter2.pdf")
+    assert out[3][0] == "unreadable" and out[3][2] == (R.UNREADABLE_HEAD + "PDF has no extractable text: "
+                                                        "content/hindi/chapter1.pdf. Consider using OCR for scanned documents.")
+    assert out[4][:2] == ("ok", "   ")
+    assert out[5][0] == "unreadable" and out[5][2] == R.UNREADABLE_HEAD + R.UPLOAD_NO_TEXT
+    assert out[6][0] == "unsupported" and out[6][2] == R.UNREADABLE_HEAD + "Unsupported file type: .docx. Please upload a .pdf"
+    assert out[7] == ("missing", "", R.NOT_FOUND_HEAD + R.NO_PDF_UPLOADED)
+    assert out[8][:2] == ("camera", "")
+    assert out[9][2] == R.NOT_FOUND_HEAD + "Uploaded file not found: u/gone.pdf"
+    assert out[10][:2] == ("ok", "body")
