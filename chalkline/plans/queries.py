@@ -24,6 +24,7 @@ from chalkline.functions.templates import helpful_response, help_reply, render_p
 from chalkline.operators import asof, cache, documents as docs, sessions
 from chalkline.plans import inputs as I
 from chalkline.plans import salt as S
+from chalkline.session import materialize
 from chalkline.sources.session_content import format_session_content, split_session_content
 from chalkline.sources.files import decode_text
 
@@ -102,14 +103,18 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nxt
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (_routed(spark, sf_dir).join(_replies(spark, sf_dir), ["session_id", "conv_turn"], "left")
-            .withColumn("response", F.coalesce(F.col("reply"), F.lit(""))))
+def _log(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    """The routed request log with each request's reply. When two branches
+    of one plan read it (``shared``), it is materialised once instead of
+    being derived twice."""
+    log = (_routed(spark, sf_dir).join(_replies(spark, sf_dir), ["session_id", "conv_turn"], "left")
+           .withColumn("response", F.coalesce(F.col("reply"), F.lit(""))))
+    return materialize(log) if shared else log
 
 
 def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log run through an empty cache."""
-    out = cache.cache_replay(_log(spark, sf_dir))
+    out = cache.cache_replay(_log(spark, sf_dir, shared=True))
     return out.select("event_id", "key", "hit", "served_text")
 
 
@@ -129,14 +134,14 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request looked up in the index of answered requests."""
-    log = _log(spark, sf_dir)
+    log = _log(spark, sf_dir, shared=True)
     out = cache.cache_lookup(log, cache.latest_entries(_entries(log)))
     return out.select("event_id", "key", "hit", "cached_text")
 
 
 def upsert_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after the early turns, merged with the later turns' entries."""
-    e = _entries(_log(spark, sf_dir))
+    e = _entries(_log(spark, sf_dir, shared=True))
     current = e.filter(F.col("conv_turn") < S.INDEX_CUTOFF_TURN)
     updates = e.filter(F.col("conv_turn") >= S.INDEX_CUTOFF_TURN)
     merged = cache.upsert_responses(current, updates)

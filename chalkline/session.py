@@ -53,3 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate that several branches of a plan
+    read: a reliable checkpoint into the cluster's checkpoint folder (never
+    a local checkpoint), so each branch reads stored rows and a lost
+    executor does not force recomputing the whole upstream."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
