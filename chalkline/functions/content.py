@@ -8,25 +8,47 @@ from pyspark.sql import functions as F
 from chalkline.functions import rules as R
 from chalkline.functions.textops import col_of, contains_any
 
+DEVANAGARI_CLASS = "[\\x{%04X}-\\x{%04X}]" % (R.DEVANAGARI_FIRST, R.DEVANAGARI_LAST)
+
 CONTENT_INFO_TYPE = ("struct<type:string,subject:string,has_questions:boolean,"
                      "has_exercises:boolean,confidence:double>")
 
 
+def _in_block(word: str) -> bool:
+    return all(R.DEVANAGARI_FIRST <= ord(ch) <= R.DEVANAGARI_LAST or ch == " " for ch in word)
+
+
+def _any_keyword(low: Column, words, has_devanagari: Column) -> Column:
+    """``any(w in low for w in words)``. Keywords written in the Devanagari
+    block can only occur in a text that has a Devanagari character, so they
+    are tested only there: most texts skip those full-text scans."""
+    latin = [w for w in words if w.isascii()]
+    indic = [w for w in words if not w.isascii()]
+    assert all(_in_block(w) for w in indic), indic
+    parts = []
+    if latin:
+        parts.append(contains_any(low, latin))
+    if indic:
+        parts.append(has_devanagari & contains_any(low, indic))
+    return parts[0] if len(parts) == 1 else (parts[0] | parts[1])
+
+
 def _content_type(text, subjects, homework, textbook, questions, exercises) -> Column:
     low = F.lower(F.coalesce(col_of(text), F.lit("")))
+    dev = low.rlike(DEVANAGARI_CLASS)
     subject = F.lit("unknown")
     for name, words in reversed(subjects):
-        subject = F.when(contains_any(low, words), F.lit(name)).otherwise(subject)
-    is_homework = contains_any(low, homework)
-    is_textbook = contains_any(low, textbook)
+        subject = F.when(_any_keyword(low, words, dev), F.lit(name)).otherwise(subject)
+    is_homework = _any_keyword(low, homework, dev)
+    is_textbook = _any_keyword(low, textbook, dev)
     kind = F.when(is_homework, "homework").when(is_textbook, "textbook").otherwise("general")
     confidence = (F.when(is_homework, F.lit(0.9))
                   .when(is_textbook, F.lit(0.8))
                   .when(subject != "unknown", F.lit(0.8))
                   .otherwise(F.lit(0.5)))
     return F.struct(kind.alias("type"), subject.alias("subject"),
-                    contains_any(low, questions).alias("has_questions"),
-                    contains_any(low, exercises).alias("has_exercises"),
+                    _any_keyword(low, questions, dev).alias("has_questions"),
+                    _any_keyword(low, exercises, dev).alias("has_exercises"),
                     confidence.alias("confidence"))
 
 
@@ -46,9 +68,6 @@ def identify_content_type_legacy(text) -> Column:
                          R.LEGACY_EXERCISE_INDICATORS)
 
 
-DEVANAGARI_CLASS = "[\\x{%04X}-\\x{%04X}]" % (R.DEVANAGARI_FIRST, R.DEVANAGARI_LAST)
-
-
 def devanagari_count(text) -> Column:
     t = F.coalesce(col_of(text), F.lit(""))
     return F.length(t) - F.length(F.regexp_replace(t, DEVANAGARI_CLASS, ""))
