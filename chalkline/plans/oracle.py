@@ -525,16 +525,17 @@ def q_admit_uploads() -> str:
             f"{strip('text')} = '' THEN {sql_str(R.NO_TEXT_UPLOAD_REPLY)} END AS reply FROM x")
 
 
-def q_resolve_content() -> str:
+def cte_resolved(source: str = "requests", base: str = "", with_uploads: bool = True) -> str:
+    """J1 over ``source`` (needs event_id, subject, chapter, content_source, file)."""
     up_text = strip(f"array_to_string(list_filter(string_split(regexp_replace(html, '\\r\\n?', chr(10), 'g'), {NL}), "
                     f"lambda x: x <> ''), {NL})")
     cat = (f"cat AS (SELECT {pick(S.CATALOG_SUBJECTS, 'doc_id % 6')} AS subject, CAST((doc_id // 6) * 2 + 1 AS INTEGER) "
            f"AS chapter, text FROM documents), cat2 AS (SELECT subject, chapter, 'content/' || subject || '/chapter' || "
            f"CAST(chapter AS VARCHAR) || '.pdf' AS path, text FROM cat)")
-    j = (f"j AS (SELECT r.event_id, r.subject, {route_source('r.content_source')} AS route, "
+    j = (f"j AS (SELECT r.*, {route_source('r.content_source')} AS route, "
          f"{coerce('r.file')} AS fp, lower(r.subject) AS cs, {chapter_int('r.chapter')} AS cc, "
          f"c.path AS chapter_path, c.text AS chapter_text, u.text AS upload_text, u.path IS NOT NULL AS up_exists "
-         f"FROM requests r LEFT JOIN cat2 c ON c.subject = lower(r.subject) AND c.chapter = {chapter_int('r.chapter')} "
+         f"FROM {source} r LEFT JOIN cat2 c ON c.subject = lower(r.subject) AND c.chapter = {chapter_int('r.chapter')} "
          f"LEFT JOIN up u ON u.path = {coerce('r.file')})")
     no_file = "(fp IS NULL OR fp = '')"
     status = (f"CASE WHEN route = 'camera' THEN 'camera' WHEN route = 'upload' AND ({no_file} OR NOT up_exists) "
@@ -555,9 +556,16 @@ def q_resolve_content() -> str:
               f"|| {sql_str(R.CHAPTER_NO_TEXT_TAIL)} END")
     msg = (f"CASE WHEN status = 'missing' THEN {sql_str(R.NOT_FOUND_HEAD)} || detail WHEN status IN "
            f"('unreadable', 'unsupported') THEN {sql_str(R.UNREADABLE_HEAD)} || detail END")
-    return (f"WITH {cte_requests()}, {cte_uploads()}, up AS (SELECT path, {up_text} AS text FROM uploads), {cat}, {j}, "
-            f"s AS (SELECT *, {status} AS status FROM j), t AS (SELECT *, {content} AS content, {detail} AS detail FROM s) "
-            f"SELECT event_id, route, status, sha256(content) AS content_sha, {msg} AS status_message FROM t")
+    uploads = cte_uploads() + ", " if with_uploads else ""
+    return (f"{base}{uploads}up AS (SELECT path, {up_text} AS text FROM uploads), {cat}, {j}, "
+            f"s AS (SELECT *, {status} AS status FROM j), t AS (SELECT *, {content} AS content, {detail} AS detail FROM s), "
+            f"resolved AS (SELECT *, {msg} AS status_message FROM t)")
+
+
+def q_resolve_content() -> str:
+    return (f"WITH {cte_resolved(base=cte_requests() + ', ')} "
+            f"SELECT event_id, route, status, sha256(content) AS content_sha, status_message FROM resolved")
+
 
 
 def info_repr(ci: dict) -> str:
@@ -603,10 +611,12 @@ def q_tool_replies() -> str:
             f"END AS reply FROM x")
 
 
-def q_prompts() -> str:
-    values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "''",
-              "student_query": "cache_query", "student_question": "cache_query", "document_text": "''"}
+def task_sql() -> str:
+    return (f"CASE WHEN content_source = {CAM} THEN 'document_analysis_task' WHEN intent = 'greeting' THEN "
+            f"'teaching_task' WHEN intent = 'smart_first_response' THEN 'smart_response_task' ELSE 'follow_up_task' END")
 
+
+def render_sql(values: dict, task: str = "task") -> str:
     def render(template):
         parts = []
         for p in template_parts(template):
@@ -615,11 +625,37 @@ def q_prompts() -> str:
             elif p:
                 parts.append(sql_str(p))
         return " || ".join(parts)
-    case = "CASE " + " ".join(f"WHEN task = {sql_str(n)} THEN {render(t)}" for n, t in TASK_TEMPLATES.items()) + " END"
-    task = (f"CASE WHEN content_source = {CAM} THEN 'document_analysis_task' WHEN intent = 'greeting' THEN "
-            f"'teaching_task' WHEN intent = 'smart_first_response' THEN 'smart_response_task' ELSE 'follow_up_task' END")
-    return (f"WITH {cte_routed()}, x AS (SELECT *, {task} AS task FROM routed), y AS (SELECT event_id, task, {case} AS p "
-            f"FROM x) SELECT event_id, task, sha256(p) AS prompt_sha, CAST(length(p) AS INTEGER) AS prompt_chars FROM y")
+    return "CASE " + " ".join(f"WHEN {task} = {sql_str(n)} THEN {render(t)}" for n, t in TASK_TEMPLATES.items()) + " END"
+
+
+def q_prompts() -> str:
+    values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "''",
+              "student_query": "cache_query", "student_question": "cache_query", "document_text": "''"}
+    return (f"WITH {cte_routed()}, x AS (SELECT *, {task_sql()} AS task FROM routed), y AS (SELECT event_id, task, "
+            f"{render_sql(values)} AS p FROM x) SELECT event_id, task, sha256(p) AS prompt_sha, "
+            f"CAST(length(p) AS INTEGER) AS prompt_chars FROM y")
+
+
+def q_answer_worklist() -> str:
+    missing = "(file_path IS NULL OR file_path = '')"
+    prompt = (f"CASE WHEN content_source = {CAM} AND {missing} AND intent = 'greeting' THEN "
+              f"{sql_str(R.CAMERA_PROMPT_GREETING)} WHEN content_source = {CAM} AND {missing} THEN "
+              f"{sql_str(R.CAMERA_PROMPT_QUESTION)} WHEN content_source = {sql_str(R.SOURCE_UPLOAD)} AND {missing} "
+              f"THEN {sql_str(R.NOT_FOUND_HEAD + R.NO_PDF_UPLOADED)} END")
+    values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "content",
+              "student_query": "cache_query", "student_question": "cache_query", "document_text": "''"}
+    early = (f"early_idx AS (SELECT key, text FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version "
+             f"DESC) AS rn FROM entries WHERE conv_turn < {S.INDEX_CUTOFF_TURN}) WHERE rn = 1)")
+    looked = ("looked AS (SELECT r.*, e.key IS NOT NULL AS hit, e.text AS cached_text FROM routed r "
+              "LEFT JOIN early_idx e ON r.key = e.key)")
+    w = (f"w AS (SELECT *, coalesce({prompt}, status_message) AS reply0, {task_sql()} AS task0 FROM resolved), "
+         f"w2 AS (SELECT *, CASE WHEN hit AND coalesce(cached_text <> '', false) THEN 'synthesize_audio' "
+         f"WHEN hit THEN 'serve' WHEN reply0 IS NOT NULL THEN 'reply_status' ELSE 'generate' END AS action FROM w)")
+    return (f"WITH {cte_routed()}, {early}, {looked}, "
+            f"{cte_resolved(source='looked', with_uploads=False)}, {w} "
+            f"SELECT event_id, hit, action, status, CASE WHEN action = 'reply_status' THEN reply0 END AS reply, "
+            f"CASE WHEN action = 'generate' THEN task0 END AS task, CASE WHEN action = 'generate' THEN "
+            f"sha256({render_sql(values, 'task0')}) END AS prompt_sha FROM w2")
 
 
 ORACLES = {
@@ -654,4 +690,5 @@ ORACLES = {
     "helpful_responses": q_helpful_responses(),
     "tool_replies": q_tool_replies(),
     "prompts": q_prompts(),
+    "answer_worklist": q_answer_worklist(),
 }

@@ -357,6 +357,46 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length(render_prompt(task, values)).alias("prompt_chars"))
 
 
+def _task(intent, source):
+    t = (F.when(intent == "greeting", F.lit("teaching_task"))
+         .when(intent == "smart_first_response", F.lit("smart_response_task"))
+         .otherwise(F.lit("follow_up_task")))
+    return F.when(source == R.SOURCE_CAMERA, F.lit("document_analysis_task")).otherwise(t)
+
+
+def answer_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request flow end to end (route, look up, then serve, synthesise,
+    reply with a status, or generate): every request of the log against the
+    index of the early turns' answers.
+
+    Hits with text but no audio go to speech synthesis (T17); misses are
+    resolved to their content (J1): a missing upload prompt (P10) or a
+    content problem (T19) is answered directly, everything else becomes a
+    prompt row (T13) for offline generation."""
+    log = _log(spark, sf_dir, shared=True)
+    early = _entries(log).filter(F.col("conv_turn") < S.INDEX_CUTOFF_TURN)
+    looked = cache.cache_lookup(log, cache.latest_entries(early))
+    up = I.uploads(spark, sf_dir)
+    up_text = up.select("path", py_strip_text(decode_text(F.col("content"))["text"]).alias("text"))
+    resolved = docs.resolve_content(looked, I.content_catalog(spark, sf_dir), up_text)
+    prompt = upload_prompt(F.col("intent"), F.col("content_source"), F.col("file_path"))
+    reply = F.coalesce(prompt, F.col("status_message"))
+    task = _task(F.col("intent"), F.col("content_source"))
+    values = {"subject": F.col("subject"), "chapter_number": F.col("chapter_no").cast("string"),
+              "chapter_content": F.col("content"), "student_query": F.col("cache_query"),
+              "student_question": F.col("cache_query"), "document_text": F.lit("")}
+    action = (F.when(F.col("hit") & needs_audio(F.col("cached_text"), F.lit(None).cast("string")),
+                     F.lit("synthesize_audio"))
+              .when(F.col("hit"), F.lit("serve"))
+              .when(reply.isNotNull(), F.lit("reply_status"))
+              .otherwise(F.lit("generate")))
+    return resolved.select(
+        "event_id", "hit", action.alias("action"), "status",
+        F.when(action == "reply_status", reply).alias("reply"),
+        F.when(action == "generate", task).alias("task"),
+        F.when(action == "generate", F.sha2(render_prompt(task, values), 256)).alias("prompt_sha"))
+
+
 QUERIES = {
     "document_profile": document_profile,
     "content_type": content_type,
@@ -389,4 +429,5 @@ QUERIES = {
     "helpful_responses": helpful_responses,
     "tool_replies": tool_replies,
     "prompts": prompts,
+    "answer_worklist": answer_worklist,
 }
