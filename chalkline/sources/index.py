@@ -31,12 +31,15 @@ def load_response_index(spark: SparkSession, path: str, version: int = 0) -> Dat
 
 
 def write_response_index(df: DataFrame, base: str, version: int) -> str:
-    """Write an index snapshot into a new versioned directory (never
-    over a path that may be being read). Rows are clustered by key so
-    point lookups can skip row groups."""
+    """Write an index snapshot into its own versioned directory (never
+    over a version that readers use: readers take the latest version per
+    key, and a version only becomes visible once its job commits). A retry
+    of the same version rewrites the same directory, so the write is
+    idempotent. Rows are clustered by key so point lookups can skip row
+    groups."""
     out = f"{base.rstrip('/')}/version={int(version)}"
     (df.select("key", "text", "audio_path", "meta").repartitionByRange("key").sortWithinPartitions("key")
-     .write.mode("errorifexists").parquet(out))
+     .write.mode("overwrite").parquet(out))
     return out
 
 
