@@ -249,18 +249,24 @@ def number_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.number_turns(r).select("session_id", "event_id", "turn")
 
 
+HISTORY_CHUNK_TURNS = 50
+
+
 def upgrade_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored histories, legacy pairs in even sessions, records in odd ones."""
-    t = _turns(spark, sf_dir)
+    """Stored histories, legacy pairs in even sessions, records in odd
+    ones. Histories are stored in chunks of at most 50 turns, so no
+    session's history is gathered into one value."""
+    t = _turns(spark, sf_dir).withColumn("chunk", ((F.col("turn") - 1) / HISTORY_CHUNK_TURNS).cast("int"))
     pair = F.array(F.col("user"), F.col("teacher"))
     rec = F.struct("user", "teacher", "audio")
-    hist = (t.groupBy("session_id")
+    hist = (t.groupBy("session_id", "chunk")
             .agg(F.array_sort(F.collect_list(F.struct("turn", pair.alias("p"), rec.alias("r")))).alias("h")))
     js = F.when(F.col("session_id") % 2 == 0, F.to_json(F.transform("h", lambda x: x["p"]))) \
         .otherwise(F.to_json(F.transform("h", lambda x: x["r"])))
-    up = hist.select("session_id", sessions.upgrade_history(js).alias("history"))
-    return up.select("session_id", F.posexplode("history").alias("pos", "entry")).select(
-        "session_id", (F.col("pos") + 1).alias("turn"), "entry.user", "entry.teacher", "entry.audio")
+    up = hist.select("session_id", "chunk", sessions.upgrade_history(js).alias("history"))
+    return up.select("session_id", "chunk", F.posexplode("history").alias("pos", "entry")).select(
+        "session_id", (F.col("chunk") * HISTORY_CHUNK_TURNS + F.col("pos") + 1).alias("turn"),
+        "entry.user", "entry.teacher", "entry.audio")
 
 
 # --------------------------------------------------------------------------- pages and uploads

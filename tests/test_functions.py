@@ -160,3 +160,64 @@ def test_speech_text_legacy(spark):
     got = one_col(spark, ["Intro\n> one", "a – b", "(keep) it"],
                   lambda c: speech_text(c, variant="legacy", preserve_parentheses=True))
     assert got == ["Intro. one", "a – b", "(keep) it"]
+
+
+def test_coerce_path(spark):
+    from chalkline.functions.questions import coerce_path, coerce_path_list
+    df = spark.createDataFrame([(("p", "n", "o"),), (("", "n", "o"),), ((None, "", "o"),), ((None, None, ""),), (None,)],
+                               "f struct<path:string,name:string,orig_name:string>")
+    assert [r.x for r in df.select(coerce_path("f").alias("x")).collect()] == ["p", "n", "o", "", None]
+    lst = spark.createDataFrame([([("", "n", "o"), ("p2", "", "")],)],
+                                "f array<struct<path:string,name:string,orig_name:string>>")
+    assert lst.select(coerce_path_list("f").alias("x")).collect()[0].x == "n"
+
+
+def test_small_predicates(spark):
+    from chalkline.functions.questions import has_enough_text, has_tool_marker, route_source
+    assert one_col(spark, ["x record_unknown_question", "RECORD_UNKNOWN_QUESTION", None], has_tool_marker) == \
+        [True, True, False]
+    assert one_col(spark, ["RECORD_UNKNOWN_QUESTION"], lambda c: has_tool_marker(c, case_insensitive=False)) == [False]
+    assert one_col(spark, ["a" * 51, " " + "a" * 50 + " ", None, ""], has_enough_text) == [True, False, False, False]
+    assert one_col(spark, ["Upload PDF", R.SOURCE_CAMERA, "Chapter", "other", None], route_source) == \
+        ["upload", "camera", "chapter", "chapter", "chapter"]
+
+
+def test_upload_prompt_and_tool_replies(spark):
+    from chalkline.functions.questions import tool_reply, upload_prompt
+    df = spark.createDataFrame([("greeting", R.SOURCE_CAMERA, None), ("follow_up", R.SOURCE_CAMERA, ""),
+                                ("greeting", "Upload PDF", None), ("greeting", "Chapter", None),
+                                ("greeting", R.SOURCE_CAMERA, "a.png")], "i string, s string, p string")
+    got = [r.x for r in df.select(upload_prompt("i", "s", "p").alias("x")).collect()]
+    assert got == [R.CAMERA_PROMPT_GREETING, R.CAMERA_PROMPT_QUESTION, R.NOT_FOUND_HEAD + R.NO_PDF_UPLOADED, None, None]
+    t = spark.createDataFrame([("unknown_question", "Math"), ("user_details", "Math")], "k string, s string")
+    assert [r.x for r in t.select(tool_reply("k", "s").alias("x")).collect()] == [
+        "That's an interesting thought! But let's focus on Math. What would you like to learn today?",
+        "Thank you for sharing your details! Let's continue learning."]
+
+
+def test_default_response(spark):
+    from chalkline.functions.responses import default_response
+    rows = [("greeting", "", "Math", None), ("greeting", "x record_unknown_question", "Math", None),
+            ("smart_first_response", "see RECORD_UNKNOWN_QUESTION", "Math", "word list"),
+            ("follow_up", "", "Math", "q"), ("camera_first", "", "Math", None), ("camera_follow_up", "", "Math", None),
+            ("follow_up", "fine answer here", "Math", "q")]
+    df = spark.createDataFrame(rows, "f string, c string, s string, q string")
+    got = [r.x for r in df.select(default_response("f", "c", "s", "q").alias("x")).collect()]
+    greet = R.GREETING_DEFAULT_HEAD + "Math" + R.GREETING_DEFAULT_TAIL
+    assert got == [greet, greet, R.VOCAB_REPLY, R.CLARIFY_DEFAULT, R.CAMERA_EMPTY_DEFAULT, R.CLARIFY_DEFAULT,
+                   "fine answer here"]
+
+
+def test_help_reply_and_file_hash(spark):
+    import hashlib
+    from chalkline.functions.keys import file_hash
+    from chalkline.functions.templates import help_reply
+    df = spark.createDataFrame([("  ", True), ("define atom", False), ("define atom", True), ("ok", True)],
+                               "q string, d boolean")
+    got = [r.x for r in df.select(help_reply("q", "d").alias("x")).collect()]
+    assert got[0] == R.BLANK_DOCUMENT_QUESTION_REPLY and got[1] == R.NO_DOCUMENT_REPLY
+    assert got[2] == R.HELP_TEMPLATES["terms"][0] + "define atom" + R.HELP_TEMPLATES["terms"][1]
+    assert got[3] == R.HELP_TEMPLATES["general"][0] + "ok" + R.HELP_TEMPLATES["general"][1]
+    b = spark.createDataFrame([(b"%PDF-1.4 abc",), (None,)], "c binary")
+    assert [r.h for r in b.select(file_hash("c").alias("h")).collect()] == \
+        [hashlib.sha256(b"%PDF-1.4 abc").hexdigest(), None]
