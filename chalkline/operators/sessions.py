@@ -123,14 +123,22 @@ def transcript_lines(turns: DataFrame, session: str = "session_id") -> DataFrame
             .select(session, "turn", (F.col("pos") + 1).alias("line_no"), "line"))
 
 
-def render_transcript(turns: DataFrame, session: str = "session_id") -> DataFrame:
+TRANSCRIPT_PAGE_TURNS = 100
+
+
+def render_transcript(turns: DataFrame, session: str = "session_id",
+                      page_turns: int = TRANSCRIPT_PAGE_TURNS) -> DataFrame:
     """A2: the markdown transcript of each session; every line (not every
-    turn) is separated by a horizontal rule. One output string per session
-    is the operator's result, so each session's blocks meet in one task."""
-    blocks = turns.select(session, "turn", transcript_block(F.col("turn"), F.col("user"), F.col("teacher"))
-                          .alias("block"))
+    turn) is separated by a horizontal rule.
+
+    Rendered in pages of at most ``page_turns`` turns, one row per
+    (session, page): no session is gathered into one task whatever its
+    length, and joining a session's pages in page order with the same
+    separator gives its whole transcript."""
+    blocks = turns.select(session, "turn", ((F.col("turn") - 1) / page_turns).cast("int").alias("page"),
+                          transcript_block(F.col("turn"), F.col("user"), F.col("teacher")).alias("block"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "block")))
-    return (blocks.groupBy(session)
+    return (blocks.groupBy(session, "page")
             .agg(F.count(F.lit(1)).alias("n_turns"),
                  F.array_join(F.transform(ordered, lambda s: s["block"]), R.TRANSCRIPT_SEPARATOR)
                  .alias("transcript")))

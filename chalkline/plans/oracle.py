@@ -411,8 +411,8 @@ def q_render_transcript() -> str:
     sep = sql_str(R.TRANSCRIPT_SEPARATOR)
     block = (f"{sql_str(R.TRANSCRIPT_TURN_HEAD)} || CAST(turn AS VARCHAR) || {sep} || {sql_str(R.TRANSCRIPT_USER_HEAD)} "
              f"|| coalesce(\"user\", '') || {sep} || {sql_str(R.TRANSCRIPT_TEACHER_HEAD)} || coalesce(teacher, '')")
-    return (f"WITH {cte_routed()} SELECT session_id, count(*) AS n_turns, string_agg({block}, {sep} ORDER BY turn) "
-            f"AS transcript FROM turns GROUP BY session_id")
+    return (f"WITH {cte_routed()} SELECT session_id, CAST((turn - 1) // 100 AS INTEGER) AS page, count(*) AS n_turns, "
+            f"string_agg({block}, {sep} ORDER BY turn) AS transcript FROM turns GROUP BY session_id, (turn - 1) // 100")
 
 
 def q_transcript_lines() -> str:

@@ -239,3 +239,12 @@ def test_resolve_content_golden(spark):
     assert out[8][:2] == ("camera", "")
     assert out[9][2] == R.NOT_FOUND_HEAD + "Uploaded file not found: u/gone.pdf"
     assert out[10][:2] == ("ok", "body")
+
+
+def test_transcript_pages_join_to_whole(spark):
+    rows = [(1, t, f"u{t}", f"t{t}") for t in range(1, 8)]
+    turns = spark.createDataFrame(rows, "session_id long, turn int, user string, teacher string")
+    whole = sessions.render_transcript(turns).collect()[0].transcript
+    pages = sorted(sessions.render_transcript(turns, page_turns=3).collect(), key=lambda r: r.page)
+    assert [r.n_turns for r in pages] == [3, 3, 1]
+    assert R.TRANSCRIPT_SEPARATOR.join(r.transcript for r in pages) == whole
