@@ -3,7 +3,7 @@ resolution (A1, A4, W2, W4, U3, P2, J1, T19)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions import rules as R
@@ -70,10 +70,16 @@ def pick_ocr_array(candidates) -> Column:
 
 
 def truncate_at_failure(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keep the pages before a document's first failed page."""
-    w = Window.partitionBy(key).orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (pages.withColumn("_seen_failure", F.max(F.col("failed").cast("int")).over(w))
-            .filter(F.col("_seen_failure") == 0).drop("_seen_failure"))
+    """Keep the pages before a document's first failed page.
+
+    The first failure is a per-document minimum over the failed pages only
+    (partial aggregation), joined back to the pages: no window runs over a
+    whole document, however many pages it has."""
+    first_failure = (pages.filter(F.col("failed")).groupBy(key)
+                     .agg(F.min("page_no").alias("_first_failure")))
+    return (pages.join(first_failure, key, "left")
+            .filter(F.col("_first_failure").isNull() | (F.col("page_no") < F.col("_first_failure")))
+            .drop("_first_failure"))
 
 
 def ocr_text(ocr_pages: DataFrame, candidates: DataFrame, key: str = "doc_id") -> DataFrame:
