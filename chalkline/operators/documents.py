@@ -54,7 +54,8 @@ def pick_ocr_text(candidates: DataFrame, keys=("doc_id", "page_no")) -> DataFram
     rank = F.struct(F.when(preferred, 0).otherwise(1).alias("a"),
                     F.when(preferred, F.col("pos")).otherwise(-F.length("text")).alias("b"),
                     F.col("pos").alias("c"))
-    return candidates.groupBy(*keys).agg(F.min_by(F.col("text"), rank).alias("text"))
+    best = candidates.groupBy(*keys).agg(F.min_by(F.struct("lang", "text"), rank).alias("_best"))
+    return best.select(*keys, F.col("_best.lang").alias("lang"), F.col("_best.text").alias("text"))
 
 
 def pick_ocr_array(candidates) -> Column:
@@ -85,7 +86,7 @@ def truncate_at_failure(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 def ocr_text(ocr_pages: DataFrame, candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     """OCR extraction of whole documents: W2 per page, pages with no
     candidate read as '', W4 truncation, then A1 ``ocr`` assembly."""
-    picked = pick_ocr_text(candidates, (key, "page_no"))
+    picked = pick_ocr_text(candidates, (key, "page_no")).drop("lang")
     pages = (ocr_pages.join(picked, [key, "page_no"], "left")
              .withColumn("text", F.coalesce(F.col("text"), F.lit(""))))
     return assemble_pages(truncate_at_failure(pages, key), "ocr", key)

@@ -144,20 +144,21 @@ def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OCR candidates per page (hindi, english, combined), stripped; blank
-    candidates and failed languages are absent, as in the rules.
-
-    ``failed`` marks a page whose OCR raised (W4)."""
+    """OCR candidates per page, each a reading of the whole line: ``hindi``
+    keeps what is not a Latin letter, ``english`` what is ASCII, ``combined``
+    the whole line (its language fails on every fourth page). Candidates are
+    stripped; blank ones and failed languages are absent, as in the rules."""
     from chalkline.functions.textops import py_strip
     d = documents(spark, sf_dir)
     lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line")
     p = d.select("doc_id", lines).select("doc_id", (F.col("pos") + 1).alias("page_no"), "line")
-    doc, page = F.col("doc_id"), F.col("page_no")
-    hindi = F.substring(F.col("line"), 1, ((doc * 7 + page * 3) % 41).cast("int"))
-    combined = F.when(((doc + page) % 4) != 0, F.substring(F.col("line"), 1, ((doc * 5 + page) % 31).cast("int")))
+    doc, page, line = F.col("doc_id"), F.col("page_no"), F.col("line")
+    hindi = F.regexp_replace(line, "[A-Za-z]", "")
+    english = F.regexp_replace(line, "[^\\x00-\\x7F]", "")
+    combined = F.when(((doc + page) % 4) != 0, line)
     cands = F.array(
         F.struct(F.lit(0).alias("pos"), F.lit("hindi").alias("lang"), py_strip(hindi).alias("text")),
-        F.struct(F.lit(1).alias("pos"), F.lit("english").alias("lang"), py_strip(F.col("line")).alias("text")),
+        F.struct(F.lit(1).alias("pos"), F.lit("english").alias("lang"), py_strip(english).alias("text")),
         F.struct(F.lit(2).alias("pos"), F.lit("combined").alias("lang"), py_strip(combined).alias("text")))
     out = (p.select("doc_id", "page_no", (((doc * 3 + page) % 29) == 0).alias("failed"),
                     F.explode(cands).alias("c"))

@@ -224,17 +224,18 @@ def cte_lines() -> str:
 def cte_candidates() -> str:
     def cand(pos, lang, expr):
         return f"{{'pos': {pos}, 'lang': '{lang}', 'text': {strip(expr)}}}"
-    hindi = "substring(line, 1, CAST((doc_id * 7 + page_no * 3) % 41 AS INTEGER))"
-    combined = "CASE WHEN (doc_id + page_no) % 4 <> 0 THEN substring(line, 1, CAST((doc_id * 5 + page_no) % 31 AS INTEGER)) END"
+    hindi = "regexp_replace(line, '[A-Za-z]', '', 'g')"
+    english = "regexp_replace(line, '[^\\x00-\\x7F]', '', 'g')"
+    combined = "CASE WHEN (doc_id + page_no) % 4 <> 0 THEN line END"
     return (f"cands AS (SELECT doc_id, page_no, failed, c.pos AS pos, c.lang AS lang, c.text AS text FROM "
             f"(SELECT doc_id, page_no, ((doc_id * 3 + page_no) % 29) = 0 AS failed, "
-            f"unnest([{cand(0, 'hindi', hindi)}, {cand(1, 'english', 'line')}, {cand(2, 'combined', combined)}]) AS c "
+            f"unnest([{cand(0, 'hindi', hindi)}, {cand(1, 'english', english)}, {cand(2, 'combined', combined)}]) AS c "
             f"FROM lines) WHERE c.text IS NOT NULL AND c.text <> '')")
 
 
 def cte_picked() -> str:
     pref = "(lang IN ('hindi', 'combined') AND length(text) > 20)"
-    return (f"picked AS (SELECT doc_id, page_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no "
+    return (f"picked AS (SELECT doc_id, page_no, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no "
             f"ORDER BY CASE WHEN {pref} THEN 0 ELSE 1 END, CASE WHEN {pref} THEN pos ELSE -length(text) END, pos) AS rn "
             f"FROM cands) WHERE rn = 1)")
 
@@ -489,7 +490,7 @@ def q_assemble_pages() -> str:
 
 
 def q_pick_ocr_text() -> str:
-    return f"WITH {cte_lines()}, {cte_candidates()}, {cte_picked()} SELECT doc_id, page_no, text FROM picked"
+    return f"WITH {cte_lines()}, {cte_candidates()}, {cte_picked()} SELECT doc_id, page_no, lang, text FROM picked"
 
 
 def cte_ocr_pages() -> str:

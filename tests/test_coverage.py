@@ -24,6 +24,7 @@ def _values(spark, q, col):
     ("cache_replay", "hit", {True, False}),
     ("cache_lookup", "hit", {True, False}),
     ("extraction_choice", "method", {"regular", "ocr"}),
+    ("pick_ocr_text", "lang", {"hindi", "english", "combined"}),
     ("resolve_content", "status", {"camera", "missing", "ok", "unsupported"}),
     ("quick_actions", "accepted", {True, False}),
     ("prompts", "task", {"teaching_task", "smart_response_task", "follow_up_task", "document_analysis_task"}),
