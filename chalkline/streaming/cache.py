@@ -1,11 +1,14 @@
 """ST2: the response cache over a stream of routed requests.
 
 Each micro-batch (``foreachBatch``) is resolved against the index as of
-the previous batch (J2), duplicate keys inside the batch resolve by W3,
-and the batch's new entries are written as index version ``batch_id``
-(U1 on read: the latest version of a key wins). Output and index writes
-are keyed by the batch id, so a retried batch rewrites the same
-directories and the result is the same: the sink is idempotent.
+the previous batch (J2); duplicate keys inside the batch resolve by W3;
+the batch's new entries are written as the delta ``version=<batch_id>``.
+Every ``compact_every`` batches the latest entry per key is written as a
+snapshot, so a batch reads one snapshot plus the few deltas after it (the
+delta range is a partition filter) however long the stream has run.
+
+All writes are named by the batch id and overwrite, so a retried batch
+rewrites the same directories and the result is the same.
 """
 
 from __future__ import annotations
@@ -18,21 +21,51 @@ from pyspark.sql.utils import AnalysisException
 
 from chalkline.operators.cache import cache_replay, latest_entries
 
+COMPACT_EVERY = 20
+
+
+def _snapshot_before(batch_id: int, every: int) -> int | None:
+    """Id of the last snapshot written before ``batch_id`` (written after
+    batches ``every-1``, ``2*every-1``, ...)."""
+    s = (batch_id // every) * every - 1
+    return s if s >= 0 else None
 
-def _read_index(spark, index_dir: str, before_batch: int) -> DataFrame | None:
+
+def _read(spark, path: str) -> DataFrame | None:
     try:
-        allv = spark.read.parquet(index_dir)
+        return spark.read.parquet(path)
     except AnalysisException:
         return None
-    prior = allv.filter(F.col("version") < before_batch)
-    return latest_entries(prior.select("key", "text", "audio_path", F.lit(None).cast("string").alias("meta"),
-                                       F.col("version").cast("long").alias("version")))
 
 
-def process_batch(batch: DataFrame, batch_id: int, index_dir: str, out_dir: str) -> None:
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("key", "text", "audio_path", F.lit(None).cast("string").alias("meta"),
+                     F.col("version").cast("long").alias("version"))
+
+
+def read_index_before(spark, index_dir: str, batch_id: int, every: int = COMPACT_EVERY) -> DataFrame | None:
+    """The index as of the end of batch ``batch_id - 1``."""
+    snap_id = _snapshot_before(batch_id, every)
+    parts = []
+    if snap_id is not None:
+        snap = _read(spark, os.path.join(index_dir, "snapshots", f"upto={snap_id}"))
+        if snap is not None:
+            parts.append(_entries(snap))
+    deltas = _read(spark, os.path.join(index_dir, "deltas"))
+    if deltas is not None:
+        low = -1 if snap_id is None else snap_id
+        parts.append(_entries(deltas.filter((F.col("version") > low) & (F.col("version") < batch_id))))
+    if not parts:
+        return None
+    allv = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return latest_entries(allv)
+
+
+def process_batch(batch: DataFrame, batch_id: int, index_dir: str, out_dir: str,
+                  every: int = COMPACT_EVERY) -> None:
     """Resolve one micro-batch of requests (key, ts, event_id, response)."""
     spark = batch.sparkSession
-    idx = _read_index(spark, index_dir, batch_id)
+    idx = read_index_before(spark, index_dir, batch_id, every)
     replay = cache_replay(batch)     # hit within the batch, served text of the batch's first occurrence
     if idx is not None:
         cached = idx.select("key", F.col("text").alias("_indexed"))
@@ -44,13 +77,18 @@ def process_batch(batch: DataFrame, batch_id: int, index_dir: str, out_dir: str)
     served.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
     new_entries = (replay.filter(~F.col("hit")).select("key", F.col("served_text").alias("text"),
                                                        F.lit(None).cast("string").alias("audio_path")))
-    new_entries.write.mode("overwrite").parquet(os.path.join(index_dir, f"version={batch_id}"))
+    new_entries.write.mode("overwrite").parquet(os.path.join(index_dir, "deltas", f"version={batch_id}"))
+    if (batch_id + 1) % every == 0:
+        snap = read_index_before(spark, index_dir, batch_id + 1, every)
+        (snap.select("key", "text", "audio_path", "version").write.mode("overwrite")
+         .parquet(os.path.join(index_dir, "snapshots", f"upto={batch_id}")))
 
 
-def stream_cache(requests: DataFrame, index_dir: str, out_dir: str, checkpoint: str, trigger_once: bool = True):
+def stream_cache(requests: DataFrame, index_dir: str, out_dir: str, checkpoint: str, trigger_once: bool = True,
+                 every: int = COMPACT_EVERY):
     """Start the ST2 query; returns the StreamingQuery."""
     writer = (requests.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: process_batch(df, bid, index_dir, out_dir)))
+              .foreachBatch(lambda df, bid: process_batch(df, bid, index_dir, out_dir, every)))
     if trigger_once:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -69,14 +69,16 @@ def test_stream_current_document_equals_batch(spark, n_files):
     assert sorted(got.select("event_id", "doc_event_id", "doc_path").collect()) == sorted(want.collect())
 
 
-def test_stream_cache_equals_batch_replay(spark):
+@pytest.mark.parametrize("every", [20, 2])
+def test_stream_cache_equals_batch_replay(spark, every):
     log = Q._log(spark, SF001).select("key", "ts", "event_id", "response", "conv_turn")
     root = tempfile.mkdtemp(prefix="st2-")
     src = os.path.join(root, "in")
     _write_files(log, src, "conv_turn", 0)
     stream = (spark.readStream.schema(log.schema).option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", 1).parquet(src))
-    q = stream_cache(stream, os.path.join(root, "index"), os.path.join(root, "out"), os.path.join(root, "ck"))
+    q = stream_cache(stream, os.path.join(root, "index"), os.path.join(root, "out"), os.path.join(root, "ck"),
+                     every=every)
     q.awaitTermination()
     got = spark.read.parquet(os.path.join(root, "out")).select("event_id", "key", "hit", "served_text")
     want = cache.cache_replay(Q._log(spark, SF001)).select("event_id", "key", "hit", "served_text")
