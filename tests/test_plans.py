@@ -32,7 +32,7 @@ def test_request_filter_pushed_to_scan(spark):
                                   "upsert_responses"])
 def test_partition_count_independent(spark, name):
     results = []
-    for n in (1, 37):
+    for n in (1, 200):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         results.append(sorted(QUERIES[name](spark, SF001).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
