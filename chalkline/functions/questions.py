@@ -123,16 +123,36 @@ def cache_query(intent, msg) -> Column:
     return F.when(col_of(intent) == R.INTENT_GREETING, F.lit("")).otherwise(normalized)
 
 
-def upload_prompt(intent, source, path) -> Column:
-    """P10: the reply a request gets when its mode needs a file and has none."""
+def upload_prompt(intent, source, path, file=None) -> Column:
+    """P10: the reply a request gets when its mode needs a file and has none.
+
+    Camera mode: with no file at all, a greeting or first question gets its
+    own upload prompt; a follow-up whose file gives no path gets the question
+    prompt. When ``file`` (the raw record) is given, a greeting or first
+    question whose record gives no path gets the plain document prompt.
+    Upload mode without a file is a not-found reply."""
     src, p, it = col_of(source), col_of(path), col_of(intent)
     missing = p.isNull() | (p == "")
+    raw_missing = missing if file is None else col_of(file).isNull()
     camera = src == R.SOURCE_CAMERA
-    return (F.when(camera & missing & (it == R.INTENT_GREETING), F.lit(R.CAMERA_PROMPT_GREETING))
-            .when(camera & missing, F.lit(R.CAMERA_PROMPT_QUESTION))
+    follow = it == R.INTENT_FOLLOW_UP
+    return (F.when(camera & follow & missing, F.lit(R.CAMERA_PROMPT_QUESTION))
+            .when(camera & raw_missing & (it == R.INTENT_GREETING), F.lit(R.CAMERA_PROMPT_GREETING))
+            .when(camera & raw_missing, F.lit(R.CAMERA_PROMPT_QUESTION))
+            .when(camera & missing, F.lit(R.CAMERA_PROMPT_PLAIN))
             .when((src == R.SOURCE_UPLOAD) & missing, F.lit(R.NOT_FOUND_HEAD + R.NO_PDF_UPLOADED)))
 
 
+def error_reply(flow) -> Column:
+    """The reply of a flow that failed unexpectedly; ``upload_tool`` is the
+    upload tool's own error reply."""
+    fl = col_of(flow)
+    out = F.when(fl == "upload_tool", F.lit(R.UPLOAD_ERROR_REPLY))
+    for name, text in R.GENERIC_ERROR_REPLIES.items():
+        out = out.when(fl == name, F.lit(text))
+    return out
+
+
 def tool_reply(kind, subject) -> Column:
     """Fixed reply of the off-topic and user-details tools."""
     k = col_of(kind)

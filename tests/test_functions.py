@@ -221,3 +221,16 @@ def test_help_reply_and_file_hash(spark):
     b = spark.createDataFrame([(b"%PDF-1.4 abc",), (None,)], "c binary")
     assert [r.h for r in b.select(file_hash("c").alias("h")).collect()] == \
         [hashlib.sha256(b"%PDF-1.4 abc").hexdigest(), None]
+
+
+def test_upload_prompt_with_raw_record(spark):
+    from chalkline.functions.questions import error_reply, upload_prompt
+    rows = [("greeting", R.SOURCE_CAMERA, None, None), ("greeting", R.SOURCE_CAMERA, None, (None, None, None)),
+            ("smart_first_response", R.SOURCE_CAMERA, None, (None, None, None)),
+            ("follow_up", R.SOURCE_CAMERA, None, (None, None, None)), ("greeting", R.SOURCE_CAMERA, "a.png", ("a.png", "", ""))]
+    df = spark.createDataFrame(rows, "i string, s string, p string, f struct<path:string,name:string,orig_name:string>")
+    got = [r.x for r in df.select(upload_prompt("i", "s", "p", F.col("f")).alias("x")).collect()]
+    assert got == [R.CAMERA_PROMPT_GREETING, R.CAMERA_PROMPT_PLAIN, R.CAMERA_PROMPT_PLAIN, R.CAMERA_PROMPT_QUESTION, None]
+    e = spark.createDataFrame([("greeting",), ("follow_up",), ("upload_tool",), ("other",)], "f string")
+    assert [r.x for r in e.select(error_reply("f").alias("x")).collect()] == [
+        R.GENERIC_ERROR_REPLIES["greeting"], R.GENERIC_ERROR_REPLIES["follow_up"], R.UPLOAD_ERROR_REPLY, None]
