@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chalkline.functions.questions import cache_query, chapter_int, route_intent
+from chalkline.functions.keys import cache_key
+from chalkline.functions.questions import cache_query, chapter_int, coerce_path, route_intent
 
-CARRIED = ["subject", "chapter", "content_source", "message"]
+CARRIED = ["subject", "chapter", "content_source", "message", "file_path"]
 TURN_OUTPUT = ("session_id long, event_id long, turn int, subject string, chapter string, "
-               "content_source string, message string")
+               "content_source string, message string, file_path string")
 TURN_STATE = "turns long"
 
 
@@ -42,17 +43,29 @@ def _number(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 def stream_number_turns(requests: DataFrame) -> DataFrame:
     """ST1 state: the position of every request in its session (the state
     per session is one counter)."""
+    if "file_path" not in requests.columns:
+        requests = requests.withColumn(
+            "file_path", coerce_path(F.col("file")) if "file" in requests.columns else F.lit(None).cast("string"))
     return (requests.select("session_id", "ts", "event_id", *CARRIED).groupBy("session_id")
             .applyInPandasWithState(_number, TURN_OUTPUT, TURN_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
-def stream_route_intent(requests: DataFrame) -> DataFrame:
+def stream_route_intent(requests: DataFrame, upload_hashes: DataFrame | None = None) -> DataFrame:
     """ST1: W1 + P9 over a stream of requests; equals the batch routing
-    when each session's requests arrive in order."""
+    when each session's requests arrive in order.
+
+    With ``upload_hashes`` (a static table of file_path, document_hash) the
+    stream is joined to it (stream-static, no state) and gets its cache key
+    (T14), so it can feed the streaming cache (ST2)."""
     r = stream_number_turns(requests)
-    return (r.withColumn("intent", route_intent(F.col("turn") == 1, F.col("message"), F.col("content_source")))
-            .withColumn("chapter_no", chapter_int(F.col("chapter")))
-            .withColumn("cache_query", cache_query(F.col("intent"), F.col("message"))))
+    r = (r.withColumn("intent", route_intent(F.col("turn") == 1, F.col("message"), F.col("content_source")))
+         .withColumn("chapter_no", chapter_int(F.col("chapter")))
+         .withColumn("cache_query", cache_query(F.col("intent"), F.col("message"))))
+    if upload_hashes is None:
+        return r
+    r = r.join(upload_hashes.select("file_path", "document_hash"), "file_path", "left")
+    return r.withColumn("key", cache_key(F.col("intent"), F.col("subject"), F.col("chapter_no"),
+                                         F.col("content_source"), F.col("cache_query"), F.col("document_hash")))
 
 
 DOC_OUTPUT = "session_id long, event_id long, doc_event_id long, doc_path string"

@@ -38,15 +38,17 @@ def _run_to_memory(spark, sdf, name, ckpt):
 @pytest.mark.parametrize("n_files", [1, 0])
 def test_stream_route_equals_batch(spark, n_files):
     reqs = I.requests(spark, SF001).select("session_id", "ts", "event_id", "subject", "chapter",
-                                           "content_source", "message", "conv_turn")
+                                           "content_source", "message", "conv_turn", "file")
     root = tempfile.mkdtemp(prefix="st1-")
     src = os.path.join(root, "in")
     _write_files(reqs, src, "conv_turn", n_files)
     stream = (spark.readStream.schema(reqs.schema).option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", 1).parquet(src))
-    got = _run_to_memory(spark, stream_route_intent(stream), f"st1_{n_files}", os.path.join(root, "ck"))
+    hashes = (I.uploads(spark, SF001).select(F.col("path").alias("file_path"),
+                                             F.sha2(F.col("content"), 256).alias("document_hash")))
+    got = _run_to_memory(spark, stream_route_intent(stream, hashes), f"st1_{n_files}", os.path.join(root, "ck"))
     want = Q.route_requests(spark, SF001)
-    cols = ["event_id", "turn", "intent", "chapter_no", "cache_query"]
+    cols = ["event_id", "turn", "intent", "chapter_no", "cache_query", "document_hash", "key"]
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
 
 
