@@ -505,16 +505,45 @@ def q_truncate_at_failure() -> str:
             f"FROM kept GROUP BY doc_id")
 
 
-def q_extraction_choice() -> str:
+def cte_extraction() -> str:
     ocr_page = (f"{sql_str(R.OCR_PAGE_HEAD)} || CAST(k.page_no AS VARCHAR) || {sql_str(R.OCR_PAGE_TAIL)} || "
                 f"coalesce(p.text, '') || {NL}")
-    return (f"WITH {cte_pages()}, {cte_candidates()}, {cte_picked()}, {cte_ocr_pages()}, "
+    return (f"{cte_pages()}, {cte_candidates()}, {cte_picked()}, {cte_ocr_pages()}, "
             f"reg AS (SELECT doc_id, {regular_agg()} AS regular_text FROM pages GROUP BY doc_id), "
             f"ocr AS (SELECT k.doc_id, {strip('string_agg(' + ocr_page + ', ' + sql_str('') + ' ORDER BY k.page_no)')} "
-            f"AS text FROM kept k LEFT JOIN picked p ON p.doc_id = k.doc_id AND p.page_no = k.page_no GROUP BY k.doc_id) "
-            f"SELECT reg.doc_id, CASE WHEN length({strip('regular_text')}) > 50 THEN 'regular' ELSE 'ocr' END AS method, "
-            f"CASE WHEN length({strip('regular_text')}) > 50 THEN regular_text ELSE coalesce(ocr.text, '') END AS text "
-            f"FROM reg LEFT JOIN ocr USING (doc_id)")
+            f"AS text FROM kept k LEFT JOIN picked p ON p.doc_id = k.doc_id AND p.page_no = k.page_no GROUP BY k.doc_id), "
+            f"extracted AS (SELECT reg.doc_id, CASE WHEN length({strip('regular_text')}) > 50 THEN 'regular' "
+            f"ELSE 'ocr' END AS method, CASE WHEN length({strip('regular_text')}) > 50 THEN regular_text "
+            f"ELSE coalesce(ocr.text, '') END AS text FROM reg LEFT JOIN ocr USING (doc_id))")
+
+
+def q_extraction_choice() -> str:
+    return f"WITH {cte_extraction()} SELECT doc_id, method, text FROM extracted"
+
+
+def helpful_sql(subject: str, kind: str, hq: str, q: str) -> str:
+    subj = (f"CASE WHEN {subject} <> 'unknown' THEN 'a ' || upper(substring({subject}, 1, 1)) || "
+            f"substring({subject}, 2) || ' ' ELSE '' END")
+    kind_ = (f"CASE WHEN {kind} = 'homework' THEN {sql_str(R.HELPFUL_TYPE_PHRASES['homework'])} WHEN {kind} = "
+             f"'textbook' THEN {sql_str(R.HELPFUL_TYPE_PHRASES['textbook'])} ELSE {sql_str(R.HELPFUL_OTHER_TYPE_PHRASE)} END")
+    asked = (f"CASE WHEN {q} IS NOT NULL AND {q} <> '' THEN {sql_str(R.HELPFUL_ASKED_HEAD)} || {q} || "
+             f"{sql_str(R.HELPFUL_ASKED_TAIL)} ELSE '' END")
+    note = f"CASE WHEN {hq} THEN {sql_str(R.HELPFUL_QUESTIONS_NOTE)} ELSE '' END"
+    return (f"{sql_str(R.HELPFUL_HEAD)} || ({subj}) || ({kind_}) || ({asked}) || {sql_str(R.HELPFUL_OFFER)} || "
+            f"({note}) || {sql_str(R.HELPFUL_CLOSING)}")
+
+
+def q_document_intake() -> str:
+    ci = content_info("text")
+    q = f"CASE WHEN doc_id % 2 = 0 THEN {pick(S.QUESTION_PHRASES, 'doc_id % 10')} END"
+    stored = f"{sql_str(R.SESSION_CONTENT_HEAD)} || {info_repr(ci)} || {NL} || {NL} || text"
+    return (f"WITH {cte_extraction()}, x AS (SELECT doc_id, method, text, {blank('text')} AS is_blank, "
+            f"{ci['type']} AS type, {ci['subject']} AS subject, {ci['has_questions']} AS hq, {q} AS q, "
+            f"sha256({stored}) AS stored_sha FROM extracted) "
+            f"SELECT doc_id, method, CASE WHEN NOT is_blank THEN type END AS type, "
+            f"CASE WHEN NOT is_blank THEN subject END AS subject, CASE WHEN is_blank THEN "
+            f"{sql_str(R.NO_TEXT_UPLOAD_REPLY)} ELSE {helpful_sql('subject', 'type', 'hq', 'q')} END AS reply, "
+            f"CASE WHEN NOT is_blank THEN stored_sha END AS stored_sha FROM x")
 
 
 def q_admit_uploads() -> str:
@@ -692,4 +721,5 @@ ORACLES = {
     "tool_replies": q_tool_replies(),
     "prompts": q_prompts(),
     "answer_worklist": q_answer_worklist(),
+    "document_intake": q_document_intake(),
 }

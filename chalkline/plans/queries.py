@@ -20,6 +20,7 @@ from chalkline.functions.questions import (cache_query, chapter_int, coerce_path
                                            tool_reply, upload_prompt)
 from chalkline.functions.responses import clean_response, default_response
 from chalkline.functions.speech import speech_text
+from chalkline.functions.textops import is_blank
 from chalkline.functions.templates import helpful_response, help_reply, render_prompt
 from chalkline.operators import asof, cache, documents as docs, sessions
 from chalkline.plans import inputs as I
@@ -403,6 +404,25 @@ def answer_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(action == "generate", F.sha2(render_prompt(task, values), 256)).alias("prompt_sha"))
 
 
+def document_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uploaded-document flow: text extraction (U3 with W2, W4, A1), then
+    a no-text reply (T19), or the content info (T4), the helpful reply (T8)
+    and the stored session text (S6)."""
+    ext = docs.extraction_choice(I.pages_text(spark, sf_dir), I.ocr_pages(spark, sf_dir),
+                                 I.ocr_candidates(spark, sf_dir))
+    q = F.when(F.col("doc_id") % 2 == 0, I.pick(S.QUESTION_PHRASES, F.col("doc_id") % 10))
+    info = identify_content_type(F.col("text"))
+    blank = is_blank(F.col("text"))
+    x = ext.select("doc_id", "method", "text", info.alias("ci"), q.alias("question"), blank.alias("blank"))
+    return x.select(
+        "doc_id", "method",
+        F.when(~F.col("blank"), F.col("ci.type")).alias("type"),
+        F.when(~F.col("blank"), F.col("ci.subject")).alias("subject"),
+        F.when(F.col("blank"), F.lit(R.NO_TEXT_UPLOAD_REPLY))
+        .otherwise(helpful_response(F.col("ci"), F.col("question"))).alias("reply"),
+        F.when(~F.col("blank"), F.sha2(format_session_content(F.col("ci"), F.col("text")), 256)).alias("stored_sha"))
+
+
 QUERIES = {
     "document_profile": document_profile,
     "content_type": content_type,
@@ -436,4 +456,5 @@ QUERIES = {
     "tool_replies": tool_replies,
     "prompts": prompts,
     "answer_worklist": answer_worklist,
+    "document_intake": document_intake,
 }

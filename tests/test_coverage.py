@@ -25,6 +25,8 @@ def _values(spark, q, col):
     ("cache_lookup", "hit", {True, False}),
     ("extraction_choice", "method", {"regular", "ocr"}),
     ("pick_ocr_text", "lang", {"hindi", "english", "combined"}),
+    ("document_intake", "method", {"regular", "ocr"}),
+    ("answer_worklist", "action", {"synthesize_audio", "reply_status", "generate"}),
     ("resolve_content", "status", {"camera", "missing", "ok", "unsupported"}),
     ("quick_actions", "accepted", {True, False}),
     ("prompts", "task", {"teaching_task", "smart_response_task", "follow_up_task", "document_analysis_task"}),
@@ -42,3 +44,8 @@ def test_documents_and_replay_arms(spark):
     assert rp.filter(F.col("replay_text") == "").count() > 0 and rp.filter(F.col("replay_text") != "").count() > 0
     ca = QUERIES["clean_answers"](spark, SF01)
     assert ca.filter("has_marker").count() > 0 and ca.filter("reply != cleaned").count() > 0
+
+
+def test_document_intake_no_text_arm(spark):
+    out = QUERIES["document_intake"](spark, SF01)
+    assert out.filter(F.col("type").isNull()).count() > 0 and out.filter(F.col("type").isNotNull()).count() > 0
