@@ -240,7 +240,6 @@ SESSION_CONTENT_HEAD = "CONTENT_TYPE: "
 DEFAULT_AUDIO_SUFFIX = ".mp3"
 OCR_PAGE_HEAD = "\n--- Page "
 OCR_PAGE_TAIL = " ---\n"
-OCR_CANDIDATE_ORDER = ["hindi", "english", "combined"]
 OCR_MIN_PREFERRED_LENGTH = 20       # a hindi/combined candidate must be longer than this
 REGULAR_TEXT_MIN_LENGTH = 50        # regular extraction is used when longer than this
 

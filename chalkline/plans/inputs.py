@@ -109,9 +109,6 @@ def with_upload_hash(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> DataF
     return r.join(h, on="file_path", how="left")
 
 
-def requests_with_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_upload_hash(spark, sf_dir, requests(spark, sf_dir))
-
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated answers: assistant turns with an answer phrase in front."""

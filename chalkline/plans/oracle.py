@@ -535,15 +535,16 @@ def helpful_sql(subject: str, kind: str, hq: str, q: str) -> str:
 
 def q_document_intake() -> str:
     ci = content_info("text")
-    q = f"CASE WHEN doc_id % 2 = 0 THEN {pick(S.QUESTION_PHRASES, 'doc_id % 10')} END"
+    q = (f"CASE WHEN doc_id % 2 = 0 THEN {pick(S.QUESTION_PHRASES, 'doc_id % 10')} WHEN doc_id % 4 = 1 THEN "
+         f"{pick(S.ERROR_PHRASES, f'(doc_id // 4) % {len(S.ERROR_PHRASES)}')} END")
     stored = f"{sql_str(R.SESSION_CONTENT_HEAD)} || {info_repr(ci)} || {NL} || {NL} || text"
     return (f"WITH {cte_extraction()}, x AS (SELECT doc_id, method, text, {blank('text')} AS is_blank, "
             f"{ci['type']} AS type, {ci['subject']} AS subject, {ci['has_questions']} AS hq, {q} AS q, "
             f"sha256({stored}) AS stored_sha FROM extracted) "
             f"SELECT doc_id, method, CASE WHEN NOT is_blank THEN type END AS type, "
-            f"CASE WHEN NOT is_blank THEN subject END AS subject, CASE WHEN is_blank THEN "
-            f"{sql_str(R.NO_TEXT_UPLOAD_REPLY)} ELSE {helpful_sql('subject', 'type', 'hq', 'q')} END AS reply, "
-            f"CASE WHEN NOT is_blank THEN stored_sha END AS stored_sha FROM x")
+            f"CASE WHEN NOT is_blank THEN subject END AS subject, reply, {tool_error('reply')} AS reply_is_error, "
+            f"CASE WHEN NOT is_blank THEN stored_sha END AS stored_sha FROM (SELECT *, CASE WHEN is_blank THEN "
+            f"{sql_str(R.NO_TEXT_UPLOAD_REPLY)} ELSE {helpful_sql('subject', 'type', 'hq', 'q')} END AS reply FROM x)")
 
 
 def q_admit_uploads() -> str:

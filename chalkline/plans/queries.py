@@ -410,16 +410,21 @@ def document_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     and the stored session text (S6)."""
     ext = docs.extraction_choice(I.pages_text(spark, sf_dir), I.ocr_pages(spark, sf_dir),
                                  I.ocr_candidates(spark, sf_dir))
-    q = F.when(F.col("doc_id") % 2 == 0, I.pick(S.QUESTION_PHRASES, F.col("doc_id") % 10))
+    doc = F.col("doc_id")
+    q = (F.when(doc % 2 == 0, I.pick(S.QUESTION_PHRASES, doc % 10))
+         .when(doc % 4 == 1, I.pick(S.ERROR_PHRASES, (doc / 4).cast("long") % len(S.ERROR_PHRASES))))
     info = identify_content_type(F.col("text"))
     blank = is_blank(F.col("text"))
     x = ext.select("doc_id", "method", "text", info.alias("ci"), q.alias("question"), blank.alias("blank"))
+    reply = (F.when(F.col("blank"), F.lit(R.NO_TEXT_UPLOAD_REPLY))
+             .otherwise(helpful_response(F.col("ci"), F.col("question"))))
     return x.select(
         "doc_id", "method",
         F.when(~F.col("blank"), F.col("ci.type")).alias("type"),
         F.when(~F.col("blank"), F.col("ci.subject")).alias("subject"),
-        F.when(F.col("blank"), F.lit(R.NO_TEXT_UPLOAD_REPLY))
-        .otherwise(helpful_response(F.col("ci"), F.col("question"))).alias("reply"),
+        reply.alias("reply"),
+        # P4 on the tool's reply: an echoed question holding a marker reads as an error
+        is_tool_error(reply).alias("reply_is_error"),
         F.when(~F.col("blank"), F.sha2(format_session_content(F.col("ci"), F.col("text")), 256)).alias("stored_sha"))
 
 

@@ -7,6 +7,8 @@ every list keeps an empty phrase so raw text is exercised too.
 
 from __future__ import annotations
 
+from chalkline.functions.rules import SOURCE_CAMERA, SOURCE_CHAPTER, SOURCE_UPLOAD, SUBJECTS
+
 CONTENT_PHRASES = ["algebra homework", "This chapter tells a story", "physics experiment", "ancient rulers",
                    "river and mountain", "हिंदी भाषा", "नदी और पर्वत", "कविता और भाषा",
                    "Complete the exercise?", ""]
@@ -18,9 +20,9 @@ SPEECH_PHRASES = ["**Bold** (aside)\n", "1. Add\n", "Note: be kind\n", "Note: do
                   "English meaning: tree\n", ""]
 LANGUAGE_PHRASES = ["नमस्ते नमस्ते नमस्ते", "क abc", "क ab", "१२३", "।।।", ""]
 ERROR_PHRASES = ["I can only help with PDF files", "Please upload a file", "please upload", ""]
-SUBJECT_CHOICES = ["Hindi", "Math", "Science", "English", "Social Studies"]
+SUBJECT_CHOICES = list(SUBJECTS)
 CHAPTER_CHOICES = ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "x", None]
-SOURCE_CHOICES = ["Chapter", "Upload PDF", "Camera Document (📱 NEW!)"]
+SOURCE_CHOICES = [SOURCE_CHAPTER, SOURCE_UPLOAD, SOURCE_CAMERA]
 FILE_NAMES = ["a.pdf", "b.JPG", "c.jpeg", "d.png", "e.bmp", "f.docx", "noext", ".pdf", "g.tar.pdf"]
 ACTION_CODES = ["explain", "solve", "words", "draw"]
 CATALOG_SUBJECTS = ["hindi", "math", "science", "english", "social studies", "geography"]

@@ -26,6 +26,7 @@ def _values(spark, q, col):
     ("extraction_choice", "method", {"regular", "ocr"}),
     ("pick_ocr_text", "lang", {"hindi", "english", "combined"}),
     ("document_intake", "method", {"regular", "ocr"}),
+    ("document_intake", "reply_is_error", {True, False}),
     ("answer_worklist", "action", {"synthesize_audio", "reply_status", "generate"}),
     ("resolve_content", "status", {"camera", "missing", "ok", "unsupported"}),
     ("quick_actions", "accepted", {True, False}),
