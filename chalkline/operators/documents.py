@@ -141,6 +141,13 @@ def resolve_content(requests: DataFrame, catalog: DataFrame, upload_texts: DataF
     r = (requests.withColumn("route", route_source(F.col("content_source")))
          .withColumn("_cat_subject", F.lower(F.col("subject")))
          .withColumn("_cat_chapter", chapter_int(F.col("chapter"))))
+    # Only the chapters and uploads that requests name cross the join's shuffle: the catalog and the
+    # upload texts are first semi-joined to the distinct requested keys (a small set, which Spark's size
+    # check broadcasts, so the filter runs before any shuffle of the texts).
+    cat_keys = r.filter(F.col("route") == "chapter").select("_cat_subject", "_cat_chapter").distinct()
+    up_keys = r.filter(F.col("route") == "upload").select("file_path").where(F.col("file_path").isNotNull()).distinct()
+    cat = cat.join(cat_keys, ["_cat_subject", "_cat_chapter"], "left_semi")
+    up = up.join(up_keys, "file_path", "left_semi")
     joined = (r.join(cat, ["_cat_subject", "_cat_chapter"], "left")
               .join(up, "file_path", "left"))
     fp = F.col("file_path")
