@@ -105,7 +105,12 @@ def with_upload_hash(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> DataF
     AQE broadcasts that side only when its measured size is small."""
     from chalkline.functions.keys import file_hash
     r = reqs.withColumn("file_path", coerce_path(F.col("file")))
-    h = uploads(spark, sf_dir).select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("document_hash"))
+    # only uploads that some request names are read and hashed: a semi-join on the distinct
+    # requested paths (taken from a narrow scan of the request log) runs before the hashing
+    named = (requests(spark, sf_dir).select(coerce_path(F.col("file")).alias("path"))
+             .where(F.col("path").isNotNull()).distinct())
+    up = uploads(spark, sf_dir).join(named, "path", "left_semi")
+    h = up.select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("document_hash"))
     return r.join(h, on="file_path", how="left")
 
 
