@@ -48,8 +48,11 @@ def language_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.concat(lead, F.coalesce(F.col("text"), F.lit(""))).alias("text")))
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+def conversations(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    """Conversation rows; ``wide`` spreads a narrow scan over the task slots for
+    text-heavy work (a key-only read does not need it)."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return spread(c) if wide else c
 
 
 def _ts_seconds(conv: Column, turn: Column) -> Column:
@@ -66,14 +69,14 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
     """The request log: one request per student turn, plus an empty
     session-start request for each system row.
 
     Columns follow the ``requests`` schema: session_id, ts, event_id,
     subject, chapter, content_source, file struct, message.
     """
-    c = conversations(spark, sf_dir).filter(F.col("role").isin("user", "system"))
+    c = conversations(spark, sf_dir, wide).filter(F.col("role").isin("user", "system"))
     conv, turn = F.col("conv_id"), F.col("turn")
     event_id = conv * S.EVENT_ID_MULT + turn
     fname = pick(S.FILE_NAMES, conv % len(S.FILE_NAMES))
@@ -107,7 +110,7 @@ def with_upload_hash(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> DataF
     r = reqs.withColumn("file_path", coerce_path(F.col("file")))
     # only uploads that some request names are read and hashed: a semi-join on the distinct
     # requested paths (taken from a narrow scan of the request log) runs before the hashing
-    named = (requests(spark, sf_dir).select(coerce_path(F.col("file")).alias("path"))
+    named = (requests(spark, sf_dir, wide=False).select(coerce_path(F.col("file")).alias("path"))
              .where(F.col("path").isNotNull()).distinct())
     up = uploads(spark, sf_dir).join(named, "path", "left_semi")
     h = up.select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("document_hash"))
