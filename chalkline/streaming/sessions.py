@@ -22,7 +22,7 @@ from chalkline.functions.keys import cache_key
 from chalkline.functions.questions import cache_query, chapter_int, coerce_path, route_intent
 
 CARRIED = ["subject", "chapter", "content_source", "message", "file_path"]
-TURN_OUTPUT = ("session_id long, event_id long, turn int, subject string, chapter string, "
+TURN_OUTPUT = ("session_id long, ts timestamp, event_id long, turn int, subject string, chapter string, "
                "content_source string, message string, file_path string")
 TURN_STATE = "turns long"
 
@@ -33,6 +33,7 @@ def _number(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     turns = seen + pd.RangeIndex(1, len(pdf) + 1)
     state.update((int(seen + len(pdf)),))
     out = pd.DataFrame({"session_id": pdf["session_id"].astype("int64").values,
+                        "ts": pdf["ts"].values,
                         "event_id": pdf["event_id"].astype("int64").values,
                         "turn": turns.astype("int32")})
     for c in CARRIED:

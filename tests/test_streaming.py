@@ -85,3 +85,28 @@ def test_stream_cache_equals_batch_replay(spark, every):
     got = spark.read.parquet(os.path.join(root, "out")).select("event_id", "key", "hit", "served_text")
     want = cache.cache_replay(Q._log(spark, SF001)).select("event_id", "key", "hit", "served_text")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_streaming_route_feeds_streaming_cache(spark):
+    """ST1 -> reply (stream-static) -> ST2 gives the batch W3 result."""
+    reqs = I.requests(spark, SF001).select("session_id", "ts", "event_id", "subject", "chapter",
+                                           "content_source", "message", "conv_turn", "file")
+    root = tempfile.mkdtemp(prefix="st12-")
+    src = os.path.join(root, "in")
+    _write_files(reqs, src, "conv_turn", 0)
+    stream = (spark.readStream.schema(reqs.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    hashes = (I.uploads(spark, SF001).select(F.col("path").alias("file_path"),
+                                             F.sha2(F.col("content"), 256).alias("document_hash")))
+    conv = I.conversations(spark, SF001)
+    # the reply to request event e is the next row of its conversation, event e + 1
+    replies = conv.filter(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("event_id"), F.col("text").alias("reply"))
+    routed = (stream_route_intent(stream, hashes).join(replies, "event_id", "left")
+              .select("key", "ts", "event_id", F.coalesce(F.col("reply"), F.lit("")).alias("response")))
+    q = stream_cache(routed, os.path.join(root, "index"), os.path.join(root, "out"), os.path.join(root, "ck"),
+                     every=3)
+    q.awaitTermination()
+    got = spark.read.parquet(os.path.join(root, "out")).select("event_id", "key", "hit", "served_text")
+    want = cache.cache_replay(Q._log(spark, SF001)).select("event_id", "key", "hit", "served_text")
+    assert sorted(got.collect()) == sorted(want.collect())
