@@ -37,7 +37,7 @@ def clean_response(raw) -> Column:
         cleaned, "\n" + WS_CLASS + "*\n" + WS_CLASS + "*\n", "\n\n"))
     paragraphs = F.filter(F.transform(F.split(raw, "\n\n"), lambda p: py_strip(p)), lambda p: p != "")
     last_good = F.get(F.filter(F.reverse(paragraphs),
-                               lambda p: ~_is_thought(F.lower(p)) & (F.length(p) > 20)), 0)
+                               lambda p: (F.length(p) > 20) & ~_is_thought(F.lower(p))), 0)
     rescued = F.when(F.length(cleaned) < 20, F.coalesce(last_good, cleaned)).otherwise(cleaned)
     return (F.when(raw.isNull() | (raw == ""), F.lit(""))
             .when(F.length(rescued) < 10, F.lit(R.CLEAN_FALLBACK))
