@@ -83,5 +83,8 @@ def detect_language(text) -> Column:
 
     Compared in exact integers: 10 * devanagari > 3 * letters.
     """
+    t = F.coalesce(col_of(text), F.lit(""))
     letters = letter_count(text)
-    return F.when((letters > 0) & (devanagari_count(text) * 10 > letters * 3), "hi").otherwise("en")
+    ratio_says_hi = (letters > 0) & (devanagari_count(text) * 10 > letters * 3)
+    # without any Devanagari character the ratio is 0: the counting passes are skipped
+    return F.when(t.rlike(DEVANAGARI_CLASS) & ratio_says_hi, "hi").otherwise("en")
