@@ -46,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when the setting is absent (local tests) is a private scratch
     folder created and registered.
     """
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current                      # already registered (each registration adds a new sub-folder)
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if configured:
