@@ -81,7 +81,7 @@ def question_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     # turns are numbered on the bare request log, before the upload-hash join
-    r = I.with_upload_hash(spark, sf_dir, sessions.number_turns(I.requests(spark, sf_dir)))
+    r = I.with_upload_hash(spark, sf_dir, sessions.number_turns(I.requests(spark, sf_dir, wide=False)))
     r = (r.withColumn("intent", route_intent(F.col("turn") == 1, F.col("message"), F.col("content_source")))
          .withColumn("chapter_no", chapter_int(F.col("chapter"))))
     r = r.withColumn("cache_query", cache_query(F.col("intent"), F.col("message")))
