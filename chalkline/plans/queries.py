@@ -208,7 +208,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replay pick per request, labels cycling through valid and invalid ones."""
-    r = I.requests(spark, sf_dir)
+    r = I.requests(spark, sf_dir, wide=False)
     labels = ["Turn 1", "Turn 2", "Turn 0", "Turn 9", "abc", None, " Turn 3 "]
     picks = r.select("session_id", "event_id", I.pick(labels, F.col("event_id") % len(labels)).alias("label"))
     out = sessions.replay_turn(_turns(spark, sf_dir), picks)
@@ -217,7 +217,7 @@ def replay_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quick_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quick-action press per request; unknown codes are rejected."""
-    r = I.requests(spark, sf_dir).select("event_id", I.pick(S.ACTION_CODES, F.col("event_id") % 4).alias("action"))
+    r = I.requests(spark, sf_dir, wide=False).select("event_id", I.pick(S.ACTION_CODES, F.col("event_id") % 4).alias("action"))
     ok, bad = sessions.expand_quick_action(r)
     return (ok.withColumn("accepted", F.lit(True))
             .unionByName(bad.withColumn("message", F.lit(None).cast("string")).withColumn("accepted", F.lit(False))))
@@ -226,7 +226,7 @@ def quick_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document each request sees; documents are the admitted uploads
     of camera-mode requests."""
-    r = I.requests(spark, sf_dir).withColumn("file_path", coerce_path(F.col("file")))
+    r = I.requests(spark, sf_dir, wide=False).withColumn("file_path", coerce_path(F.col("file")))
     d = (r.filter((F.col("content_source") == R.SOURCE_CAMERA)
                   & (docs.admit_upload(F.col("file_path")) != "unsupported"))
          .select("session_id", "ts", "event_id", F.col("event_id").alias("doc_event_id"),
@@ -238,7 +238,7 @@ def current_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11 + T6 + T10 over J3: the answer_from_document reply of every request."""
     cd = current_document(spark, sf_dir)
-    r = I.requests(spark, sf_dir).select("event_id", "message")
+    r = I.requests(spark, sf_dir, wide=False).select("event_id", "message")
     x = r.join(cd, "event_id")
     has_doc = F.col("doc_event_id").isNotNull()
     return x.select("event_id", help_type(F.col("message")).alias("help_type"),
@@ -345,7 +345,7 @@ def helpful_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The off-topic and user-details tool replies for every request."""
-    r = I.requests(spark, sf_dir)
+    r = I.requests(spark, sf_dir, wide=False)
     kind = F.when(F.col("event_id") % 2 == 0, F.lit("unknown_question")).otherwise(F.lit("user_details"))
     return r.select("event_id", kind.alias("kind"), tool_reply(kind, F.col("subject")).alias("reply"))
 
