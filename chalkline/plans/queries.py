@@ -186,7 +186,7 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- sessions
 def pair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.pair_turns(I.conversations(spark, sf_dir))
+    return sessions.pair_turns(I.conversations(spark, sf_dir, wide=False))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
