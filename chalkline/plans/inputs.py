@@ -26,8 +26,10 @@ def salted(text: Column, ident: Column, phrases, sep: str = " ") -> Column:
     return F.concat(pick(phrases, ident % len(phrases)), F.lit(sep), F.coalesce(text, F.lit("")))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+def documents(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    """Document rows; ``wide`` spreads a narrow scan for heavy per-row text work."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(d) if wide else d
 
 
 def content_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,7 @@ def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every seventh document is a scan (its regular pages hold no text), so
     the OCR path (U3) is taken for it.
     """
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, wide=False)
     scanned = (F.col("doc_id") % 7) == 0
     lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line")
     return (d.select("doc_id", scanned.alias("scanned"), lines)
@@ -174,7 +176,7 @@ def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every OCR page of every document, including pages with no candidate."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, wide=False)
     lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line")
     p = d.select("doc_id", lines).select("doc_id", (F.col("pos") + 1).alias("page_no"))
     return p.select("doc_id", "page_no", (((F.col("doc_id") * 3 + F.col("page_no")) % 29) == 0).alias("failed"))
