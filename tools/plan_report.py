@@ -40,8 +40,6 @@ def main():
     for name in HEADLINE:
         df = QUERIES[name](spark, sf)
         df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        final = spark._jvm.org.apache.spark.sql.execution.adaptive.AdaptiveSparkPlanExec
         qe = df._jdf.queryExecution().executedPlan()
         text = qe.toString()
         if hasattr(qe, "finalPhysicalPlan"):
