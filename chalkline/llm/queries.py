@@ -6,11 +6,11 @@ table and derives the digest columns that the result contract names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, packing, shards, urlfilter
-from chalkline.llm.common import unsigned_crc32
+from chalkline.llm import ann, fingerprint, neardup, packing, shards, urlfilter
+from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.sources.tables import read_table
 
 NEIGHBOURS, QUERY_EVERY = 5, 50
@@ -30,6 +30,20 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
 
 
+def hex16(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how many others lie within 3 bits."""
+    pairs = materialize(fingerprint.fingerprint_pairs(read_table(spark, sf_dir, "documents")))
+    near = fingerprint.neighbour_counts(pairs).select(F.col("fp").alias("found"), "near")
+    return pairs.join(near, F.col("fp") == F.col("found"), "left").select(
+        "doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"),
+        fingerprint.likeness("fp", "edited_fp").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("near_fingerprints"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by the law ``rows``."""
     docs = read_table(spark, sf_dir, "documents")
@@ -40,21 +54,27 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 3-word-shingle SimHash and its component over links of at most 2 bits."""
+    found = neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.SHINGLE_WORDS, neardup.RADIUS)
+    return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or learned verdict for every page's url."""
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_nearest": op4_nearest, "op7_sharding": op7_sharding,
-           "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_packing": op1_packing, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
+           "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op4_nearest": """
         WITH v AS (
             SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
             GROUP BY vec_id),
         n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM v),
         s AS (
