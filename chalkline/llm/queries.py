@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, neardup, packing, shards, urlfilter
+from chalkline.llm import ann, fingerprint, langid, neardup, packing, shards, urlfilter
 from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.sources.tables import read_table
 
@@ -25,6 +25,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text, learned from two of three folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(langid.fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang"))
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ("lang_pred", "score")).drop("text")
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest rows of every 50th vector."""
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
@@ -65,7 +73,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
            "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
