@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, langid, neardup, packing, shards, urlfilter
+from chalkline.llm import ann, fingerprint, langid, linededup, neardup, packing, shards, urlfilter
 from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.sources.tables import read_table
 
@@ -62,6 +62,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without lines that an earlier line of the corpus resembles."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, linededup.THRESHOLD)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 3-word-shingle SimHash and its component over links of at most 2 bits."""
     found = neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.SHINGLE_WORDS, neardup.RADIUS)
@@ -74,7 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
-           "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
+           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op4_nearest": """
