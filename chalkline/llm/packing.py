@@ -16,6 +16,9 @@ partitions, fixed by the checkpointed token table.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,48 +31,72 @@ from chalkline.llm.common import materialize, prefix_sums, tokenizer_file
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids each Python worker remembers; rarer ones are encoded again.
-REMEMBERED_WORDS = 200_000
+#: Words, and pieces of words, whose ids each Python worker remembers before it starts anew.
+REMEMBERED = 300_000
 
 _ENCODERS: dict = {}
 
+#: The vocabulary's splitter over a plain alphabet (ASCII and Latin-1 letters), where every character has one form.
+_PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-class _WordEncoder(dict):
-    """Word -> its ids as little-endian uint16 (uint32 for large vocabularies).
 
-    The vocabulary's splitter never joins text across white space, so a
-    text's ids are those of its white-space separated words in order.
+#: Byte-level vocabularies write printable bytes as themselves, the others as the characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTED))}
+
+
+class _Remembered(dict):
+    """Unit of text -> its ids as little-endian uint16 (uint32 for large vocabularies)."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[unit] = self.ids(unit)
+        return found
+
+
+class _Encoder:
+    """Ids of whole texts, from ids of their parts.
+
+    The vocabulary never joins text across white space or across the splits
+    of its pre-tokenizer. A text is cut at ASCII separators (any other white
+    space is left to the vocabulary's own splitter). Words of plain texts are
+    split here and each distinct piece goes to the vocabulary's model once;
+    words of other texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        self.dtype = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
+        code, model = "H" if self.dtype == "<u2" else "I", tok.model
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-        new = list(set(words).difference(self))
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        # only ASCII separators: any other white space is left to the vocabulary's own splitter
-        words = text.translate(_SEPARATORS).split(" ") if text else []
-        self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+        def piece_ids(piece: str) -> bytes:
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array(code, [t.id for t in model.tokenize(piece)]).tobytes()
 
+        pieces = _Remembered(piece_ids)
+        self.plain = _Remembered(lambda w: b"".join(map(pieces.__getitem__, _PIECES.findall(w.lower()))))
+        self.other = _Remembered(lambda w: array(code, tok.encode(w, add_special_tokens=False).ids).tobytes())
 
-_SEPARATORS = {ord(c): " " for c in "\t\n\r"}
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        words = self.plain if _PLAIN.fullmatch(text) else self.other
+        return b"".join(map(words.__getitem__, text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")))
 
 
-def _encoder(path: str) -> _WordEncoder:
+def _encoder(path: str) -> _Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = _WordEncoder(path)
+        _ENCODERS[path] = _Encoder(path)
     return _ENCODERS[path]
 
 
