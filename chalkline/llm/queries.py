@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, langid, linededup, neardup, packing, shards, urlfilter
+from chalkline.llm import ann, fingerprint, langid, linededup, lm, neardup, packing, shards, urlfilter
 from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.sources.tables import read_table
 
@@ -33,6 +33,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ("lang_pred", "score")).drop("text")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's stupid-backoff score under the counts of all other documents."""
+    scored = lm.score(read_table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("words") > 0, F.round(F.col("log_score") / F.col("words"), 6))
+    return scored.select("doc_id", "words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log_score"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest rows of every 50th vector."""
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
@@ -79,10 +86,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
            "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
+    "op3_lm_scores": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+        g AS (SELECT *, CASE WHEN i > 1 THEN lag(w) OVER (PARTITION BY doc_id ORDER BY i) END AS v FROM t),
+        c AS (
+            SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+                   count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+                   count(*) OVER () - n AS others FROM g),
+        h AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS ch FROM c),
+        s AS (SELECT *, CASE WHEN c1 > 0 THEN c1 / greatest(others, 1)::DOUBLE ELSE 1 / (others + 1)::DOUBLE END AS s1 FROM h),
+        r AS (SELECT doc_id, sum(ln(CASE WHEN v IS NULL THEN s1 WHEN c2 > 0 THEN c2 / ch::DOUBLE ELSE 0.4 * s1 END)) AS ls
+              FROM s GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS words, round(coalesce(ls, 0), 4) AS log_score,
+               CASE WHEN len(ws) > 0 THEN round(ls / len(ws), 6) END AS mean_log_score
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op4_nearest": """
         WITH v AS (
             SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
