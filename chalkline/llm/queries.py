@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, langid, linededup, lm, neardup, packing, shards, urlfilter
+from chalkline.llm import ann, fingerprint, langid, linededup, lm, mixing, neardup, packing, shards, urlfilter
 from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.sources.tables import read_table
 
 NEIGHBOURS, QUERY_EVERY = 5, 50
+MIXTURE, MIXTURE_SHARE = {"high": 0.8, "low": 0.2, "toxic": 0.0}, 0.8
 SHARDS = 24
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -59,6 +60,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("near", F.lit(0)).cast("long").alias("near_fingerprints"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domain posteriors and its rate under the target mixture."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, read_table(spark, sf_dir, "labels"), MIXTURE, MIXTURE_SHARE)
+    return mixed.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{k}") for i, k in enumerate(MIXTURE)], "rate")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by the law ``rows``."""
     docs = read_table(spark, sf_dir, "documents")
@@ -86,7 +94,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op7_sharding": op7_sharding,
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding,
            "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
