@@ -328,8 +328,12 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int) -
 
 
 def predict(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
-    """``docs`` with the predicted language and its posterior under equal priors; only ``text`` is looked at."""
+    """``docs`` with the predicted language and its posterior under equal priors; only ``text`` is looked at.
+
+    Columns of the two names are replaced.
+    """
     from pyspark.sql import types as T
+    docs = docs.drop(*columns)
     at = [c.lower() for c in docs.columns].index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())])
     return docs.mapInArrow(lambda it: _predict_batches(it, model, at), schema)

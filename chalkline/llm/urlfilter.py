@@ -71,11 +71,18 @@ def host_levels(host: Column) -> tuple[Column, Column]:
 
 
 def _shrink(level: DataFrame, parents: DataFrame | None, up: str | None, overall: float) -> DataFrame:
-    """Adds ``alpha`` and ``beta`` of each row's posterior, whose prior has the parent's mean."""
+    """Adds ``alpha`` and ``beta`` of each row's posterior.
+
+    Its prior has the mean of the parent's posterior without the row's own
+    outcomes, and the level's strength, or what the rest of the parent
+    amounts to where that is less.
+    """
     if parents is None:
-        level = level.withColumn("mean", F.lit(overall))
+        level = level.withColumns({"mean": F.lit(overall), "most": F.lit(STRENGTHS[1])})
     else:
-        level = level.join(parents.select(F.col(up), (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean")), up)
+        level = level.join(parents.select(F.col(up), F.col("alpha").alias("a0"), F.col("beta").alias("b0")), up)
+        a0, most = F.col("a0") - F.col("bad"), F.col("a0") + F.col("b0") - F.col("n")
+        level = level.withColumns({"mean": a0 / most, "most": most}).drop("a0", "b0")
     v = F.col("mean") * (1 - F.col("mean"))
     fit = level.filter("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean"), 2)).alias("s"),
@@ -84,9 +91,9 @@ def _shrink(level: DataFrame, parents: DataFrame | None, up: str | None, overall
     if fit["w"]:
         rho = (fit["s"] - fit["v"]) / fit["w"]
         strength = STRENGTHS[1] if rho <= 0 else min(max(1 / rho - 1, STRENGTHS[0]), STRENGTHS[1])
-    k = F.lit(round(strength, 6))
+    k = F.least(F.lit(round(strength, 6)), F.col("most"))
     return (level.withColumn("alpha", k * F.col("mean") + F.col("bad"))
-            .withColumn("beta", k * (1 - F.col("mean")) + F.col("n") - F.col("bad")).drop("mean"))
+            .withColumn("beta", k * (1 - F.col("mean")) + F.col("n") - F.col("bad")).drop("mean", "most"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
