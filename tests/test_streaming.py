@@ -12,7 +12,7 @@ from chalkline.operators.documents import admit_upload
 from chalkline.functions.rules import SOURCE_CAMERA
 from chalkline.plans import inputs as I
 from chalkline.plans import queries as Q
-from chalkline.streaming.cache import stream_cache
+from chalkline.streaming.cache import COMPACT_EVERY, MissingDelta, process_batch, stream_cache
 from chalkline.streaming.sessions import stream_current_document, stream_route_intent
 from tests.conftest import SF001
 
@@ -87,6 +87,53 @@ def test_stream_cache_equals_batch_replay(spark, every):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def _batches(spark, n, first=0):
+    """Batch i: keys that recur from every earlier batch, and one new key."""
+    return [spark.createDataFrame([(f"k{k}", 1000 * i + k, 1000 * i + k, f"answer {i}/{k}") for k in range(i + 1)],
+                                  "key string, ts long, event_id long, response string") for i in range(first, n)]
+
+
+@pytest.mark.parametrize("plan", [[2] * 7, [3, 3, 3, 2, 2, 2, 2, 4, 4]])
+def test_index_survives_compactions(spark, plan):
+    """Keys first seen before a snapshot recur after two snapshots and after ``every`` changed; the result is W3's."""
+    root = tempfile.mkdtemp(prefix="st2c-")
+    index, out = os.path.join(root, "index"), os.path.join(root, "out")
+    batches = _batches(spark, len(plan))
+    for i, (every, batch) in enumerate(zip(plan, batches)):
+        process_batch(batch, i, index, out, every)
+    assert len(os.listdir(os.path.join(index, "snapshots"))) >= 2
+    whole = batches[0]
+    for b in batches[1:]:
+        whole = whole.unionByName(b)
+    got = spark.read.parquet(out).select("event_id", "key", "hit", "served_text").collect()
+    want = cache.cache_replay(whole).select("event_id", "key", "hit", "served_text").collect()
+    assert sorted(got) == sorted(want)
+    # a retried batch, also one that wrote a snapshot, changes nothing
+    last = len(plan) - 1
+    process_batch(batches[last], last, index, out, plan[last])
+    assert sorted(spark.read.parquet(out).select("event_id", "key", "hit", "served_text").collect()) == sorted(want)
+
+
+def test_default_compaction_keeps_old_keys(spark):
+    root = tempfile.mkdtemp(prefix="st2d-")
+    index, out = os.path.join(root, "index"), os.path.join(root, "out")
+    one = "key string, ts long, event_id long, response string"
+    for i in range(COMPACT_EVERY + 1):
+        process_batch(spark.createDataFrame([("old" if i in (0, COMPACT_EVERY) else f"k{i}", i, i, f"answer {i}")], one), i, index, out)
+    row = spark.read.parquet(out).filter(F.col("event_id") == COMPACT_EVERY).first()
+    assert (row.hit, row.served_text) == (True, "answer 0")
+
+
+def test_missing_delta_raises(spark):
+    root = tempfile.mkdtemp(prefix="st2m-")
+    index, out = os.path.join(root, "index"), os.path.join(root, "out")
+    batches = _batches(spark, 3)
+    process_batch(batches[0], 0, index, out)
+    os.rename(os.path.join(index, "deltas", "version=0"), os.path.join(root, "elsewhere"))
+    with pytest.raises(MissingDelta):
+        process_batch(batches[1], 1, index, out)
+
+
 def test_streaming_route_feeds_streaming_cache(spark):
     """ST1 -> reply (stream-static) -> ST2 gives the batch W3 result."""
     reqs = I.requests(spark, SF001).select("session_id", "ts", "event_id", "subject", "chapter",
