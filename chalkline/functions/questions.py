@@ -55,9 +55,9 @@ def fallback_for_unknown(subject, query) -> Column:
 
 
 def chapter_int(chapter) -> Column:
-    """All-digit text to its number; anything else, and 0, to 1."""
+    """All-digit text to its number (a long); anything else, and 0, to 1."""
     c = col_of(chapter)
-    n = F.when(c.rlike(r"^[0-9]+\z"), c.try_cast("int"))
+    n = F.when(c.rlike(r"^[0-9]+\z"), c.try_cast("long"))
     return F.coalesce(F.nullif(n, F.lit(0)), F.lit(1))
 
 

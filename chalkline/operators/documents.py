@@ -92,6 +92,22 @@ def ocr_text(ocr_pages: DataFrame, candidates: DataFrame, key: str = "doc_id") -
     return assemble_pages(truncate_at_failure(pages, key), "ocr", key)
 
 
+def extraction_choice_nested(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """U3 on documents that hold their pages as arrays, in page order: one pass, no shuffle.
+
+    ``regular`` is ``array<struct<page_no,text>>``, ``ocr`` is
+    ``array<struct<page_no,failed,candidates>>`` with the candidates of
+    :func:`pick_ocr_array`. W2, W4 and A1 run on the arrays, and the OCR
+    side only where the regular text does not suffice."""
+    regular = documents.withColumn("_regular", assemble_array(F.col("regular"), "regular"))
+    failure = F.array_position(F.transform("ocr", lambda p: p["failed"]), True).cast("int")
+    before = F.when(failure == 0, F.col("ocr")).otherwise(F.slice("ocr", 1, F.greatest(failure - 1, F.lit(0))))
+    pages = F.transform(before, lambda p: F.struct(p["page_no"].alias("page_no"), pick_ocr_array(p["candidates"]).alias("text")))
+    enough = has_enough_text(F.col("_regular"))
+    return regular.select(key, F.when(enough, F.lit("regular")).otherwise(F.lit("ocr")).alias("method"),
+                          F.when(enough, F.col("_regular")).otherwise(F.coalesce(assemble_array(pages, "ocr"), F.lit(""))).alias("text"))
+
+
 def extraction_choice(regular_pages: DataFrame, ocr_pages: DataFrame, candidates: DataFrame,
                       key: str = "doc_id") -> DataFrame:
     """Regular text when its stripped length is over 50, else OCR text.

@@ -29,18 +29,11 @@ def _bucket(ts: str, bucket_seconds: int) -> Column:
 
 
 def number_turns(df: DataFrame, session: str = "session_id", ts: str = "ts", tiebreak: str = "event_id",
-                 out: str = "turn", bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                 skew_safe: bool = True) -> DataFrame:
+                 out: str = "turn", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``out`` = 1-based position of each row in its session by (ts, tiebreak).
 
-    ``skew_safe`` (default) numbers rows per (session, time bucket) plus the
-    counts of earlier buckets, so a hot session is spread over its buckets;
-    it costs a small aggregate and a join more than one window. With
-    ``skew_safe=False`` a single window per session is used, for inputs
-    whose sessions are known to be small."""
-    if not skew_safe:
-        w = Window.partitionBy(session).orderBy(F.col(ts), F.col(tiebreak))
-        return df.withColumn(out, F.row_number().over(w).cast("int"))
+    Rows are numbered per (session, time bucket) plus the counts of earlier
+    buckets, so a hot session is spread over its buckets."""
     b = "_bucket"
     x = df.withColumn(b, _bucket(ts, bucket_seconds))
     counts = x.groupBy(session, b).agg(F.count(F.lit(1)).alias("_n"))

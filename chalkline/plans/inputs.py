@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.questions import coerce_path
 from chalkline.plans import salt as S
-from chalkline.sources.tables import read_table, spread
+from chalkline.sources.tables import read_table
 
 
 def pick(choices, idx: Column) -> Column:
@@ -26,10 +26,9 @@ def salted(text: Column, ident: Column, phrases, sep: str = " ") -> Column:
     return F.concat(pick(phrases, ident % len(phrases)), F.lit(sep), F.coalesce(text, F.lit("")))
 
 
-def documents(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
-    """Document rows; ``wide`` spreads a narrow scan for heavy per-row text work."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(d) if wide else d
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rows."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def content_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +49,9 @@ def language_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.concat(lead, F.coalesce(F.col("text"), F.lit(""))).alias("text")))
 
 
-def conversations(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
-    """Conversation rows; ``wide`` spreads a narrow scan over the task slots for
-    text-heavy work (a key-only read does not need it)."""
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return spread(c) if wide else c
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation rows."""
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def _ts_seconds(conv: Column, turn: Column) -> Column:
@@ -64,21 +61,21 @@ def _ts_seconds(conv: Column, turn: Column) -> Column:
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One uploaded file per page: ``uploads/<page_id>/<name>`` holding the
     page's HTML bytes (the S2 shape: path, length, content)."""
-    p = spread(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
     name = pick(S.FILE_NAMES, F.col("page_id") % len(S.FILE_NAMES))
     content = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     return p.select("page_id", F.concat(F.lit("uploads/"), F.col("page_id").cast("string"), F.lit("/"), name)
                     .alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
 
 
-def requests(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log: one request per student turn, plus an empty
     session-start request for each system row.
 
     Columns follow the ``requests`` schema: session_id, ts, event_id,
     subject, chapter, content_source, file struct, message.
     """
-    c = conversations(spark, sf_dir, wide).filter(F.col("role").isin("user", "system"))
+    c = conversations(spark, sf_dir).filter(F.col("role").isin("user", "system"))
     conv, turn = F.col("conv_id"), F.col("turn")
     event_id = conv * S.EVENT_ID_MULT + turn
     fname = pick(S.FILE_NAMES, conv % len(S.FILE_NAMES))
@@ -112,7 +109,7 @@ def with_upload_hash(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> DataF
     r = reqs.withColumn("file_path", coerce_path(F.col("file")))
     # only uploads that some request names are read and hashed: a semi-join on the distinct
     # requested paths (taken from a narrow scan of the request log) runs before the hashing
-    named = (requests(spark, sf_dir, wide=False).select(coerce_path(F.col("file")).alias("path"))
+    named = (requests(spark, sf_dir).select(coerce_path(F.col("file")).alias("path"))
              .where(F.col("path").isNotNull()).distinct())
     up = uploads(spark, sf_dir).join(named, "path", "left_semi")
     h = up.select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("document_hash"))
@@ -142,7 +139,7 @@ def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every seventh document is a scan (its regular pages hold no text), so
     the OCR path (U3) is taken for it.
     """
-    d = documents(spark, sf_dir, wide=False)
+    d = documents(spark, sf_dir)
     scanned = (F.col("doc_id") % 7) == 0
     lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line")
     return (d.select("doc_id", scanned.alias("scanned"), lines)
@@ -174,9 +171,32 @@ def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages and candidates above, held as arrays of the document row."""
+    from chalkline.functions.textops import py_strip
+    d = documents(spark, sf_dir)
+    doc = F.col("doc_id")
+    x = d.select("doc_id", F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines"))
+
+    def page(line, i):
+        return F.struct((i + 1).alias("page_no"), F.when(doc % 7 == 0, F.lit("")).otherwise(line).alias("text"))
+
+    def reading(pos, lang, text):
+        return F.struct(F.lit(pos).alias("pos"), F.lit(lang).alias("lang"), py_strip(text).alias("text"))
+
+    def scan(line, i):
+        combined = F.when(((doc + i + 1) % 4) != 0, line)
+        return F.struct((i + 1).alias("page_no"), (((doc * 3 + i + 1) % 29) == 0).alias("failed"),
+                        F.array(reading(0, "hindi", F.regexp_replace(line, "[A-Za-z]", "")),
+                                reading(1, "english", F.regexp_replace(line, "[^\\x00-\\x7F]", "")),
+                                reading(2, "combined", combined)).alias("candidates"))
+
+    return x.select("doc_id", F.transform("lines", page).alias("regular"), F.transform("lines", scan).alias("ocr"))
+
+
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every OCR page of every document, including pages with no candidate."""
-    d = documents(spark, sf_dir, wide=False)
+    d = documents(spark, sf_dir)
     lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line")
     p = d.select("doc_id", lines).select("doc_id", (F.col("pos") + 1).alias("page_no"))
     return p.select("doc_id", "page_no", (((F.col("doc_id") * 3 + F.col("page_no")) % 29) == 0).alias("failed"))

@@ -76,7 +76,7 @@ def fallback(subject: str, q: str) -> str:
 
 
 def chapter_int(e: str) -> str:
-    return f"(CASE WHEN regexp_full_match({e}, '[0-9]+') THEN coalesce(nullif(TRY_CAST({e} AS INTEGER), 0), 1) ELSE 1 END)"
+    return f"(CASE WHEN regexp_full_match({e}, '[0-9]+') THEN coalesce(nullif(TRY_CAST({e} AS BIGINT), 0), 1) ELSE 1 END)"
 
 
 def route_source(e: str) -> str:
@@ -340,15 +340,17 @@ def q_clean_answers() -> str:
     reply = (f"CASE WHEN flow = 'greeting' AND (cleaned = '' OR contains(cleaned, {marker})) THEN "
              f"{sql_str(R.GREETING_DEFAULT_HEAD)} || coalesce(subject, 'None') || {sql_str(R.GREETING_DEFAULT_TAIL)} "
              f"WHEN flow IN ('smart_first_response', 'follow_up') AND contains(lower(cleaned), {marker}) THEN "
-             f"{fallback('subject', 'raw')} "
+             f"{fallback('subject', 'question')} "
              f"WHEN flow IN ('smart_first_response', 'follow_up', 'camera_follow_up') AND cleaned = '' THEN "
              f"{sql_str(R.CLARIFY_DEFAULT)} WHEN flow = 'camera_first' AND cleaned = '' THEN "
              f"{sql_str(R.CAMERA_EMPTY_DEFAULT)} ELSE cleaned END")
     lang = ("CASE WHEN flow = 'camera_first' THEN CASE WHEN contains(lower(coalesce(reply, '')), 'hindi') THEN 'hi' "
             "ELSE 'en' END WHEN flow = 'document_question' THEN 'en' WHEN lower(subject) = 'hindi' THEN 'hi' ELSE 'en' END")
     return (f"WITH a AS (SELECT conv_id AS session_id, {ev} AS event_id, "
-            f"{pick(S.ANSWER_PHRASES, ev + ' % 6')} || coalesce(text, '') AS raw FROM conversations "
-            f"WHERE role = 'assistant'), b AS (SELECT event_id, raw, {pick(S.SUBJECT_CHOICES, 'session_id % 5')} AS subject, "
+            f"{pick(S.ANSWER_PHRASES, ev + ' % 6')} || coalesce(text, '') AS raw, "
+            f"(SELECT any_value(q.text) FROM conversations q WHERE q.role = 'user' AND q.conv_id = c.conv_id AND "
+            f"q.turn = c.turn - 1) AS question FROM conversations c "
+            f"WHERE role = 'assistant'), b AS (SELECT event_id, raw, question, {pick(S.SUBJECT_CHOICES, 'session_id % 5')} AS subject, "
             f"{pick(flows, 'event_id % 5')} AS flow FROM a), c AS (SELECT *, {clean_sql('raw')} AS cleaned FROM b), "
             f"d AS (SELECT *, {reply} AS reply FROM c) SELECT event_id, flow, cleaned, "
             f"contains(lower(coalesce(cleaned, '')), {marker}) AS has_marker, {tool_error('raw')} AS is_tool_error, "
@@ -661,7 +663,7 @@ def render_sql(values: dict, task: str = "task") -> str:
 
 def q_prompts() -> str:
     values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "''",
-              "student_query": "cache_query", "student_question": "cache_query", "document_text": "''"}
+              "student_query": "cache_query", "student_question": "message", "document_text": "''"}
     return (f"WITH {cte_routed()}, x AS (SELECT *, {task_sql()} AS task FROM routed), y AS (SELECT event_id, task, "
             f"{render_sql(values)} AS p FROM x) SELECT event_id, task, sha256(p) AS prompt_sha, "
             f"CAST(length(p) AS INTEGER) AS prompt_chars FROM y")
@@ -674,13 +676,16 @@ def q_answer_worklist() -> str:
               f"{sql_str(R.CAMERA_PROMPT_QUESTION)} WHEN content_source = {sql_str(R.SOURCE_UPLOAD)} AND {missing} "
               f"THEN {sql_str(R.NOT_FOUND_HEAD + R.NO_PDF_UPLOADED)} END")
     values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "content",
-              "student_query": "cache_query", "student_question": "cache_query", "document_text": "''"}
-    early = (f"early_idx AS (SELECT key, text FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version "
+              "student_query": "cache_query", "student_question": "message", "document_text": "''"}
+    refused = (f"CASE WHEN content_source = {CAM} AND file_path <> '' AND {admit('file_path')} = 'unsupported' THEN "
+               f"{sql_str(R.UNSUPPORTED_UPLOAD_REPLY)} END")
+    early = (f"early_idx AS (SELECT key, text, CASE WHEN version % 3 = 0 THEN 'audio/' || key || '.mp3' END AS audio "
+             f"FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version "
              f"DESC) AS rn FROM entries WHERE conv_turn < {S.INDEX_CUTOFF_TURN}) WHERE rn = 1)")
-    looked = ("looked AS (SELECT r.*, e.key IS NOT NULL AS hit, e.text AS cached_text FROM routed r "
+    looked = ("looked AS (SELECT r.*, e.key IS NOT NULL AS hit, e.text AS cached_text, e.audio AS cached_audio FROM routed r "
               "LEFT JOIN early_idx e ON r.key = e.key)")
-    w = (f"w AS (SELECT *, coalesce({prompt}, status_message) AS reply0, {task_sql()} AS task0 FROM resolved), "
-         f"w2 AS (SELECT *, CASE WHEN hit AND coalesce(cached_text <> '', false) THEN 'synthesize_audio' "
+    w = (f"w AS (SELECT *, coalesce({prompt}, {refused}, status_message) AS reply0, {task_sql()} AS task0 FROM resolved), "
+         f"w2 AS (SELECT *, CASE WHEN hit AND coalesce(cached_text <> '', false) AND coalesce(cached_audio, '') = '' THEN 'synthesize_audio' "
          f"WHEN hit THEN 'serve' WHEN reply0 IS NOT NULL THEN 'reply_status' ELSE 'generate' END AS action FROM w)")
     return (f"WITH {cte_routed()}, {early}, {looked}, "
             f"{cte_resolved(source='looked', with_uploads=False)}, {w} "

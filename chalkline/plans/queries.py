@@ -81,7 +81,7 @@ def question_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     # turns are numbered on the bare request log, before the upload-hash join
-    r = I.with_upload_hash(spark, sf_dir, sessions.number_turns(I.requests(spark, sf_dir, wide=False)))
+    r = I.with_upload_hash(spark, sf_dir, sessions.number_turns(I.requests(spark, sf_dir)))
     r = (r.withColumn("intent", route_intent(F.col("turn") == 1, F.col("message"), F.col("content_source")))
          .withColumn("chapter_no", chapter_int(F.col("chapter"))))
     r = r.withColumn("cache_query", cache_query(F.col("intent"), F.col("message")))
@@ -163,12 +163,15 @@ def audio_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + P6 + P4 + T12 + T7 on every generated answer."""
     a = I.answers(spark, sf_dir)
+    asked = I.conversations(spark, sf_dir).filter(F.col("role") == "user").select(
+        (F.col("conv_id") * S.EVENT_ID_MULT + F.col("turn") + 1).alias("event_id"), F.col("text").alias("question"))
+    a = a.join(asked, "event_id", "left")
     subject = I.pick(S.SUBJECT_CHOICES, F.col("session_id") % 5)
     flow = I.pick(["greeting", "smart_first_response", "follow_up", "camera_first", "camera_follow_up"],
                   F.col("event_id") % 5)
     cleaned = clean_response(F.col("raw"))
-    x = a.select("event_id", subject.alias("subject"), flow.alias("flow"), cleaned.alias("cleaned"), "raw")
-    reply = default_response(F.col("flow"), F.col("cleaned"), F.col("subject"), F.col("raw"))
+    x = a.select("event_id", subject.alias("subject"), flow.alias("flow"), cleaned.alias("cleaned"), "raw", "question")
+    reply = default_response(F.col("flow"), F.col("cleaned"), F.col("subject"), F.col("question"))
     return x.select("event_id", "flow", "cleaned",
                     has_tool_marker(F.col("cleaned")).alias("has_marker"),
                     is_tool_error(F.col("raw")).alias("is_tool_error"),
@@ -186,7 +189,7 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- sessions
 def pair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.pair_turns(I.conversations(spark, sf_dir, wide=False))
+    return sessions.pair_turns(I.conversations(spark, sf_dir))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +211,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replay pick per request, labels cycling through valid and invalid ones."""
-    r = I.requests(spark, sf_dir, wide=False)
+    r = I.requests(spark, sf_dir)
     labels = ["Turn 1", "Turn 2", "Turn 0", "Turn 9", "abc", None, " Turn 3 "]
     picks = r.select("session_id", "event_id", I.pick(labels, F.col("event_id") % len(labels)).alias("label"))
     out = sessions.replay_turn(_turns(spark, sf_dir), picks)
@@ -217,7 +220,7 @@ def replay_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quick_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quick-action press per request; unknown codes are rejected."""
-    r = I.requests(spark, sf_dir, wide=False).select("event_id", I.pick(S.ACTION_CODES, F.col("event_id") % 4).alias("action"))
+    r = I.requests(spark, sf_dir).select("event_id", I.pick(S.ACTION_CODES, F.col("event_id") % 4).alias("action"))
     ok, bad = sessions.expand_quick_action(r)
     return (ok.withColumn("accepted", F.lit(True))
             .unionByName(bad.withColumn("message", F.lit(None).cast("string")).withColumn("accepted", F.lit(False))))
@@ -226,7 +229,7 @@ def quick_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document each request sees; documents are the admitted uploads
     of camera-mode requests."""
-    r = I.requests(spark, sf_dir, wide=False).withColumn("file_path", coerce_path(F.col("file")))
+    r = I.requests(spark, sf_dir).withColumn("file_path", coerce_path(F.col("file")))
     d = (r.filter((F.col("content_source") == R.SOURCE_CAMERA)
                   & (docs.admit_upload(F.col("file_path")) != "unsupported"))
          .select("session_id", "ts", "event_id", F.col("event_id").alias("doc_event_id"),
@@ -238,7 +241,7 @@ def current_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11 + T6 + T10 over J3: the answer_from_document reply of every request."""
     cd = current_document(spark, sf_dir)
-    r = I.requests(spark, sf_dir, wide=False).select("event_id", "message")
+    r = I.requests(spark, sf_dir).select("event_id", "message")
     x = r.join(cd, "event_id")
     has_doc = F.col("doc_event_id").isNotNull()
     return x.select("event_id", help_type(F.col("message")).alias("help_type"),
@@ -292,9 +295,7 @@ def truncate_at_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3 (with W2, A4, W4 and A1): the text extracted from each document."""
-    out = docs.extraction_choice(I.pages_text(spark, sf_dir), I.ocr_pages(spark, sf_dir),
-                                 I.ocr_candidates(spark, sf_dir))
-    return out.select("doc_id", "method", "text")
+    return docs.extraction_choice_nested(I.nested_pages(spark, sf_dir))
 
 
 def admit_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +346,7 @@ def helpful_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The off-topic and user-details tool replies for every request."""
-    r = I.requests(spark, sf_dir, wide=False)
+    r = I.requests(spark, sf_dir)
     kind = F.when(F.col("event_id") % 2 == 0, F.lit("unknown_question")).otherwise(F.lit("user_details"))
     return r.select("event_id", kind.alias("kind"), tool_reply(kind, F.col("subject")).alias("reply"))
 
@@ -359,7 +360,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = F.when(F.col("content_source") == R.SOURCE_CAMERA, F.lit("document_analysis_task")).otherwise(task)
     values = {"subject": F.col("subject"), "chapter_number": F.col("chapter_no").cast("string"),
               "chapter_content": F.lit(""), "student_query": F.col("cache_query"),
-              "student_question": F.col("cache_query"), "document_text": F.lit("")}
+              "student_question": F.col("message"), "document_text": F.lit("")}
     return r.select("event_id", task.alias("task"), F.sha2(render_prompt(task, values), 256).alias("prompt_sha"),
                     F.length(render_prompt(task, values)).alias("prompt_chars"))
 
@@ -382,17 +383,22 @@ def answer_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompt row (T13) for offline generation."""
     log = _log(spark, sf_dir, shared=True)
     early = _entries(log).filter(F.col("conv_turn") < S.INDEX_CUTOFF_TURN)
+    # every third stored answer has been synthesised already
+    early = early.withColumn("audio_path", F.when(F.col("version") % 3 == 0, F.concat(F.lit("audio/"), F.col("key"), F.lit(".mp3"))))
     looked = cache.cache_lookup(log, cache.latest_entries(early))
     up = I.uploads(spark, sf_dir)
     up_text = up.select("path", py_strip_text(decode_text(F.col("content"))["text"]).alias("text"))
     resolved = docs.resolve_content(looked, I.content_catalog(spark, sf_dir), up_text)
     prompt = upload_prompt(F.col("intent"), F.col("content_source"), F.col("file_path"))
-    reply = F.coalesce(prompt, F.col("status_message"))
+    # the camera flow refuses unsupported files before anything is generated
+    camera_file = (F.col("content_source") == R.SOURCE_CAMERA) & (F.col("file_path") != "")
+    refused = F.when(camera_file & (docs.admit_upload(F.col("file_path")) == "unsupported"), F.lit(R.UNSUPPORTED_UPLOAD_REPLY))
+    reply = F.coalesce(prompt, refused, F.col("status_message"))
     task = _task(F.col("intent"), F.col("content_source"))
     values = {"subject": F.col("subject"), "chapter_number": F.col("chapter_no").cast("string"),
               "chapter_content": F.col("content"), "student_query": F.col("cache_query"),
-              "student_question": F.col("cache_query"), "document_text": F.lit("")}
-    action = (F.when(F.col("hit") & needs_audio(F.col("cached_text"), F.lit(None).cast("string")),
+              "student_question": F.col("message"), "document_text": F.lit("")}
+    action = (F.when(F.col("hit") & needs_audio(F.col("cached_text"), F.col("cached_audio")),
                      F.lit("synthesize_audio"))
               .when(F.col("hit"), F.lit("serve"))
               .when(reply.isNotNull(), F.lit("reply_status"))
@@ -408,8 +414,7 @@ def document_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uploaded-document flow: text extraction (U3 with W2, W4, A1), then
     a no-text reply (T19), or the content info (T4), the helpful reply (T8)
     and the stored session text (S6)."""
-    ext = docs.extraction_choice(I.pages_text(spark, sf_dir), I.ocr_pages(spark, sf_dir),
-                                 I.ocr_candidates(spark, sf_dir))
+    ext = docs.extraction_choice_nested(I.nested_pages(spark, sf_dir))
     doc = F.col("doc_id")
     q = (F.when(doc % 2 == 0, I.pick(S.QUESTION_PHRASES, doc % 10))
          .when(doc % 4 == 1, I.pick(S.ERROR_PHRASES, (doc / 4).cast("long") % len(S.ERROR_PHRASES))))

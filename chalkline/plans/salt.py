@@ -31,6 +31,6 @@ CATALOG_SUBJECTS = ["hindi", "math", "science", "english", "social studies", "ge
 EPOCH_2024 = 1704067200
 TURN_SECONDS = 3600
 SESSION_OFFSET_MULT = 7919
-EVENT_ID_MULT = 1000            # event_id = conv_id * 1000 + turn (turns stay below 1000)
+EVENT_ID_MULT = 4_294_967_311   # event_id = conv_id * this + turn: above any 32-bit turn, so no two turns share an id
 # the response index is the state after this many hours of traffic; later entries are updates
 INDEX_CUTOFF_TURN = 2

@@ -8,6 +8,7 @@ sizing, checkpoint folder and event-log settings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,19 +44,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a private scratch
-    folder created and registered.
+    A single-process local session (tests) without the setting gets a private
+    scratch folder; on a cluster the folder must be one that all executors
+    share, so there the missing setting is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current                      # already registered (each registration adds a new sub-folder)
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="chalkline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="chalkline-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -28,13 +28,17 @@ def content_catalog(spark: SparkSession, root: str) -> DataFrame:
 def scan_uploads(spark: SparkSession, directory: str, with_content: bool = True,
                  max_bytes: int | None = None) -> DataFrame:
     """Uploaded files with their bytes. ``with_content=False`` prunes the
-    content column so only the listing is read; ``max_bytes`` filters on the
-    length column before any content is materialised."""
+    content column so only the listing is read. A file over ``max_bytes`` keeps
+    its row with null content and status ``too_large``, and is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-    cols = ["path", "length"] + (["content"] if with_content else [])
-    return files.select(*cols)
+    if not with_content:
+        return files.select("path", "length")
+    if max_bytes is None:
+        return files.select("path", "length", "content", F.lit("ok").alias("status"))
+    read = files.filter(F.col("length") <= max_bytes).select("path", "length", "content", F.lit("ok").alias("status"))
+    large = files.filter(F.col("length") > max_bytes).select(
+        "path", "length", F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("status"))
+    return read.unionByName(large)
 
 
 _CP1252_FROM = "".join(chr(b) for b in R.CP1252_UPPER)

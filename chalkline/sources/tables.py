@@ -16,19 +16,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; callers select only the columns they use, which Catalyst
     pushes into the scan's ReadSchema."""
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster's task slots when it has fewer input
-    splits than slots (a large file with one row group reads as a single
-    task). The check is made at planning time; a scan that is already wide
-    enough, as any scan of a large table is, is left without a shuffle."""
-    import os
-    if os.environ.get("CHALKLINE_SPREAD", "1") == "0":
-        return df
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): keep the scan as it is
-        return df
-    return df.repartition(slots) if splits < slots else df

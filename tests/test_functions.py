@@ -80,8 +80,8 @@ def test_route_intent(spark):
 
 
 def test_chapter_int(spark):
-    got = one_col(spark, ["7", "0", "x", " 7 ", "", None, "12"], chapter_int)
-    assert got == [7, 1, 1, 1, 1, 1, 12]
+    got = one_col(spark, ["7", "0", "x", " 7 ", "", None, "12", "99999999999"], chapter_int)
+    assert got == [7, 1, 1, 1, 1, 1, 12, 99999999999]
 
 
 def test_is_tool_error(spark):

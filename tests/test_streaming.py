@@ -12,6 +12,7 @@ from chalkline.operators.documents import admit_upload
 from chalkline.functions.rules import SOURCE_CAMERA
 from chalkline.plans import inputs as I
 from chalkline.plans import queries as Q
+from chalkline.plans.salt import EVENT_ID_MULT
 from chalkline.streaming.cache import COMPACT_EVERY, MissingDelta, process_batch, stream_cache
 from chalkline.streaming.sessions import stream_current_document, stream_route_intent
 from tests.conftest import SF001
@@ -148,7 +149,7 @@ def test_streaming_route_feeds_streaming_cache(spark):
     conv = I.conversations(spark, SF001)
     # the reply to request event e is the next row of its conversation, event e + 1
     replies = conv.filter(F.col("role") == "assistant").select(
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("event_id"), F.col("text").alias("reply"))
+        (F.col("conv_id") * EVENT_ID_MULT + F.col("turn") - 1).alias("event_id"), F.col("text").alias("reply"))
     routed = (stream_route_intent(stream, hashes).join(replies, "event_id", "left")
               .select("key", "ts", "event_id", F.coalesce(F.col("reply"), F.lit("")).alias("response")))
     q = stream_cache(routed, os.path.join(root, "index"), os.path.join(root, "out"), os.path.join(root, "ck"),
