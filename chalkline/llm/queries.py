@@ -97,6 +97,59 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding,
            "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
 
+def _level_sql(name: str, rows: str, parent: str | None, up: str | None) -> str:
+    """CTEs that give each row of ``rows`` its posterior, as ``urlfilter._shrink`` does."""
+    mean = f"SELECT x.*, (a.bad + 0.5) / (a.n + 1.0) AS mean, {urlfilter.STRENGTHS[1]} AS most FROM {rows} x, t a" if parent is None else (
+        f"SELECT x.*, (y.alpha - x.bad) / (y.alpha + y.beta - x.n) AS mean, y.alpha + y.beta - x.n AS most "
+        f"FROM {rows} x JOIN {parent} y USING ({up})")
+    low, high = urlfilter.STRENGTHS
+    return f"""
+        {name}_m AS ({mean}),
+        {name}_f AS (
+            SELECT sum(n * pow(bad / n - mean, 2)) AS s, sum(mean * (1 - mean)) AS v, sum(mean * (1 - mean) * (n - 1)) AS w
+            FROM {name}_m WHERE n > 0),
+        {name}_k AS (
+            SELECT round(CASE WHEN coalesce(w, 0) = 0 THEN {urlfilter.DEFAULT_STRENGTH} WHEN s <= v THEN {high}
+                         ELSE least(greatest(w / (s - v) - 1, {low}), {high}) END, 6) AS k FROM {name}_f),
+        {name} AS (
+            SELECT x.* EXCLUDE (mean, most), least(k, most) * mean + bad AS alpha, least(k, most) * (1 - mean) + n - bad AS beta
+            FROM {name}_m x, {name}_k)"""
+
+
+def _url_filter_sql() -> str:
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, act) for act, h, p in rules]
+    rule = " ".join(f"WHEN {f} THEN '{name}'" for f, name, _ in fits)
+    action = " ".join(f"WHEN {f} THEN '{act}'" for f, _, act in fits)
+    two = ", ".join(f"'{x}'" for x in urlfilter.TWO_LABEL_SUFFIXES)
+    return rf"""
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        r AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM r),
+        o AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels
+              WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+        h0 AS (SELECT host, count(o.bad)::DOUBLE AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad FROM p LEFT JOIN o ON page_id = doc_id GROUP BY host),
+        h1 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM h0),
+        h2 AS (SELECT *, string_split(bare, '.') AS ls FROM h1),
+        h3 AS (SELECT *, len(ls) < 2 OR regexp_matches(bare, '^(\d+\.\d+\.\d+\.\d+|\[.*)$') AS address,
+                      CASE WHEN len(ls) > 2 AND ls[-2] || '.' || ls[-1] IN ({two}) THEN 2 ELSE 1 END AS width FROM h2),
+        hosts AS (SELECT host, n, bad,
+                         CASE WHEN address THEN bare ELSE array_to_string(ls[greatest(len(ls) - width, 1):], '.') END AS domain,
+                         CASE WHEN address THEN '' ELSE array_to_string(ls[len(ls) - width + 1:], '.') END AS suffix FROM h3),
+        domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+        t AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM suffixes),
+        {_level_sql("ps", "suffixes", None, None)},
+        {_level_sql("pd", "domains", "(SELECT suffix, alpha, beta FROM ps)", "suffix")},
+        {_level_sql("ph", "hosts", "(SELECT domain, alpha, beta FROM pd)", "domain")},
+        q AS (SELECT host, alpha / (alpha + beta) AS mean, sqrt(alpha * beta / (pow(alpha + beta, 2) * (alpha + beta + 1))) AS sd FROM ph),
+        b AS (SELECT page_id, p.host, path, round(mean, 9) AS bad_rate, round(mean - {urlfilter.Z} * sd, 9) AS bound FROM p JOIN q ON p.host = q.host)
+        SELECT page_id, host, path, CASE {rule} END AS rule,
+               coalesce(CASE {action} END, CASE WHEN bound >= {urlfilter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, bad_rate, bound
+        FROM b"""
+
+
 ORACLES = {
     "op3_lm_scores": """
         WITH d AS (
@@ -128,4 +181,5 @@ ORACLES = {
             FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_url_filter": _url_filter_sql(),
 }
