@@ -181,5 +181,32 @@ ORACLES = {
             FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_linededup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+            FROM documents),
+        s AS (
+            SELECT doc_id, line, body, list_sort(list_distinct(list_filter(string_split(translate(
+                       lower(body), chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda w: w <> ''))) AS ws FROM l),
+        c AS (
+            SELECT ws, len(ws) AS n, min((doc_id, line)) AS first, row_number() OVER () AS id FROM s WHERE len(ws) > 0 GROUP BY ws),
+        w AS (SELECT id, n, first, unnest(ws) AS w FROM c),
+        f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+        o AS (SELECT w.*, row_number() OVER (PARTITION BY id ORDER BY df, w) AS place FROM w JOIN f USING (w)),
+        x AS (SELECT * FROM o WHERE place <= n - (4 * n + 4) // 5 + 1),
+        m AS (
+            SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.w = b.w AND a.first < b.first
+            WHERE 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+        v AS (
+            SELECT DISTINCT m.b AS id FROM m JOIN c p ON p.id = m.a JOIN c q ON q.id = m.b
+            WHERE 5 * len(list_intersect(p.ws, q.ws)) >= 4 * (p.n + q.n - len(list_intersect(p.ws, q.ws)))),
+        g AS (
+            SELECT s.*, c.id IS NOT NULL AND (v.id IS NOT NULL OR c.first <> (s.doc_id, s.line)) AS gone
+            FROM s LEFT JOIN c USING (ws) LEFT JOIN v ON v.id = c.id),
+        t AS (
+            SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text, count(*) AS lines,
+                   count(*) FILTER (gone) AS removed_lines FROM g GROUP BY doc_id)
+        SELECT d.doc_id, t.text, coalesce(lines, 0)::INT AS lines, coalesce(removed_lines, 0)::INT AS removed_lines
+        FROM documents d LEFT JOIN t USING (doc_id)""",
     "op10_url_filter": _url_filter_sql(),
 }
