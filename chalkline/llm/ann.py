@@ -5,9 +5,10 @@ and rotated by a seeded random orthogonal matrix; the signs are its code. With
 the residual's length, its inner product with the centroid and the cosine
 between residual and code, an inner product with any query is estimated from
 the bits alone, with an error bound. Queries meet all code blocks twice: first
-to learn a lower bound of each query's k-th best similarity, then to pick every
-vector whose upper bound reaches it. Only those are compared on the original
-vectors, in double precision.
+the best estimates of each block are compared exactly, which gives a floor for
+each query's k-th best similarity; then every vector whose upper bound reaches
+the floor is compared on its original, and a block's k+1 best go on. Their
+final scores are computed on the original vectors, in double precision.
 
 Equal vectors are searched once: their group is represented by its smallest
 vec_id and carries the k+1 smallest, all that a result can name, so a group of
@@ -36,9 +37,13 @@ SEED = 7
 #: Standard errors in the bounds; the paper's 1.9 already finds nearly all neighbours.
 EPSILON = 3.0
 #: Vectors of a code block, queries of a query block.
-CODE_ROWS, QUERY_ROWS = 8192, 512
+CODE_ROWS, QUERY_ROWS = 4096, 512
+#: Best estimates of a block that are compared for each neighbour wanted, to find the floor.
+TRIED = 4
+#: What rounding may differ between two ways to compute a cosine.
+ROUNDING = 1e-9
 
-_BLOCK = "dim int, block int, vids binary, codes binary, scalars binary"
+_BLOCK = "dim int, block int, vids binary, codes binary, scalars binary, units binary"
 _QUERIES = "dim int, qblock int, qids binary, queries binary, floors binary"
 
 
@@ -65,11 +70,12 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
 
 def _encode_block(key: tuple, table: pa.Table, centres: dict[int, list[float]], seed: int) -> pa.Table:
     dim = key[0].as_py()
-    codes, scalars = encode(_matrix(table["embedding"], dim), np.array(centres[dim]), rotation(dim, seed))
+    units = _matrix(table["embedding"], dim)
+    codes, scalars = encode(units, np.array(centres[dim]), rotation(dim, seed))
     vids = np.asarray(table["vid"], dtype=np.int64)
     return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
                      "vids": pa.array([vids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary()),
-                     "scalars": pa.array([scalars.tobytes()], pa.binary())})
+                     "scalars": pa.array([scalars.tobytes()], pa.binary()), "units": pa.array([units.tobytes()], pa.binary())})
 
 
 def _query_block(key: tuple, table: pa.Table) -> pa.Table:
@@ -96,30 +102,32 @@ def bounds(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, centre:
     return (queries @ centre)[:, None] + with_centre + reach * unit, reach * slack + 1e-5
 
 
-def _meet(batches, centres: dict[int, list[float]], seed: int, epsilon: float, k: int, collect: bool):
-    """For each pair of blocks: the k best lower bounds of each query, or (collect) all whose upper bound reaches its floor."""
+def _meet(batches, centres: dict[int, list[float]], seed: int, epsilon: float, k: int, final: bool):
+    """For each pair of blocks the k best of each query, among its best estimates or (final) among all whose upper bound reaches its floor."""
     turns = {}
     for batch in batches:
         for row in batch.to_pylist():
             dim = row["dim"]
             turn = turns.setdefault(dim, rotation(dim, seed))
             qids, floors = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["floors"], np.float64)
+            queries = np.frombuffer(row["queries"], np.float64).reshape(len(qids), dim)
             vids = np.frombuffer(row["vids"], np.int64)
+            units = np.frombuffer(row["units"], np.float64).reshape(len(vids), dim)
             about, slack = bounds(np.frombuffer(row["codes"], np.uint8).reshape(len(vids), -1),
-                                  np.frombuffer(row["scalars"], np.float32).reshape(-1, 3),
-                                  np.frombuffer(row["queries"], np.float64).reshape(len(qids), dim),
-                                  np.array(centres[dim]), turn, epsilon)
-            if collect:
-                q, v = np.nonzero(about + slack >= floors[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(vids[v]), pa.array(np.zeros(len(q)))],
-                                                 names=["qid", "vid", "lower"])
-            else:
-                low = about - slack
-                top = np.argpartition(-low, min(k, len(vids)) - 1, axis=1)[:, :k]
-                q = np.repeat(qids, top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(vids[top.ravel()]),
-                                                  pa.array(np.take_along_axis(low, top, 1).ravel())],
-                                                 names=["qid", "vid", "lower"])
+                                  np.frombuffer(row["scalars"], np.float32).reshape(-1, 3), queries, np.array(centres[dim]), turn, epsilon)
+            tried = min(TRIED * k, len(vids))
+            first = np.argpartition(-about, tried - 1, axis=1)[:, :tried]
+            out_q, out_v, out_s = [], [], []
+            for i, q in enumerate(queries):
+                chosen = np.nonzero(about[i] + slack[i] >= floors[i])[0] if final else first[i]
+                exact = units[chosen] @ q
+                if len(exact) > k:                          # with what rounding might put among them
+                    least = np.partition(exact, -k)[-k] - ROUNDING
+                    chosen, exact = chosen[exact >= least], exact[exact >= least]
+                out_q.append(np.full(len(chosen), qids[i]))
+                out_v.append(vids[chosen])
+                out_s.append(exact)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["qid", "vid", "cosine"])
 
 
 def usable(embedding: Column) -> Column:
@@ -169,23 +177,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = EP
     searched = index.join(queries.select("vid").distinct(), "vid", "left_semi").select("vid", "embedding", "dim")
     searched = materialize(searched)
 
-    def meet(floors: DataFrame | None, collect: bool) -> DataFrame:
+    def meet(floors: DataFrame | None) -> DataFrame:
         rows, _ = _in_blocks(searched, query_rows, "qblock")
         rows = rows.withColumn("floor", F.lit(0.0)) if floors is None else rows.join(floors, "vid")
         q = rows.groupBy("dim", "qblock").applyInArrow(_query_block, _QUERIES)
         met = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["dim", "block"])
-        return met.mapInArrow(partial(_meet, centres=middle, seed=seed, epsilon=epsilon, k=k + 1, collect=collect),
-                              "qid long, vid long, lower double")
+        return met.mapInArrow(partial(_meet, centres=middle, seed=seed, epsilon=epsilon, k=k + 1, final=floors is not None),
+                              "qid long, vid long, cosine double")
 
     # k+1: the query's own vector is among the best
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("lower"), "vid"))
-    best = meet(None, False).withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("qid")
-    floors = best.agg(F.when(F.count(F.lit(1)) > k, F.min("lower")).otherwise(-4.0).alias("floor"))
-    found = meet(materialize(floors.select(F.col("qid").alias("vid"), "floor")), True)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "vid"))
+    best = meet(None).withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("qid")
+    floors = best.agg(F.when(F.count(F.lit(1)) > k, F.min("cosine") - ROUNDING).otherwise(-4.0).alias("floor"))
+    found = meet(materialize(floors.select(F.col("qid").alias("vid"), "floor")))
 
     def dot(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+    # of each query's k+1 best over all blocks, and what rounding might put among them
+    last = F.nth_value("cosine", k + 1).over(Window.partitionBy("qid").orderBy(F.desc("cosine")).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing))
+    found = found.withColumn("last", last).filter(F.col("last").isNull() | (F.col("cosine") >= F.col("last") - ROUNDING))
     scored = (found.select("qid", "vid").join(index.select("vid", "ids", F.col("embedding").alias("b")), "vid")
               .join(searched.select(F.col("vid").alias("qid"), F.col("embedding").alias("a")), "qid")
               .select("qid", F.explode("ids").alias("vec_id"),
