@@ -43,7 +43,9 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(E.queries()) == set(E.oracle_sql())
+    from chalkline.plans.queries import QUERIES
+    # every query of the library itself has its SQL; training-data queries only where SQL can express them
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_small_catalog_is_broadcast_by_size_check(spark):
