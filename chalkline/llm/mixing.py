@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from chalkline.llm.common import fresh, materialize
 
 DOMAINS = ("high", "low", "toxic")
-TRAIN_DOCS, FEATURES, SUPPORT = 12_000, 3_000, 5
+TRAIN_DOCS, FEATURES, SUPPORT, PRIOR_DOCS = 12_000, 3_000, 5, 10.0
 #: Rounds end when no domain misses its target by more than this share of all tokens, or when five rounds gain under 3 %.
 ROUNDS, TOLERANCE = 40, 5e-4
 
@@ -70,7 +70,8 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS
               .agg(*[F.sum((F.col("domain") == k).cast("int")).alias(f"n{i}") for i, k in enumerate(domains)]))
     total = sum(F.col(f"n{i}") for i in range(len(domains)))
     overall = (total + 0.5) / F.lit(sum(n) + 1)
-    ratios = [F.log((F.col(f"n{i}") + 0.5) / F.lit(n[i] + 1) / overall) for i in range(len(domains))]
+    # each domain's counts with PRIOR_DOCS more documents of the overall kind: few labels give weak evidence
+    ratios = [F.log((F.col(f"n{i}") + PRIOR_DOCS * overall) / F.lit(n[i] + PRIOR_DOCS) / overall) for i in range(len(domains))]
     telling = sum(F.col(f"n{i}") * F.abs(r) for i, r in enumerate(ratios))
     model = (counts.filter(total >= SUPPORT).select("feature", F.array(*ratios).alias("weights"), telling.alias("telling"))
              .orderBy(F.desc("telling"), "feature").limit(features).drop("telling"))
@@ -135,6 +136,15 @@ def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS,
     return documents.withColumn("rate", _replayed(history, k)["x"])
 
 
+def totals_without(documents: DataFrame, domains: tuple[str, ...], unwanted: tuple[str, ...]) -> list[float]:
+    """Expected domain totals of the documents whose most probable domain is not ``unwanted``: targets that some rates
+    meet, where asking for none of a domain would sacrifice every document with the least share in it."""
+    top = F.array_position("p", F.array_max("p")) - 1
+    kept = documents.filter(~top.isin([i for i, k in enumerate(domains) if k in unwanted]))
+    row = kept.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(domains))]).first()
+    return [v or 0.0 for v in row]
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], share: float = 1.0, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``doc_id, tokens, p, rate``: rates whose expected domain totals are ``share`` of all tokens times ``weights``.
 

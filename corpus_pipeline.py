@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import langid, linededup, mixing, neardup, packing
-from chalkline.session import ensure_checkpoint_dir
+from chalkline.session import ensure_checkpoint_dir, materialize
 from chalkline.sources.tables import read_table
 
 #: Least posterior of a document's language.
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, RADIUS = 3, 2
-#: As much as there is of both domains of harmless text, next to nothing of the toxic one; no document twice.
-MIXTURE, MOST_USES = {"high": None, "low": None, "toxic": 0.005}, 1
+#: The target mixture is that of the documents not judged to be of this domain; no document is used twice.
+UNWANTED, MOST_USES = ("toxic",), 1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that meet the target mixture."""
-    rates = mixing.mix(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"), MIXTURE)
-    return mixing.resample(docs, rates, MOST_USES)
+    own = docs.select("doc_id", "text")
+    model, priors = mixing.train(own, read_table(spark, sf_dir, "labels"))
+    documents = materialize(mixing.posteriors(own, model, priors))
+    targets = mixing.totals_without(documents, mixing.DOMAINS, UNWANTED)
+    return mixing.resample(docs, mixing.fit_rates(documents, targets), MOST_USES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
