@@ -6,15 +6,16 @@ where an earlier one (by doc_id, then line number) has a Jaccard similarity of
 
 Words are ordered by rarity: by the count of their hash bucket over the whole
 table (a table of fixed size), then by hash. Under any such order two similar
-sets share a word among each one's first n - ceil(t n) + 1, and at their first
-common word the rest of both sets must still allow the overlap needed; lengths
-must fit; and the parity bits of two sets cannot differ in more places than
-the sets do. What passes these filters is verified on the whole sets.
+sets share k words among each one's first n - ceil(t n) + k (k is 1, and 3 for
+lines of 48 words or more), and at the first of them the rest of both sets
+must still allow the overlap needed; lengths must fit; and the parity bits of
+two sets cannot differ in more places than the sets do. What passes these
+filters is verified on the whole sets.
 
 Lines of equal sets form one class, represented by the earliest, so copies of
-a line cost one row each. Every posting list first meets only its earliest
-member; only lines that are left undecided meet all earlier members, so a
-group of near copies is not paired with itself.
+a line cost one row each. The posting lists of a line's rarest words first
+meet only their earliest members; only lines that are left undecided meet all
+earlier members, so a group of near copies is not paired with itself.
 
 Defined results: a line without words always stays. A null text has no lines
 and stays null. Rows that share a doc_id are versions of one document: lines
@@ -34,7 +35,11 @@ from chalkline.llm.common import fresh, materialize
 
 THRESHOLD = 0.8
 #: Hash buckets whose counts order the words.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
+#: Lines of so many words must share so many words of their prefixes.
+LONG_WORDS, LONG_SHARED = 48, 3
+#: Rarest words of a line whose posting lists' earliest members it meets first.
+STAR_WORDS = 2
 #: Ids of at most this many rows (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,9 +51,12 @@ def doc_key(doc_id: str | Column) -> Column:
     return F.coalesce(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id, F.lit(NULL_ID).cast("long"))
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words; consecutive separators leave empty strings."""
-    return F.split(F.translate(F.lower(text), "\t\r\f\v\n", "     "), " ")
+def normal(text: Column) -> Column:
+    """Lower-cased text whose only separators are spaces and line ends."""
+    text = F.lower(text)
+    for c in "\t\r\f\v":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def bucket(h: Column) -> Column:
@@ -56,44 +64,54 @@ def bucket(h: Column) -> Column:
 
 
 def rarity_classes(docs: DataFrame) -> Column:
-    """An array literal: for each bucket twice the binary logarithm of its count, at most 127."""
-    counts = (docs.select(F.explode(words(F.col("text"))).alias("w")).filter("w <> ''")
+    """An array literal: for each bucket twice the binary logarithm of its count, at most 127, in the top bits of a long."""
+    text = F.replace(normal(F.col("text")), F.lit("\n"), F.lit(" "))
+    counts = (docs.select(F.explode(F.split(text, " ")).alias("w")).filter("w <> ''")
               .groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
               .select("b", F.least(F.floor(2 * F.log2("n")), F.lit(127)).cast("int").alias("c")))
+    # one short string of at most BUCKETS entries
+    found = counts.agg(F.array_join(F.transform(F.collect_list(F.struct("b", "c")), lambda x: F.concat_ws(":", x["b"], x["c"])), ",")).first()[0]
     classes = [0] * BUCKETS
-    for r in counts.toLocalIterator():                      # at most BUCKETS short rows
-        classes[r["b"]] = r["c"]
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+    for entry in filter(None, (found or "").split(",")):
+        b, c = entry.split(":")
+        classes[int(b)] = int(c) << HASH_BITS
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
 
 def word_set(line: Column, classes: Column) -> Column:
-    """Sorted distinct words as longs: rarity class, then 56 bits of the word's hash."""
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, bucket(h)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words(line), ""), code)))
+    """Sorted distinct words of a normal line as longs: rarity class, then 56 bits of the word's hash."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(classes, bucket(h)).bitwiseOR(
+        F.shiftrightunsigned(h, 64 - HASH_BITS))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``d, line, body`` of every line."""
-    return docs.select(doc_key("doc_id").alias("d"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    """``d, line, body`` of every line, in normal form."""
+    return docs.select(doc_key("doc_id").alias("d"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "body"))
 
 
-def _fits(a: str, b: str, t: Fraction) -> Column:
-    """The length, positional and parity filters for two posting rows of one word."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    total = (n + m).cast("long")
-    # overlap >= ceil(t / (1 + t) * (n + m))
-    need = -F.floor(-(total * t.numerator) / F.lit(t.numerator + t.denominator))
-    length = (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
-    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
-    parity = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= total - 2 * need
-    return length & (rest >= need) & parity
+def shared_words(n: Column) -> Column:
+    return F.when(n >= LONG_WORDS, LONG_SHARED).otherwise(1)
+
 
+#: A posting row: document, line, number of words and place of the word (packed), parity bits.
+def _packed(n: Column, at: Column) -> Column:
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(at.cast("long"))
 
-def _earlier(a: str, b: str) -> Column:
-    d, e = F.col(f"{a}.d"), F.col(f"{b}.d")
-    return (d < e) | ((d == e) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
+
+def _fits(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
+    """Whether a is earlier than b and the length, positional and parity filters let the two posting rows pass."""
+    n, m = F.shiftright(a["size"], 32), F.shiftright(b["size"], 32)
+    low = F.lit((1 << 32) - 1)
+    total = n + m
+    # overlap >= ceil(t / (1 + t) * (n + m))
+    need = F.ceil(total * t.numerator / F.lit(t.numerator + t.denominator))
+    earlier = (a["d"] < b["d"]) | ((a["d"] == b["d"]) & (a["line"] < b["line"]))
+    length = (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
+    rest = F.least(n - a["size"].bitwiseAND(low), m - b["size"].bitwiseAND(low))
+    parity = F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= total - 2 * need
+    shared = shared_words(F.least(n, m))
+    return earlier & length & (rest >= need - (shared - 1)) & parity
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -109,8 +127,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: Column, t: Fraction) -
     in_docs = _small(materialize(ids.select(F.col("d").alias("id")).distinct()))
     own = docs.join(in_docs, doc_key(docs["doc_id"]) == in_docs["id"], "left_semi")
     found = lines_of(own).join(_small(ids), ["d", "line"])
-    sets = materialize(found.groupBy("d", "line").agg(F.min("body").alias("body"))
-                       .select("d", "line", word_set(F.col("body"), classes).alias("s")))
+    sets = materialize(found.select("d", "line", word_set(F.col("body"), classes).alias("s")))
     both = (pairs.join(sets.select(F.col("d").alias("ad"), F.col("line").alias("aline"), F.col("s").alias("sa")), ["ad", "aline"])
             .join(sets.select(F.col("d").alias("bd"), F.col("line").alias("bline"), F.col("s").alias("sb")), ["bd", "bline"]))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -121,34 +138,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: Column, t: Fraction) -
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``d, line``: numbers of the lines that go (d is the doc_id, the smallest long where it is null)."""
-    t = Fraction(str(threshold))
+    t = Fraction(str(threshold)).limit_denominator(1000)
     docs = docs.select("doc_id", "text")
     classes = rarity_classes(docs)
     sets = lines_of(docs).select("d", "line", word_set(F.col("body"), classes).alias("s")).filter("size(s) > 0")
     n = F.size("s")
-    prefix = n + F.floor(-(n * t.numerator) / F.lit(t.denominator)).cast("int") + 1
-    one = F.lit(1).cast("long")
+    prefix = n + F.floor(-(n * t.numerator) / F.lit(t.denominator)).cast("int") + shared_words(n)
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
-        F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = sets.select("d", "line", F.xxhash64("s").alias("set"), n.alias("n"), F.slice("s", 1, prefix).alias("prefix"), parity.alias("parity"))
-    # one row per class of equal sets; the others go
-    first = Window.partitionBy("set", "n", "parity").orderBy("d", "line")
-    ranked = materialize(rows.withColumn("copy", F.row_number().over(first)))
-    copies = ranked.filter("copy > 1").select("d", "line")
-    posting = (ranked.filter("copy = 1").select(F.posexplode("prefix").alias("at", "w"), "d", "line", "n", "parity")
-               .select("w", F.struct("d", "line", "n", "at", "parity").alias("x")))
-    listed = Window.partitionBy("w").orderBy("x.d", "x.line")
-    led = materialize(posting.select("w", "x", F.first("x").over(listed).alias("lead"), F.lead("w").over(listed).alias("more"))
-                      .filter("more is not null or x <> lead").drop("more"))
-    pair = [F.col("a.d").alias("ad"), F.col("a.line").alias("aline"), F.col("b.d").alias("bd"), F.col("b.line").alias("bline")]
-    starred = materialize(led.select(F.col("lead").alias("a"), F.col("x").alias("b"))
-                          .filter(_earlier("a", "b") & _fits("a", "b", t)).select(*pair).distinct())
+        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    rows = sets.select("d", "line", F.xxhash64("s").alias("set"), n.alias("n"), parity.alias("parity"),
+                       F.transform(F.slice("s", 1, prefix), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
+    # one row per class of equal sets; the others go (repeated rows of the same id and number are no others)
+    member = Window.partitionBy("set", "n", "parity").orderBy("d", "line")
+    ranked = materialize(rows.withColumns({"copy": F.row_number().over(member), "fd": F.first("d").over(member),
+                                           "fline": F.first("line").over(member)}).drop("set"))
+    copies = ranked.filter("copy > 1 and (d <> fd or line <> fline)").select("d", "line")
+    own = ranked.filter("copy = 1").select("d", "line", "n", "parity", "prefix")
+
+    def side(name: str, line: str = "line") -> dict[str, Column]:
+        return {"d": F.col(f"{name}d"), "line": F.col(f"{name}{line}"), "size": F.col(f"{name}size"), "parity": F.col(f"{name}parity")}
+
+    # words of the posting lists are cut to 32 bits: what meets by chance fails the verification
+    first = Window.partitionBy("w").orderBy("d", "line")
+    led = (own.select(F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("at", "w"), "d", "line", "n", "parity")
+           .select("w", "d", "line", _packed(F.col("n"), F.col("at")).alias("size"), "parity")
+           .withColumns({f"a{c}": F.first(c).over(first) for c in ("d", "line", "size", "parity")}))
+    starred = materialize(led.filter(_fits(side("a"), side(""), t))
+                          .select("ad", "aline", F.col("d").alias("bd"), F.col("line").alias("bline")).distinct())
     gone = materialize(_verified(starred, docs, classes, t))
-    # what is left undecided meets every earlier member; the earliest it has met already
-    left = led.select("w", F.col("x").alias("b"), "lead").filter("b <> lead")
-    left = left.join(gone, (F.col("b.d") == gone["d"]) & (F.col("b.line") == gone["line"]), "left_anti")
-    others = led.filter("x <> lead").select("w", F.col("x").alias("a"))
-    rest = materialize(others.join(left.drop("lead"), "w").filter(_earlier("a", "b") & _fits("a", "b", t)).select(*pair).distinct())
+    # only what is left undecided meets every earlier member; lines that are decided have their number negated
+    decided = _small(gone.select(F.col("d").alias("gd"), F.col("line").alias("gline")))
+    marked = own.join(decided, (F.col("d") == F.col("gd")) & (F.col("line") == F.col("gline")), "left")
+    number = F.when(F.col("gd").isNull(), F.col("line")).otherwise(-1 - F.col("line"))
+    posting = (marked.select(F.posexplode("prefix").alias("at", "w"), "d", number.alias("line"), "n", "parity")
+               .select("w", "d", "line", _packed(F.col("n"), F.col("at")).alias("size"), "parity").repartition("w"))
+    a, b = side("a."), side("b.")
+    a["line"] = F.when(a["line"] < 0, -1 - a["line"]).otherwise(a["line"])
+    # asked of both sides at once, so that both read the same exchange
+    undecided = (b["line"] >= 0) | (a["size"] < 0)
+    met = posting.alias("a").join(posting.alias("b"), (F.col("a.w") == F.col("b.w")) & undecided & _fits(a, b, t))
+    least = F.least(F.shiftright(a["size"], 32), F.shiftright(b["size"], 32))
+    rest = materialize(met.select(a["d"].alias("ad"), a["line"].alias("aline"), b["d"].alias("bd"), b["line"].alias("bline"),
+                                  shared_words(least).alias("least"))
+                       .groupBy("ad", "aline", "bd", "bline", "least").agg(F.count(F.lit(1)).alias("shared"))
+                       .filter("shared >= least").select("ad", "aline", "bd", "bline"))
     return copies.unionByName(gone).unionByName(_verified(rest, docs, classes, t)).distinct()
 
 
