@@ -9,7 +9,7 @@ domain's size, by projected gradient with momentum from rate 1. A step moves a
 document by its posteriors' share of the domains' gradients, whatever its
 length, so documents of equal posterior get equal rates. A round is one
 aggregation of two sums per domain; each document's rate is replayed from the
-few numbers of the rounds so far, and no state is kept between rounds.
+few numbers of the last rounds, and stored after every ten.
 
 Training reads about ``train_docs`` labelled documents, chosen by a hash of
 doc_id, and keeps the ``features`` most telling words; totals, posteriors and
@@ -35,8 +35,11 @@ from chalkline.llm.common import fresh, materialize
 
 DOMAINS = ("high", "low", "toxic")
 TRAIN_DOCS, FEATURES, SUPPORT, PRIOR_DOCS = 12_000, 3_000, 5, 10.0
-#: Rounds end when no domain misses its target by more than this share of all tokens, or when five rounds gain under 3 %.
-ROUNDS, TOLERANCE = 40, 5e-4
+#: Rounds end when no domain misses its target by more than this share of the target (of its size, where the target is 0), or
+#: when a round's gradient moves no more than the share SETTLED of all tokens.
+ROUNDS, TOLERANCE, SETTLED = 100, 5e-4, 1e-6
+#: Rounds that are replayed before the rates reached are stored.
+REPLAYED = 10
 
 
 def words(text: Column) -> Column:
@@ -92,16 +95,16 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     return sums.select("doc_id", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
 
 
-def _replayed(history: list[list[float]], k: int) -> Column:
-    """A document's (rate x, look-ahead y) after the rounds of ``history``: gradients of each domain, then the momentum."""
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+def _replayed(history: list[list[float]], k: int, start: Column) -> Column:
+    """A document's (rate x, look-ahead y, look-ahead z before that) after the rounds of ``history``: gradients of each
+    domain, then the momentum."""
     if not history:
         return start
 
     def step(state: Column, h: Column) -> Column:
         slope = sum((F.get("p", F.lit(i)) * F.get(h, F.lit(i)) for i in range(1, k)), F.get("p", F.lit(0)) * F.get(h, F.lit(0)))
         x = F.greatest(F.lit(0.0), state["y"] - slope)
-        return F.struct(x.alias("x"), (x + F.get(h, F.lit(k)) * (x - state["x"])).alias("y"))
+        return F.struct(x.alias("x"), (x + F.get(h, F.lit(k)) * (x - state["x"])).alias("y"), state["y"].alias("z"))
 
     return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in h]) for h in history]), start, step)
 
@@ -109,31 +112,32 @@ def _replayed(history: list[list[float]], k: int) -> Column:
 def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``documents`` (doc_id, tokens, p) with ``rate``: expected domain totals as near to ``targets`` as rates >= 0 allow."""
     k = len(targets)
-
-    def totals(of: Column) -> list[float]:
-        row = documents.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * of) for i in range(k)]).first()
-        return [v or 0.0 for v in row]
-
-    sizes = totals(F.lit(1.0))
-    scale = max(1.0, sum(sizes), sum(targets))
+    sums = [F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]
+    *sizes, tokens = [v or 0.0 for v in documents.agg(*sums, F.sum("tokens")).first()]
+    own = [t or s for t, s in zip(targets, sizes)]
+    at = fresh(documents, "at")
+    stored = documents.withColumn(at, F.struct(*[F.lit(1.0).alias(v) for v in "xyz"]))
     history: list[list[float]] = []
-    momentum, gaps = 1.0, [math.inf]
-    for _ in range(rounds):
-        state = _replayed(history, k)
-        row = documents.select("tokens", "p", state.alias("s")).agg(
-            *[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.col(f"s.{v}")) for v in "xy" for i in range(k)]).first()
-        x, y = [v or 0.0 for v in row[:k]], [v or 0.0 for v in row[k:]]
-        gap = max((abs(a - t) for a, t, s in zip(x, targets, sizes) if s), default=0.0)
-        if gap <= tolerance * scale or len(gaps) > 5 and gap > 0.97 * gaps[-5]:
+    momentum, last = 1.0, math.inf
+    for done in range(rounds):
+        state = _replayed(history, k, F.col(at))
+        row = stored.select("tokens", "p", state.alias("s")).agg(
+            *[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.col(f"s.{v}")) for v in "xy" for i in range(k)],
+            F.sum(F.col("tokens") * F.abs(F.col("s.x") - F.col("s.z")))).first()
+        *totals, moved = [v or 0.0 for v in row]
+        x, y = totals[:k], totals[k:]
+        gaps = [abs(a - t) if s else 0.0 for a, t, s in zip(x, targets, sizes)]
+        if all(g <= tolerance * o for g, o in zip(gaps, own)) or done and moved <= SETTLED * tokens:
             break
         following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         beta = (momentum - 1) / following
-        if gap > gaps[-1]:                                    # overshot: start the momentum anew
+        if max(gaps) > last:                                  # overshot: start the momentum anew
             following, beta = 1.0, 0.0
-        momentum = following
-        gaps.append(gap)
+        momentum, last = following, max(gaps)
+        if len(history) == REPLAYED:
+            stored, history, state = materialize(stored.withColumn(at, state)), [], F.col(at)
         history.append([(a - t) / s if s else 0.0 for a, t, s in zip(y, targets, sizes)] + [beta])
-    return documents.withColumn("rate", _replayed(history, k)["x"])
+    return stored.withColumn("rate", _replayed(history, k, F.col(at))["x"]).drop(at)
 
 
 def totals_without(documents: DataFrame, domains: tuple[str, ...], unwanted: tuple[str, ...]) -> list[float]:

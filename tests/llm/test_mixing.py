@@ -23,6 +23,35 @@ def test_rates_meet_targets(spark):
         assert np.abs((tokens * x) @ p - targets).max() <= mixing.TOLERANCE * max(sizes.sum(), targets.sum())
 
 
+def test_rare_domain_meets_its_target(spark):
+    """Each gap counts against its own domain: one with 0.02 % of the tokens is fitted too."""
+    rows = [(i, 1000, [1.0, 0.0, 0.0]) for i in range(50)] + [(i, 1000, [0.0, 1.0, 0.0]) for i in range(50, 99)] + [(99, 20, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rates = {r.doc_id: r.rate for r in mixing.fit_rates(df, [50_000.0, 49_000.0, 0.0]).collect()}
+    assert rates[99] == 0 and all(rates[i] == 1 for i in range(99))
+
+
+def test_more_rounds_than_are_replayed(spark):
+    """What is stored between rounds is what replaying all of them gives."""
+    rng = np.random.default_rng(5)
+    p, tokens = rng.dirichlet([0.8, 0.3, 0.3], 60), rng.integers(1, 100, 60)
+    targets = (tokens @ p) * [1.0, 1.3, 0.0]
+    rows = [(i, int(n), [float(v) for v in q]) for i, (n, q) in enumerate(zip(tokens, p))]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    n = mixing.REPLAYED + 3
+    got = np.array([r.rate for r in mixing.fit_rates(df, list(map(float, targets)), rounds=n, tolerance=0).orderBy("doc_id").collect()])
+    sizes, x, y, m, last = tokens @ p, np.ones(60), np.ones(60), 1.0, math.inf
+    for _ in range(n):
+        gap = np.abs((tokens * x) @ p - targets).max()
+        slope = ((tokens * y) @ p - targets) / sizes
+        f = (1 + math.sqrt(1 + 4 * m * m)) / 2
+        f, b = (1.0, 0.0) if gap > last else (f, (m - 1) / f)
+        m, last, old = f, gap, x
+        x = np.maximum(0, y - p @ slope)
+        y = x + b * (x - old)
+    assert np.allclose(got, x)
+
+
 def test_follows_the_same_steps_as_arrays(spark):
     """The replayed rounds are projected gradient with momentum, as written in numpy."""
     rng = np.random.default_rng(3)
