@@ -5,7 +5,9 @@ document its posterior over the domains. A document's expected tokens in a
 domain are its tokens times the posterior; nonnegative rates (expected uses of
 each document) are fitted so that the domains' expected totals match their
 targets: least squares over the domains, each residual measured against the
-domain's size, by projected gradient with momentum from rate 1. A step moves a
+domain's size, by projected gradient with momentum from rate 1; where documents
+may be used ``most`` times only, every step is projected onto 0 <= rate <= most,
+so the totals fitted are those of the rates returned. A step moves a
 document by its posteriors' share of the domains' gradients, whatever its
 length, so documents of equal posterior get equal rates. A round is one
 aggregation of two sums per domain; each document's rate is replayed from the
@@ -95,7 +97,7 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     return sums.select("doc_id", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
 
 
-def _replayed(history: list[list[float]], k: int, start: Column) -> Column:
+def _replayed(history: list[list[float]], k: int, start: Column, most: float) -> Column:
     """A document's (rate x, look-ahead y, look-ahead z before that) after the rounds of ``history``: gradients of each
     domain, then the momentum."""
     if not history:
@@ -103,24 +105,26 @@ def _replayed(history: list[list[float]], k: int, start: Column) -> Column:
 
     def step(state: Column, h: Column) -> Column:
         slope = sum((F.get("p", F.lit(i)) * F.get(h, F.lit(i)) for i in range(1, k)), F.get("p", F.lit(0)) * F.get(h, F.lit(0)))
-        x = F.greatest(F.lit(0.0), state["y"] - slope)
+        x = F.least(F.greatest(F.lit(0.0), state["y"] - slope), F.lit(float(most)))
         return F.struct(x.alias("x"), (x + F.get(h, F.lit(k)) * (x - state["x"])).alias("y"), state["y"].alias("z"))
 
     return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in h]) for h in history]), start, step)
 
 
-def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``documents`` (doc_id, tokens, p) with ``rate``: expected domain totals as near to ``targets`` as rates >= 0 allow."""
+def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+              most: float = math.inf) -> DataFrame:
+    """``documents`` (doc_id, tokens, p) with ``rate``: expected domain totals as near to ``targets`` as rates from 0 to
+    ``most`` allow."""
     k = len(targets)
     sums = [F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]
     *sizes, tokens = [v or 0.0 for v in documents.agg(*sums, F.sum("tokens")).first()]
     own = [t or s for t, s in zip(targets, sizes)]
     at = fresh(documents, "at")
-    stored = documents.withColumn(at, F.struct(*[F.lit(1.0).alias(v) for v in "xyz"]))
+    stored = documents.withColumn(at, F.struct(*[F.lit(min(1.0, float(most))).alias(v) for v in "xyz"]))
     history: list[list[float]] = []
     momentum, last = 1.0, math.inf
     for done in range(rounds):
-        state = _replayed(history, k, F.col(at))
+        state = _replayed(history, k, F.col(at), most)
         row = stored.select("tokens", "p", state.alias("s")).agg(
             *[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.col(f"s.{v}")) for v in "xy" for i in range(k)],
             F.sum(F.col("tokens") * F.abs(F.col("s.x") - F.col("s.z")))).first()
@@ -137,22 +141,14 @@ def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS,
         if len(history) == REPLAYED:
             stored, history, state = materialize(stored.withColumn(at, state)), [], F.col(at)
         history.append([(a - t) / s if s else 0.0 for a, t, s in zip(y, targets, sizes)] + [beta])
-    return stored.withColumn("rate", _replayed(history, k, F.col(at))["x"]).drop(at)
+    return stored.withColumn("rate", _replayed(history, k, F.col(at), most)["x"]).drop(at)
 
 
-def totals_without(documents: DataFrame, domains: tuple[str, ...], unwanted: tuple[str, ...]) -> list[float]:
-    """Expected domain totals of the documents whose most probable domain is not ``unwanted``: targets that some rates
-    meet, where asking for none of a domain would sacrifice every document with the least share in it."""
-    top = F.array_position("p", F.array_max("p")) - 1
-    kept = documents.filter(~top.isin([i for i, k in enumerate(domains) if k in unwanted]))
-    row = kept.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(domains))]).first()
-    return [v or 0.0 for v in row]
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], share: float = 1.0, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float | None], share: float = 1.0, train_docs: int = TRAIN_DOCS,
+        most: float = math.inf) -> DataFrame:
     """``doc_id, tokens, p, rate``: rates whose expected domain totals are ``share`` of all tokens times ``weights``.
 
-    A weight of None asks for as much of the domain as there is.
+    A weight of None asks for as much of the domain as there is. No rate exceeds ``most``.
     """
     domains = tuple(weights)
     model, priors = train(docs, labels, domains, train_docs)
@@ -160,7 +156,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], share: fl
     row = documents.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(domains))]).first()
     sizes = [v or 0.0 for v in row]
     targets = [s if w is None else w * share * sum(sizes) for s, w in zip(sizes, weights.values())]
-    return fit_rates(documents, targets)
+    return fit_rates(documents, targets, most=most)
 
 
 def resample(docs: DataFrame, rates: DataFrame, most: float = math.inf) -> DataFrame:

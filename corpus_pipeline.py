@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import langid, linededup, mixing, neardup, packing
-from chalkline.session import ensure_checkpoint_dir, materialize
+from chalkline.session import ensure_checkpoint_dir
 from chalkline.sources.tables import read_table
 
 #: Least posterior of a document's language.
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, RADIUS = 3, 2
-#: The target mixture is that of the documents not judged to be of this domain; no document is used twice.
-UNWANTED, MOST_USES = ("toxic",), 1
+#: Target weights: as much of the domain as there is (None), or its share of all tokens. With no document used twice this
+#: is the largest total there can be, so what is clearly of a wanted domain is kept once and the shares of ``high`` and
+#: ``low`` are the corpus's own; the toxic total ends as near to nothing as the other two targets allow.
+WEIGHTS: dict[str, float | None] = {"high": None, "low": None, "toxic": 0.0}
+MOST_USES = 1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +46,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that meet the target mixture."""
-    own = docs.select("doc_id", "text")
-    model, priors = mixing.train(own, read_table(spark, sf_dir, "labels"))
-    documents = materialize(mixing.posteriors(own, model, priors))
-    targets = mixing.totals_without(documents, mixing.DOMAINS, UNWANTED)
-    return mixing.resample(docs, mixing.fit_rates(documents, targets), MOST_USES)
+    """Documents drawn at the rates, of one use at most, that come nearest to the target weights."""
+    rates = mixing.mix(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"), WEIGHTS, most=MOST_USES)
+    return mixing.resample(docs, rates, MOST_USES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

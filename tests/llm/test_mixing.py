@@ -31,6 +31,32 @@ def test_rare_domain_meets_its_target(spark):
     assert rates[99] == 0 and all(rates[i] == 1 for i in range(99))
 
 
+def test_rates_within_most_uses(spark):
+    """With at most one use: the optimum found by plain projected gradient, and the totals that are drawn."""
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.dirichlet([30, 2, 0.02], 600), rng.dirichlet([2, 30, 0.02], 300), rng.dirichlet([0.4, 0.4, 6], 100)])
+    tokens = rng.integers(1, 200, 1000)
+    rows = [(i, int(n), [float(v) for v in q]) for i, (n, q) in enumerate(zip(tokens, p))]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    sizes = tokens @ p
+    targets, best = sizes * [1, 1, 0], np.ones(1000)
+    for _ in range(20_000):
+        best = np.clip(best - p @ (((tokens * best) @ p - targets) / sizes), 0, 1)
+    found = mixing.fit_rates(df, list(map(float, targets)), most=1)
+    x = np.array([r.rate for r in found.orderBy("doc_id").collect()])
+    assert x.min() >= 0 and x.max() <= 1
+    totals = (tokens * x) @ p
+    assert np.abs(totals - (tokens * best) @ p).max() <= 2e-3 * sizes.sum()
+    clean, toxic = p[:, 2] < 0.01, p[:, 2] > 0.9
+    assert clean.sum() > 800 and (best[clean] == 1).all() and (x[clean] > 0.999).all()
+    assert toxic.sum() > 40 and x[toxic].max() < 0.02
+    docs = docs_frame(spark, [(i, "text") for i in range(1000)])
+    drawn = np.zeros(1000)
+    for r in mixing.resample(docs, found, 1).collect():
+        drawn[r.doc_id] += 1
+    assert drawn.max() == 1 and (drawn[clean] == 1).all() and np.abs((tokens * drawn) @ p - totals).max() <= 5e-3 * sizes.sum()
+
+
 def test_more_rounds_than_are_replayed(spark):
     """What is stored between rounds is what replaying all of them gives."""
     rng = np.random.default_rng(5)
