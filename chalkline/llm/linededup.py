@@ -1,8 +1,10 @@
 """Line dedup: an exact set-similarity self-join of all lines, in DataFrame functions only.
 
 A line is the set of its lower-cased, white-space separated words. A line goes
-where an earlier one (by doc_id, then line number) has a Jaccard similarity of
-``threshold`` or more with it, whether or not that earlier line itself stays.
+where an earlier one (by doc_id, version, then line number) has a Jaccard
+similarity of ``threshold`` or more with it, whether or not that earlier line
+itself stays. Texts under one doc_id are told apart by their hash, the version;
+it is 0 for a doc_id that has one row only.
 
 Words are ordered by rarity: by the count of their hash bucket over the whole
 table (a table of fixed size), then by hash. Under any such order two similar
@@ -18,10 +20,11 @@ meet only their earliest members; only lines that are left undecided meet all
 earlier members, so a group of near copies is not paired with itself.
 
 Defined results: a line without words always stays. A null text has no lines
-and stays null. Rows that share a doc_id are versions of one document: lines
-at the same number stay or go together. A null doc_id comes first. Texts and
-lines of any length are read whole. An empty table gives no rows. Extra
-columns stay, whatever their names.
+and stays null. Different texts under one doc_id, or without one, are judged
+each by itself, in the order of their hashes; rows that repeat both doc_id and
+text share their fate. A null doc_id comes first. Texts and lines of any length
+are read whole. An empty table gives no rows. Extra columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ STAR_WORDS = 2
 BROADCAST_ROWS = 1_000_000
 
 NULL_ID = -(1 << 63)
+#: What a line is known by, in the order of lines: document, version of its text, number.
+KEY = ["d", "v", "line"]
 HASH_BITS = 56
 
 
@@ -51,6 +56,16 @@ def doc_key(doc_id: str | Column) -> Column:
     return F.coalesce(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id, F.lit(NULL_ID).cast("long"))
 
 
+def versioned(docs: DataFrame, out: str) -> DataFrame:
+    """``docs`` with its rows' version: the hash of the text where the doc_id is null or has several rows, else 0."""
+    again = fresh(docs, "again")
+    repeated = materialize(docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(again))
+                           .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(again))
+    marked = docs.join(_small(repeated), docs["doc_id"].cast("long") == F.col(again), "left")
+    alone = F.col("doc_id").isNotNull() & F.col(again).isNull()
+    return marked.withColumn(out, F.when(alone, F.lit(0).cast("long")).otherwise(F.xxhash64("text"))).drop(again)
+
+
 def normal(text: Column) -> Column:
     """Lower-cased text whose only separators are spaces and line ends."""
     text = F.lower(text)
@@ -86,15 +101,15 @@ def word_set(line: Column, classes: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``d, line, body`` of every line, in normal form."""
-    return docs.select(doc_key("doc_id").alias("d"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "body"))
+    """``d, v, line, body`` of every line of versioned rows, in normal form."""
+    return docs.select(doc_key("doc_id").alias("d"), "v", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "body"))
 
 
 def shared_words(n: Column) -> Column:
     return F.when(n >= LONG_WORDS, LONG_SHARED).otherwise(1)
 
 
-#: A posting row: document, line, number of words and place of the word (packed), parity bits.
+#: A posting row: document, version, line, number of words and place of the word (packed), parity bits.
 def _packed(n: Column, at: Column) -> Column:
     return F.shiftleft(n.cast("long"), 32).bitwiseOR(at.cast("long"))
 
@@ -106,7 +121,8 @@ def _fits(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
     total = n + m
     # overlap >= ceil(t / (1 + t) * (n + m))
     need = F.ceil(total * t.numerator / F.lit(t.numerator + t.denominator))
-    earlier = (a["d"] < b["d"]) | ((a["d"] == b["d"]) & (a["line"] < b["line"]))
+    same = a["d"] == b["d"]
+    earlier = (a["d"] < b["d"]) | (same & (a["v"] < b["v"])) | (same & (a["v"] == b["v"]) & (a["line"] < b["line"]))
     length = (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
     rest = F.least(n - a["size"].bitwiseAND(low), m - b["size"].bitwiseAND(low))
     parity = F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= total - 2 * need
@@ -120,77 +136,84 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: Column, t: Fraction) -> DataFrame:
-    """``d, line`` of the later lines of ``pairs`` (ad, aline, bd, bline) that are similar indeed."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("aline").alias("line")),
-                                          F.struct(F.col("bd").alias("d"), F.col("bline").alias("line")))).alias("x"))
+    """``d, v, line`` of the later lines of ``pairs`` (ad, av, aline, bd, bv, bline) that are similar indeed."""
+    ends = pairs.select(F.explode(F.array(*[F.struct(*[F.col(side + c).alias(c) for c in KEY]) for side in "ab"])).alias("x"))
     ids = materialize(ends.select("x.*").distinct())
     in_docs = _small(materialize(ids.select(F.col("d").alias("id")).distinct()))
     own = docs.join(in_docs, doc_key(docs["doc_id"]) == in_docs["id"], "left_semi")
-    found = lines_of(own).join(_small(ids), ["d", "line"])
-    sets = materialize(found.select("d", "line", word_set(F.col("body"), classes).alias("s")))
-    both = (pairs.join(sets.select(F.col("d").alias("ad"), F.col("line").alias("aline"), F.col("s").alias("sa")), ["ad", "aline"])
-            .join(sets.select(F.col("d").alias("bd"), F.col("line").alias("bline"), F.col("s").alias("sb")), ["bd", "bline"]))
+    # rows that repeat both doc_id and text have the same lines
+    found = lines_of(own).join(_small(ids), KEY).dropDuplicates(KEY)
+    sets = materialize(found.select(*KEY, word_set(F.col("body"), classes).alias("s")))
+    both = pairs
+    for side in "ab":
+        both = both.join(sets.select(*[F.col(c).alias(side + c) for c in KEY], F.col("s").alias("s" + side)), [side + c for c in KEY])
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
     return (both.filter(shared * t.denominator >= union * t.numerator)
-            .select(F.col("bd").alias("d"), F.col("bline").alias("line")).distinct())
+            .select(*[F.col("b" + c).alias(c) for c in KEY]).distinct())
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``d, line``: numbers of the lines that go (d is the doc_id, the smallest long where it is null)."""
+    """``d, v, line``: numbers of the lines that go (d is the doc_id, the smallest long where it is null; v the version)."""
+    return _removed(versioned(docs.select("doc_id", "text"), "v"), threshold)
+
+
+def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     t = Fraction(str(threshold)).limit_denominator(1000)
-    docs = docs.select("doc_id", "text")
     classes = rarity_classes(docs)
-    sets = lines_of(docs).select("d", "line", word_set(F.col("body"), classes).alias("s")).filter("size(s) > 0")
+    sets = lines_of(docs).select(*KEY, word_set(F.col("body"), classes).alias("s")).filter("size(s) > 0")
     n = F.size("s")
     prefix = n + F.floor(-(n * t.numerator) / F.lit(t.denominator)).cast("int") + shared_words(n)
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = sets.select("d", "line", F.xxhash64("s").alias("set"), n.alias("n"), parity.alias("parity"),
+    rows = sets.select(*KEY, F.xxhash64("s").alias("set"), n.alias("n"), parity.alias("parity"),
                        F.transform(F.slice("s", 1, prefix), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
-    # one row per class of equal sets; the others go (repeated rows of the same id and number are no others)
-    member = Window.partitionBy("set", "n", "parity").orderBy("d", "line")
-    ranked = materialize(rows.withColumns({"copy": F.row_number().over(member), "fd": F.first("d").over(member),
-                                           "fline": F.first("line").over(member)}).drop("set"))
-    copies = ranked.filter("copy > 1 and (d <> fd or line <> fline)").select("d", "line")
-    own = ranked.filter("copy = 1").select("d", "line", "n", "parity", "prefix")
+    # one row per class of equal sets; the others go (rows that repeat both doc_id and text are no others)
+    member = Window.partitionBy("set", "n", "parity").orderBy(*KEY)
+    ranked = materialize(rows.withColumns({"copy": F.row_number().over(member)} | {f"f{c}": F.first(c).over(member) for c in KEY})
+                         .drop("set"))
+    copies = ranked.filter("copy > 1 and (d <> fd or v <> fv or line <> fline)").select(*KEY)
+    own = ranked.filter("copy = 1").select(*KEY, "n", "parity", "prefix")
 
-    def side(name: str, line: str = "line") -> dict[str, Column]:
-        return {"d": F.col(f"{name}d"), "line": F.col(f"{name}{line}"), "size": F.col(f"{name}size"), "parity": F.col(f"{name}parity")}
+    def side(name: str) -> dict[str, Column]:
+        return {c: F.col(name + c) for c in (*KEY, "size", "parity")}
 
     # words of the posting lists are cut to 32 bits: what meets by chance fails the verification
-    first = Window.partitionBy("w").orderBy("d", "line")
-    led = (own.select(F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("at", "w"), "d", "line", "n", "parity")
-           .select("w", "d", "line", _packed(F.col("n"), F.col("at")).alias("size"), "parity")
-           .withColumns({f"a{c}": F.first(c).over(first) for c in ("d", "line", "size", "parity")}))
+    first = Window.partitionBy("w").orderBy(*KEY)
+    led = (own.select(F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("at", "w"), *KEY, "n", "parity")
+           .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), "parity")
+           .withColumns({f"a{c}": F.first(c).over(first) for c in (*KEY, "size", "parity")}))
     starred = materialize(led.filter(_fits(side("a"), side(""), t))
-                          .select("ad", "aline", F.col("d").alias("bd"), F.col("line").alias("bline")).distinct())
+                          .select("ad", "av", "aline", *[F.col(c).alias("b" + c) for c in KEY]).distinct())
     gone = materialize(_verified(starred, docs, classes, t))
     # only what is left undecided meets every earlier member; lines that are decided have their number negated
-    decided = _small(gone.select(F.col("d").alias("gd"), F.col("line").alias("gline")))
-    marked = own.join(decided, (F.col("d") == F.col("gd")) & (F.col("line") == F.col("gline")), "left")
+    decided = _small(gone.select(*[F.col(c).alias("g" + c) for c in KEY]))
+    marked = own.join(decided, (F.col("d") == F.col("gd")) & (F.col("v") == F.col("gv")) & (F.col("line") == F.col("gline")), "left")
     number = F.when(F.col("gd").isNull(), F.col("line")).otherwise(-1 - F.col("line"))
-    posting = (marked.select(F.posexplode("prefix").alias("at", "w"), "d", number.alias("line"), "n", "parity")
-               .select("w", "d", "line", _packed(F.col("n"), F.col("at")).alias("size"), "parity").repartition("w"))
+    posting = (marked.select(F.posexplode("prefix").alias("at", "w"), "d", "v", number.alias("line"), "n", "parity")
+               .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), "parity").repartition("w"))
     a, b = side("a."), side("b.")
     a["line"] = F.when(a["line"] < 0, -1 - a["line"]).otherwise(a["line"])
     # asked of both sides at once, so that both read the same exchange
     undecided = (b["line"] >= 0) | (a["size"] < 0)
     met = posting.alias("a").join(posting.alias("b"), (F.col("a.w") == F.col("b.w")) & undecided & _fits(a, b, t))
     least = F.least(F.shiftright(a["size"], 32), F.shiftright(b["size"], 32))
-    rest = materialize(met.select(a["d"].alias("ad"), a["line"].alias("aline"), b["d"].alias("bd"), b["line"].alias("bline"),
-                                  shared_words(least).alias("least"))
-                       .groupBy("ad", "aline", "bd", "bline", "least").agg(F.count(F.lit(1)).alias("shared"))
-                       .filter("shared >= least").select("ad", "aline", "bd", "bline"))
+    ends = [x[c].alias(name + c) for name, x in (("a", a), ("b", b)) for c in KEY]
+    pair = [name + c for name in "ab" for c in KEY]
+    rest = materialize(met.select(*ends, shared_words(least).alias("least"))
+                       .groupBy(*pair, "least").agg(F.count(F.lit(1)).alias("shared"))
+                       .filter("shared >= least").select(*pair))
     return copies.unionByName(gone).unionByName(_verified(rest, docs, classes, t)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, lines: str = "lines", removed: str = "removed_lines") -> DataFrame:
     """``docs`` with its texts' remaining lines, and how many lines each text had and lost."""
-    gone = materialize(removed_lines(docs, threshold).groupBy("d").agg(F.sort_array(F.collect_set("line")).alias("gone")))
-    d, at, body = fresh(docs, "d"), fresh(docs, "gone"), fresh(docs, "body")
-    gone = gone.select(F.col("d").alias(d), F.col("gone").alias(at))
-    joined = docs.join(_small(gone), doc_key(docs["doc_id"]) == F.col(d), "left").withColumn(body, F.split("text", "\n"))
+    d, v, own, at, body = (fresh(docs, c) for c in ("d", "v", "version", "gone", "body"))
+    docs = versioned(docs, own)
+    gone = _removed(docs.select("doc_id", "text", F.col(own).alias("v")), threshold)
+    gone = materialize(gone.groupBy("d", "v").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    gone = gone.select(F.col("d").alias(d), F.col("v").alias(v), F.col("gone").alias(at))
+    joined = docs.join(_small(gone), (doc_key("doc_id") == F.col(d)) & (F.col(own) == F.col(v)), "left").withColumn(body, F.split("text", "\n"))
     total = F.size(body)
     numbers = F.sequence(F.lit(0), total - 1)
     kept = F.array_except(numbers, F.coalesce(F.col(at), F.array().cast("array<int>")))
@@ -198,4 +221,4 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, lines: str = "lin
         F.array_join(F.transform(kept, lambda i: F.get(F.col(body), i)), "\n"))
     return joined.withColumns({
         lines: F.coalesce(F.when(F.col("text").isNotNull(), total), F.lit(0)),
-        removed: F.when(F.col("text").isNull(), 0).otherwise(total - F.size(kept)), "text": text}).drop(d, at, body)
+        removed: F.when(F.col("text").isNull(), 0).otherwise(total - F.size(kept)), "text": text}).drop(d, v, own, at, body)
