@@ -6,11 +6,14 @@ table and derives the digest columns that the result contract names.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, langid, linededup, lm, mixing, neardup, packing, shards, urlfilter
+from chalkline.llm import ann, fingerprint, langid, linededup, lm, mixing, neardup, packing, shards, urlfilter, warc
 from chalkline.llm.common import materialize, unsigned_crc32
+from chalkline.session import ensure_checkpoint_dir
 from chalkline.sources.tables import read_table
 
 NEIGHBOURS, QUERY_EVERY = 5, 50
@@ -94,8 +97,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of archives in the shared checkpoint folder, read back from them."""
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    found = warc.resolved(warc.read_archives(spark, folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding,
-           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter}
+           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter, "op12_warc": op12_warc}
 
 def _level_sql(name: str, rows: str, parent: str | None, up: str | None) -> str:
     """CTEs that give each row of ``rows`` its posterior, as ``urlfilter._shrink`` does."""
@@ -209,4 +220,10 @@ ORACLES = {
         SELECT d.doc_id, t.text, coalesce(lines, 0)::INT AS lines, coalesce(removed_lines, 0)::INT AS removed_lines
         FROM documents d LEFT JOIN t USING (doc_id)""",
     "op10_url_filter": _url_filter_sql(),
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact FROM f""",
 }
