@@ -211,13 +211,13 @@ def _sorted(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 
 
 def _exits(key: tuple, table: pa.Table) -> pa.Table:
-    """Where the chain of each candidate leaves the split; chains that break give no row."""
+    """Where the chain of each candidate leaves the split; -1 where it breaks before."""
     table, offset, size = _sorted(table)
     exits = np.full(len(offset), -1)
     links = _links(offset, size).tolist()
     for i in range(len(links) - 1, -1, -1):
         exits[i] = offset[i] + size[i] if links[i] == -2 else exits[links[i]] if links[i] >= 0 else -1
-    on = exits >= 0
+    on = size > 0
     return pa.table({"file": pa.array([key[0].as_py()] * int(on.sum()), pa.string()), "block": pa.array([key[1].as_py()] * int(on.sum()), pa.int64()),
                      "offset": offset[on], "leaves": exits[on]})
 
@@ -238,7 +238,7 @@ def reachable(candidates: DataFrame) -> DataFrame:
     exits = materialize(candidates.select("file", "block", "offset", "size").groupBy("file", "block").applyInArrow(
         _exits, "file string, block long, offset long, leaves long"))
     # only where some chain leaves off, or a file begins, can a chain go on: about one row for each split
-    doors = exits.select("file", F.col("leaves").alias("offset")).distinct()
+    doors = exits.filter("leaves >= 0").select("file", F.col("leaves").alias("offset")).distinct()
     starts = exits.filter("offset = 0").select("file", "offset")
     links = materialize(exits.join(doors.unionByName(starts).distinct(), ["file", "offset"], "left_semi"))
     reached = materialize(starts)
