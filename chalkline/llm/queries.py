@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, langid, linededup, lm, mixing, neardup, packing, shards, urlfilter, warc
+from chalkline.llm import ann, fingerprint, langid, lexical, linededup, lm, mixing, neardup, packing, shards, urlfilter, warc
 from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.session import ensure_checkpoint_dir
 from chalkline.sources.tables import read_table
@@ -105,8 +105,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents of highest score for each benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), lexical.TOP)
+
+
 QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding,
-           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter, "op12_warc": op12_warc}
+           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter, "op12_warc": op12_warc, "op13_lexical_search": op13_lexical_search}
 
 def _level_sql(name: str, rows: str, parent: str | None, up: str | None) -> str:
     """CTEs that give each row of ``rows`` its posterior, as ``urlfilter._shrink`` does."""
@@ -226,4 +231,24 @@ ORACLES = {
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact FROM f""",
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(
+                coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        q AS (
+            SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(
+                coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS w FROM benchmark),
+        s AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS total FROM d),
+        t AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS w FROM d),
+        p AS (SELECT r, doc_id, n, w, count(*) AS tf FROM t WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+        f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+        x AS (
+            SELECT r, doc_id, w, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)::DOUBLE))::BIGINT
+                   * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // total)))) AS impact
+            FROM p JOIN f USING (w), s),
+        g AS (SELECT item_id, r, doc_id, sum(impact)::BIGINT AS score FROM q JOIN x USING (w) GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM g WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
