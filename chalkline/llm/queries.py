@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import ann, fingerprint, langid, lexical, linededup, lm, mixing, neardup, packing, shards, urlfilter, warc
+from chalkline.llm import ann, fingerprint, langid, lexical, linededup, lm, mixing, neardup, negatives, packing, shards, urlfilter, warc
 from chalkline.llm.common import materialize, unsigned_crc32
 from chalkline.session import ensure_checkpoint_dir
 from chalkline.sources.tables import read_table
 
-NEIGHBOURS, QUERY_EVERY = 5, 50
+NEIGHBOURS, QUERY_EVERY, ANCHOR_EVERY = 5, 50, 100
 MIXTURE, MIXTURE_SHARE = {"high": 0.8, "low": 0.2, "toxic": 0.0}, 0.8
 SHARDS = 24
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -97,6 +97,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 hardest negatives of every 100th vector's 5 best positives; labels at every 7th id are shifted first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % ANCHOR_EVERY == 0, label)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of archives in the shared checkpoint folder, read back from them."""
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -111,7 +117,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lm_scores": op3_lm_scores, "op4_nearest": op4_nearest, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding,
-           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter, "op12_warc": op12_warc, "op13_lexical_search": op13_lexical_search}
+           "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_url_filter": op10_url_filter, "op11_hard_negatives": op11_hard_negatives, "op12_warc": op12_warc, "op13_lexical_search": op13_lexical_search}
 
 def _level_sql(name: str, rows: str, parent: str | None, up: str | None) -> str:
     """CTEs that give each row of ``rows`` its posterior, as ``urlfilter._shrink`` does."""
@@ -225,6 +231,25 @@ ORACLES = {
         SELECT d.doc_id, t.text, coalesce(lines, 0)::INT AS lines, coalesce(removed_lines, 0)::INT AS removed_lines
         FROM documents d LEFT JOIN t USING (doc_id)""",
     "op10_url_filter": _url_filter_sql(),
+    "op11_hard_negatives": """
+        WITH u AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, label, x FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY label, x) AS i FROM u) WHERE i = 1),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.x) = len(c.x) WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                   row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+        n AS (
+            SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+            WHERE place <= 5)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op12_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
