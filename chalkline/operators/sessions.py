@@ -6,7 +6,8 @@ operator here runs a window over a whole session:
 * turn numbers are a two-level prefix sum: rows are counted per
   (session, time bucket) with map-side partial aggregation, bucket
   offsets are a running sum over that small aggregate, and row numbers are
-  taken inside each (session, bucket) only;
+  taken inside each (session, bucket) only; a bucket that holds a large share
+  of all rows is cut further, at places its own rows give;
 * "first turn" is a per-session minimum (partial aggregation), not a window;
 * pairing a message with its reply is an equi-join on the unique
   (session, turn) key, which cannot be skewed.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import rules as R
 from chalkline.functions.textops import col_of, py_strip
+from chalkline.operators.ranges import HOT_ROWS, cut_hot_groups
 
 DEFAULT_BUCKET_SECONDS = 3600
 
@@ -29,20 +31,21 @@ def _bucket(ts: str, bucket_seconds: int) -> Column:
 
 
 def number_turns(df: DataFrame, session: str = "session_id", ts: str = "ts", tiebreak: str = "event_id",
-                 out: str = "turn", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 out: str = "turn", bucket_seconds: int = DEFAULT_BUCKET_SECONDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``out`` = 1-based position of each row in its session by (ts, tiebreak).
 
-    Rows are numbered per (session, time bucket) plus the counts of earlier
-    buckets, so a hot session is spread over its buckets."""
-    b = "_bucket"
-    x = df.withColumn(b, _bucket(ts, bucket_seconds))
-    counts = x.groupBy(session, b).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(session).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(session, b, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy(session, b).orderBy(F.col(ts), F.col(tiebreak))
-    return (x.join(offsets, [session, b])
+    Rows are numbered per (session, time bucket, range of a hot bucket) plus
+    the counts of earlier ones, so a hot session is spread over its buckets
+    and a burst inside one bucket over ranges of its own rows."""
+    b, cut = "_bucket", "_cut"
+    x = cut_hot_groups(df.withColumn(b, _bucket(ts, bucket_seconds)), [session, b], [ts, tiebreak], cut, hot_rows)
+    counts = x.groupBy(session, b, cut).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(session).orderBy(b, cut).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(session, b, cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(session, b, cut).orderBy(F.col(ts), F.col(tiebreak))
+    return (x.join(offsets, [session, b, cut])
             .withColumn(out, (F.col("_offset") + F.row_number().over(inner)).cast("int"))
-            .drop(b, "_offset"))
+            .drop(b, cut, "_offset"))
 
 
 def mark_first(df: DataFrame, session: str = "session_id", ts: str = "ts", tiebreak: str = "event_id",

@@ -440,17 +440,23 @@ def q_quick_actions() -> str:
 
 
 def cte_current_document() -> str:
+    """A document that replaces counts as the last one so far, one stored only where there is none as the first so far."""
+    def seen(agg: str, column: str, keep: str) -> str:
+        return (f"{agg}(CASE WHEN {keep} THEN {column} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id, kind "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+    def state(column: str) -> str:
+        return f"coalesce({seen('last_value', column, 'NOT if_none')}, {seen('first_value', column, 'if_none')})"
+
     return ", ".join([
-        cte_requests(),
-        f"r AS (SELECT session_id, ts, event_id, {coerce('file')} AS file_path, content_source, message FROM requests)",
-        f"d AS (SELECT session_id, ts, event_id, file_path FROM r WHERE content_source = {CAM} AND "
-        f"{admit('file_path')} <> 'unsupported')",
-        "u AS (SELECT session_id, ts, event_id, 1 AS kind, CAST(NULL AS BIGINT) AS de, CAST(NULL AS VARCHAR) AS dp "
-        "FROM r UNION ALL SELECT session_id, ts, event_id, 0, event_id, file_path FROM d)",
-        "w AS (SELECT *, last_value(de IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id, kind "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS doc_event_id, last_value(dp IGNORE NULLS) OVER "
-        "(PARTITION BY session_id ORDER BY ts, event_id, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
-        "AS doc_path FROM u)",
+        cte_requests(), cte_uploads(),
+        f"r AS (SELECT session_id, ts, event_id, {coerce('file')} AS file_path, content_source, message, "
+        "row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) > 1 AS later FROM requests)",
+        f"d AS (SELECT session_id, ts, event_id, file_path, later FROM r WHERE content_source = {CAM} AND "
+        f"{admit('file_path')} <> 'unsupported' AND file_path IN (SELECT path FROM uploads WHERE {strip('html')} <> ''))",
+        "u AS (SELECT session_id, ts, event_id, 1 AS kind, CAST(NULL AS BIGINT) AS de, CAST(NULL AS VARCHAR) AS dp, false AS if_none "
+        "FROM r UNION ALL SELECT session_id, ts, event_id, 0, event_id, file_path, later FROM d)",
+        f"w AS (SELECT *, {state('de')} AS doc_event_id, {state('dp')} AS doc_path FROM u)",
         "cd AS (SELECT event_id, doc_event_id, doc_path FROM w WHERE kind = 1)",
     ])
 

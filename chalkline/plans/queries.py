@@ -20,7 +20,7 @@ from chalkline.functions.questions import (cache_query, chapter_int, coerce_path
                                            tool_reply, upload_prompt)
 from chalkline.functions.responses import clean_response, default_response
 from chalkline.functions.speech import speech_text
-from chalkline.functions.textops import is_blank
+from chalkline.functions.textops import is_blank, py_strip
 from chalkline.functions.templates import helpful_response, help_reply, render_prompt
 from chalkline.operators import asof, cache, documents as docs, sessions
 from chalkline.plans import inputs as I
@@ -226,23 +226,36 @@ def quick_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(bad.withColumn("message", F.lit(None).cast("string")).withColumn("accepted", F.lit(False))))
 
 
+def camera_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, the documents that camera requests store). The first request of a session reads its upload and
+    replaces what is stored; a later one reads it only where nothing is stored (``if_none``). An upload that is of an
+    unsupported kind, cannot be read or holds no text stores nothing."""
+    r = (sessions.mark_first(I.requests(spark, sf_dir)).withColumn("file_path", coerce_path(F.col("file")))
+         .select("session_id", "ts", "event_id", "content_source", "file_path", "is_first", "message"))
+    with_text = I.uploads(spark, sf_dir).select(F.col("path").alias("file_path"), decode_text(F.col("content"))["text"].alias("text"))
+    with_text = with_text.filter(py_strip(F.col("text")) != "").select("file_path")
+    d = r.filter((F.col("content_source") == R.SOURCE_CAMERA) & F.col("file_path").isNotNull()
+                 & (docs.admit_upload(F.col("file_path")) != "unsupported"))
+    d = d.join(with_text, "file_path", "left_semi").select(
+        "session_id", "ts", "event_id", F.col("event_id").alias("doc_event_id"), F.col("file_path").alias("doc_path"),
+        (~F.col("is_first")).alias("if_none"))
+    return r, d
+
+
+def _seen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, d = camera_documents(spark, sf_dir)
+    out = asof.current_document(r.select("session_id", "ts", "event_id", "message"), d, doc_cols=("doc_event_id", "doc_path"))
+    return out.select("event_id", "message", F.col("doc.doc_event_id").alias("doc_event_id"), F.col("doc.doc_path").alias("doc_path"))
+
+
 def current_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document each request sees; documents are the admitted uploads
-    of camera-mode requests."""
-    r = I.requests(spark, sf_dir).withColumn("file_path", coerce_path(F.col("file")))
-    d = (r.filter((F.col("content_source") == R.SOURCE_CAMERA)
-                  & (docs.admit_upload(F.col("file_path")) != "unsupported"))
-         .select("session_id", "ts", "event_id", F.col("event_id").alias("doc_event_id"),
-                 F.col("file_path").alias("doc_path")))
-    out = asof.current_document(r.select("session_id", "ts", "event_id"), d, doc_cols=("doc_event_id", "doc_path"))
-    return out.select("event_id", F.col("doc.doc_event_id").alias("doc_event_id"), F.col("doc.doc_path").alias("doc_path"))
+    """The document each request sees, by the session's rule of storing."""
+    return _seen_documents(spark, sf_dir).drop("message")
 
 
 def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11 + T6 + T10 over J3: the answer_from_document reply of every request."""
-    cd = current_document(spark, sf_dir)
-    r = I.requests(spark, sf_dir).select("event_id", "message")
-    x = r.join(cd, "event_id")
+    x = _seen_documents(spark, sf_dir)
     has_doc = F.col("doc_event_id").isNotNull()
     return x.select("event_id", help_type(F.col("message")).alias("help_type"),
                     help_reply(F.col("message"), has_doc).alias("reply"))

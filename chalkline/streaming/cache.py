@@ -1,13 +1,9 @@
 """ST2: the response cache over a stream of routed requests.
 
-Each micro-batch (``foreachBatch``) is resolved against the index as of
-the previous batch (J2); duplicate keys inside the batch resolve by W3;
-the batch's new entries are written as the delta ``version=<batch_id>``.
-Every ``every`` batches the latest entry per key is written as a snapshot,
-built from the snapshot before it and the deltas since. A batch reads the
-newest complete snapshot and exactly the deltas after it, by name; a delta
-that should be there and is not raises an error, since reading on without it
-would answer old keys anew. ``every`` may change between runs.
+Each micro-batch (``foreachBatch``) is resolved against the index as of the
+previous batch (J2), read for the batch's own keys only (see
+:mod:`chalkline.streaming.state`); duplicate keys inside the batch resolve by
+W3; the batch's new entries become its delta of the index.
 
 All writes are named by the batch id and overwrite, so a retried batch
 rewrites the same directories and the result is the same.
@@ -20,89 +16,35 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.operators.cache import cache_replay, latest_entries
+from chalkline.operators.cache import cache_replay
+from chalkline.streaming.state import COMPACT_EVERY, KeyedState, MissingDelta
 
-COMPACT_EVERY = 20
-STORED = "key string, text string, audio_path string, version long"
+__all__ = ["COMPACT_EVERY", "MissingDelta", "index_state", "process_batch", "stream_cache"]
 
 
-class MissingDelta(RuntimeError):
-    """A batch's entries are not where the index says they are."""
-
-
-def _folder(spark, path: str):
-    """The store's file system and the path, as Hadoop sees them."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _complete(spark, path: str) -> bool:
-    fs, p = _folder(spark, os.path.join(path, "_SUCCESS"))
-    return fs.exists(p)
-
-
-def newest_snapshot(spark, index_dir: str, batch_id: int) -> int | None:
-    """Id of the newest completely written snapshot of the state before ``batch_id``."""
-    root = os.path.join(index_dir, "snapshots")
-    fs, p = _folder(spark, root)
-    if not fs.exists(p):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    ids = sorted((int(n.removeprefix("upto=")) for n in names if n.startswith("upto=")), reverse=True)
-    return next((i for i in ids if i < batch_id and _complete(spark, os.path.join(root, f"upto={i}"))), None)
-
-
-def _entries(df: DataFrame) -> DataFrame:
-    return df.select("key", "text", "audio_path", F.lit(None).cast("string").alias("meta"),
-                     F.col("version").cast("long").alias("version"))
-
-
-def read_index_before(spark, index_dir: str, batch_id: int) -> DataFrame | None:
-    """The index as of the end of batch ``batch_id - 1``; None before the first batch."""
-    snap = newest_snapshot(spark, index_dir, batch_id)
-    root = os.path.join(index_dir, "deltas")
-    folders = [os.path.join(root, f"version={v}") for v in range(-1 if snap is None else snap, batch_id)[1:]]
-    if missing := [f for f in folders if not _complete(spark, f)]:
-        raise MissingDelta(f"no complete delta at {missing[0]}, needed by batch {batch_id}")
-    parts = []
-    if snap is not None:
-        parts.append(spark.read.schema(STORED).parquet(os.path.join(index_dir, "snapshots", f"upto={snap}")))
-    if folders:
-        parts.append(spark.read.schema(STORED).option("basePath", root).parquet(*folders))
-    if not parts:
-        return None
-    entries = [_entries(p) for p in parts]
-    return latest_entries(entries[0] if len(entries) == 1 else entries[0].unionByName(entries[1]))
+def index_state(index_dir: str, every: int = COMPACT_EVERY, **sizes: int) -> KeyedState:
+    """The index: cache key to answer and audio path."""
+    return KeyedState(index_dir, "key string", "text string, audio_path string", every, **sizes)
 
 
 def process_batch(batch: DataFrame, batch_id: int, index_dir: str, out_dir: str,
-                  every: int = COMPACT_EVERY) -> None:
+                  every: int = COMPACT_EVERY, **sizes: int) -> None:
     """Resolve one micro-batch of requests (key, ts, event_id, response)."""
-    spark = batch.sparkSession
-    idx = read_index_before(spark, index_dir, batch_id)
-    # the replay reads the batch twice and is written twice; what comes before it may be a stateful operator
+    state = index_state(index_dir, every, **sizes)
+    # the batch is read for its keys and twice by the replay; what comes before it may be a stateful operator
     batch = batch.persist()
+    cached = state.before(batch, batch_id).select("key", F.col("text").alias("_indexed"), F.lit(True).alias("_known"))
     replay = cache_replay(batch)     # hit within the batch, served text of the batch's first occurrence
-    if idx is not None:
-        cached = idx.select("key", F.col("text").alias("_indexed"))
-        replay = (replay.join(cached, "key", "left")
-                  .withColumn("hit", F.col("hit") | F.col("_indexed").isNotNull())
-                  .withColumn("served_text", F.coalesce(F.col("_indexed"), F.col("served_text")))
-                  .drop("_indexed"))
-    replay = replay.persist()
+    replay = (replay.join(cached, "key", "left")
+              .withColumn("hit", F.col("hit") | F.col("_known").isNotNull())
+              .withColumn("served_text", F.when(F.col("_known"), F.col("_indexed")).otherwise(F.col("served_text")))
+              .drop("_indexed", "_known")).persist()
     try:
         served = replay.select("event_id", "key", "hit", "served_text")
         served.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
-        new_entries = (replay.filter(~F.col("hit")).select("key", F.col("served_text").alias("text"),
-                                                           F.lit(None).cast("string").alias("audio_path")))
-        new_entries.write.mode("overwrite").parquet(os.path.join(index_dir, "deltas", f"version={batch_id}"))
-        if (batch_id + 1) % every == 0:
-            # the snapshot before this batch's own, plus the deltas up to and with this batch
-            snap = read_index_before(spark, index_dir, batch_id + 1) if newest_snapshot(
-                spark, index_dir, batch_id + 1) != batch_id else None
-            if snap is not None:
-                (snap.select("key", "text", "audio_path", "version").write.mode("overwrite")
-                 .parquet(os.path.join(index_dir, "snapshots", f"upto={batch_id}")))
+        new_entries = replay.filter(~F.col("hit")).select("key", F.col("served_text").alias("text"),
+                                                          F.lit(None).cast("string").alias("audio_path"))
+        state.write(new_entries, batch_id)
     finally:
         replay.unpersist()
         batch.unpersist()
