@@ -13,10 +13,10 @@ left-to-right pass decides, as in the rules:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.functions.textops import WS_CLASS, col_of, ends_with_any, py_strip
+from chalkline.functions.textops import WS_CLASS, col_of, contains_any, ends_with_any, py_strip
 
 _WS = WS_CLASS
 _OPEN, _CLOSE = "\ue000", "\ue001"   # sentinels; text is assumed free of them
@@ -44,24 +44,50 @@ def _label_lines(t: Column) -> Column:
     return F.array_join(F.transform(lines, one), "")
 
 
+def _steps(variant: str, preserve_parentheses: bool):
+    """(guard, rewrite) of each step in order; where the guard is false the rewrite changes nothing."""
+    live = variant == "live"
+    marks = "*`–-" if live else "*`-"
+    marked = "|".join([r"\*\*", r"\*", "__", "~~", *marks[1:]])
+
+    def has(*parts):
+        return lambda t: contains_any(t, parts)
+
+    # single marks go one by one; only pairs need the alternation, whose matches depend on each other
+    steps = [(has("__", "~~"), lambda t: F.regexp_replace(t, marked, "")),
+             (has(*marks), lambda t: F.translate(t, marks, ""))]
+    if live or not preserve_parentheses:
+        steps.append((has("("), _asides))
+    bullets = r"[\*\-•]" if live else r"[\*\->]"
+    return [*steps,
+            (has("."), lambda t: F.regexp_replace(t, r"(\p{Nd}+\." + _WS + r"*)([^\n]+)", "$1$2.")),
+            (has("English meaning:"), lambda t: F.regexp_replace(t, r"(English meaning:[^\n]*?)\n", "$1. ")),
+            (has(":"), _label_lines),
+            (has("-"), lambda t: F.regexp_replace(t, _WS + "-" + _WS, ". ")),
+            (has("*", "-", "•" if live else ">"), lambda t: F.regexp_replace(t, "\n" + _WS + "*" + bullets + _WS + "*", ". ")),
+            (None, lambda t: F.regexp_replace(t, _WS + "{2,}", " ")),
+            (None, lambda t: py_strip(F.replace(t, F.lit("\n"), F.lit(" "))))]
+
+
 def speech_text(text, variant: str = "live", preserve_parentheses: bool = False) -> Column:
     """Strip markdown and turn structure into spoken pauses.
 
     ``live`` ignores ``preserve_parentheses``; ``legacy`` honours it, keeps
-    en dashes, and turns ``>`` bullets (not ``•``) into pauses.
+    en dashes, and turns ``>`` bullets (not ``•``) into pauses. As one
+    expression it runs every step; on tables use :func:`with_speech_text`.
     """
     t = col_of(text)
-    if variant == "live":
-        t = F.regexp_replace(t, r"\*\*|\*|__|~~|`|–|-", "")
-    else:
-        t = F.regexp_replace(t, r"\*\*|\*|__|~~|`|-", "")
-    if variant == "live" or not preserve_parentheses:
-        t = _asides(t)
-    t = F.regexp_replace(t, r"(\p{Nd}+\." + _WS + r"*)([^\n]+)", "$1$2.")
-    t = F.regexp_replace(t, r"(English meaning:[^\n]*?)\n", "$1. ")
-    t = _label_lines(t)
-    t = F.regexp_replace(t, _WS + "-" + _WS, ". ")
-    bullets = r"[\*\-•]" if variant == "live" else r"[\*\->]"
-    t = F.regexp_replace(t, "\n" + _WS + "*" + bullets + _WS + "*", ". ")
-    t = F.regexp_replace(t, _WS + "{2,}", " ")
-    return py_strip(F.regexp_replace(t, "\n", " "))
+    for _, rewrite in _steps(variant, preserve_parentheses):
+        t = rewrite(t)
+    return t
+
+
+def with_speech_text(df: DataFrame, text: str, out: str, variant: str = "live", preserve_parentheses: bool = False) -> DataFrame:
+    """T3 on a table. Every step is a column of its own projection, referred to by the next one's guard and rewrite, so
+    the optimiser keeps them apart and a text runs only the regular expressions that can match it."""
+    step = f"_t3_{out}"
+    df = df.withColumn(step, col_of(text))
+    for guard, rewrite in _steps(variant, preserve_parentheses):
+        t = F.col(step)
+        df = df.withColumn(step, rewrite(t) if guard is None else F.when(guard(t), rewrite(t)).otherwise(t))
+    return df.withColumnRenamed(step, out)

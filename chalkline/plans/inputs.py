@@ -134,17 +134,9 @@ def speech_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regular-extraction pages: each line of a document is one page.
-
-    Every seventh document is a scan (its regular pages hold no text), so
-    the OCR path (U3) is taken for it.
-    """
-    d = documents(spark, sf_dir)
-    scanned = (F.col("doc_id") % 7) == 0
-    lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line")
-    return (d.select("doc_id", scanned.alias("scanned"), lines)
-            .select("doc_id", (F.col("pos") + 1).alias("page_no"),
-                    F.when(F.col("scanned"), F.lit("")).otherwise(F.col("line")).alias("text")))
+    """Regular-extraction pages: each line of a document is one page."""
+    lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "text")
+    return documents(spark, sf_dir).select("doc_id", lines).select("doc_id", (F.col("pos") + 1).alias("page_no"), "text")
 
 
 def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +164,8 @@ def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages and candidates above, held as arrays of the document row."""
+    """The pages and candidates above, held as arrays of the document row. Every seventh document is a scan (its regular
+    pages hold no text), so U3 takes the OCR path for it."""
     from chalkline.functions.textops import py_strip
     d = documents(spark, sf_dir)
     doc = F.col("doc_id")

@@ -493,7 +493,8 @@ def regular_agg() -> str:
 def q_assemble_pages() -> str:
     chapter = "coalesce(string_agg(text, '' ORDER BY page_no) FILTER (WHERE text <> ''), '')"
     upload = strip(f"coalesce(string_agg(text, {NL} ORDER BY page_no) FILTER (WHERE text <> ''), '')")
-    return (f"WITH {cte_pages()} SELECT doc_id, sha256({chapter}) AS chapter_sha, sha256({upload}) AS upload_sha, "
+    return (f"WITH {cte_lines()}, pages AS (SELECT doc_id, page_no, line AS text FROM lines) "
+            f"SELECT doc_id, sha256({chapter}) AS chapter_sha, sha256({upload}) AS upload_sha, "
             f"{regular_agg()} AS regular_text FROM pages GROUP BY doc_id")
 
 

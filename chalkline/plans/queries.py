@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions import rules as R
-from chalkline.functions.content import (detect_language, devanagari_count, identify_content_type,
-                                         identify_content_type_legacy, letter_count)
+from chalkline.functions.content import detect_language, devanagari_count, letter_count, with_content_info
 from chalkline.functions.keys import cache_key, file_hash, needs_audio, stored_audio_path
 from chalkline.functions.questions import (cache_query, chapter_int, coerce_path, fallback_for_unknown,
                                            has_tool_marker, help_type, is_specific_question, is_tool_error,
                                            normalize_question, route_intent, route_source, speech_lang,
                                            tool_reply, upload_prompt)
 from chalkline.functions.responses import clean_response, default_response
-from chalkline.functions.speech import speech_text
+from chalkline.functions.speech import with_speech_text
 from chalkline.functions.textops import is_blank, py_strip
 from chalkline.functions.templates import helpful_response, help_reply, render_prompt
 from chalkline.operators import asof, cache, documents as docs, sessions
@@ -34,7 +33,7 @@ from chalkline.sources.files import decode_text
 def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: content type and language of every document, grouped."""
     d = I.content_documents(spark, sf_dir)
-    info = d.select(identify_content_type(F.col("text")).alias("ci"), detect_language(F.col("text")).alias("language"))
+    info = with_content_info(d, "text", "ci").select("ci", detect_language(F.col("text")).alias("language"))
     return (info.groupBy(F.col("ci.subject").alias("subject"), F.col("ci.type").alias("type"), "language")
             .agg(F.count(F.lit(1)).alias("n_docs"),
                  F.sum(F.col("ci.has_questions").cast("int")).alias("n_with_questions"),
@@ -44,12 +43,12 @@ def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.content_documents(spark, sf_dir)
-    return d.select("doc_id", identify_content_type(F.col("text")).alias("ci")).select("doc_id", "ci.*")
+    return with_content_info(d, "text", "ci").select("doc_id", "ci.*")
 
 
 def content_type_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.content_documents(spark, sf_dir)
-    return d.select("doc_id", identify_content_type_legacy(F.col("text")).alias("ci")).select("doc_id", "ci.*")
+    return with_content_info(d, "text", "ci", legacy=True).select("doc_id", "ci.*")
 
 
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +181,9 @@ def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3, live and legacy, on every answer."""
     a = I.speech_answers(spark, sf_dir)
-    return a.select("event_id", speech_text(F.col("text")).alias("live"),
-                    speech_text(F.col("text"), variant="legacy").alias("legacy"),
-                    speech_text(F.col("text"), variant="legacy", preserve_parentheses=True).alias("legacy_keep"))
+    a = with_speech_text(a, "text", "live")
+    a = with_speech_text(a, "text", "legacy", variant="legacy")
+    return with_speech_text(a, "text", "legacy_keep", variant="legacy", preserve_parentheses=True).drop("text")
 
 
 # --------------------------------------------------------------------------- sessions
@@ -343,10 +342,10 @@ def py_strip_text(c):
 def session_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 then S5 on every document, and S5 on the raw text."""
     d = I.content_documents(spark, sf_dir)
-    info = identify_content_type(F.col("text"))
-    stored = format_session_content(info, F.col("text"))
-    return d.select("doc_id", F.sha2(stored, 256).alias("stored_sha"),
-                    (split_session_content(stored) == F.col("text")).alias("round_trip"),
+    # a column of its own projection: it is read several times and made once
+    d = with_content_info(d, "text", "ci").withColumn("stored", format_session_content(F.col("ci"), F.col("text")))
+    return d.select("doc_id", F.sha2("stored", 256).alias("stored_sha"),
+                    (split_session_content(F.col("stored")) == F.col("text")).alias("round_trip"),
                     F.sha2(split_session_content(F.col("text")), 256).alias("raw_split_sha"))
 
 
@@ -354,7 +353,7 @@ def helpful_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T8 on every document, with the request's question for even documents."""
     d = I.content_documents(spark, sf_dir)
     q = F.when(F.col("doc_id") % 2 == 0, I.pick(S.QUESTION_PHRASES, F.col("doc_id") % 10))
-    return d.select("doc_id", helpful_response(identify_content_type(F.col("text")), q).alias("reply"))
+    return with_content_info(d, "text", "ci").select("doc_id", helpful_response(F.col("ci"), q).alias("reply"))
 
 
 def tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,9 +430,8 @@ def document_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     q = (F.when(doc % 2 == 0, I.pick(S.QUESTION_PHRASES, doc % 10))
          .when(doc % 4 == 1, I.pick(S.ERROR_PHRASES, (doc / 4).cast("long") % len(S.ERROR_PHRASES))))
-    info = identify_content_type(F.col("text"))
     blank = is_blank(F.col("text"))
-    x = ext.select("doc_id", "method", "text", info.alias("ci"), q.alias("question"), blank.alias("blank"))
+    x = with_content_info(ext, "text", "ci").select("doc_id", "method", "text", "ci", q.alias("question"), blank.alias("blank"))
     reply = (F.when(F.col("blank"), F.lit(R.NO_TEXT_UPLOAD_REPLY))
              .otherwise(helpful_response(F.col("ci"), F.col("question"))))
     return x.select(

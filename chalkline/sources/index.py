@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from chalkline.functions.keys import meta_key
+from chalkline.sources.store import Store
 
 META = ("struct<chapter_number:int,content_source:string,document_hash:string,intent:string,"
         "student_query:string,subject:string>")
 ENTRY = f"struct<text:string,audio_path:string,meta:{META}>"
+#: Buckets of a written index: about one for each 100 MB.
+BUCKETS = 16
 INDEX_SCHEMA = f"key string, text string, audio_path string, meta {META}, version long"
 
 
@@ -30,26 +35,42 @@ def load_response_index(spark: SparkSession, path: str, version: int = 0) -> Dat
                          (F.col("key") == meta_key(F.col("e.meta"))).alias("key_matches"))
 
 
-def write_response_index(df: DataFrame, base: str, version: int) -> str:
-    """Write an index snapshot into its own versioned directory (never
-    over a version that readers use: readers take the latest version per
-    key, and a version only becomes visible once its job commits). A retry
-    of the same version rewrites the same directory, so the write is
-    idempotent. Rows are clustered by key so point lookups can skip row
-    groups."""
-    out = f"{base.rstrip('/')}/version={int(version)}"
-    (df.select("key", "text", "audio_path", "meta").repartitionByRange("key").sortWithinPartitions("key")
-     .write.mode("overwrite").parquet(out))
+def _table(path: str) -> str:
+    return "chalkline_index_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+
+
+def write_response_index(df: DataFrame, base: str, version: int, buckets: int = BUCKETS) -> str:
+    """Write the whole index (U1's merge) as one version, bucketed and sorted by key.
+
+    A version has a folder of its own, never one that readers use, and can be
+    read once its job committed; a retry of the same version rewrites the same
+    folder. Rows of a key lie in the bucket that a join on key looks for them."""
+    spark = df.sparkSession
+    out = f"{base.rstrip('/')}/version={int(version)}/buckets={int(buckets)}"
+    rows = df.select("key", "text", "audio_path", "meta", F.lit(int(version)).cast("long").alias("version"))
+    spark.sql(f"DROP TABLE IF EXISTS {_table(out)}")
+    # one writer per bucket, so a bucket is one sorted file
+    (rows.repartition(int(buckets), "key").write.mode("overwrite").bucketBy(int(buckets), "key").sortBy("key").format("parquet")
+     .option("path", out).saveAsTable(_table(out)))
     return out
 
 
-def read_index(spark: SparkSession, base: str) -> DataFrame:
-    """All snapshots under ``base``; the latest entry per key wins."""
-    allv = spark.read.parquet(base).withColumn("version", F.col("version").cast("long"))
-    return _latest(allv)
+def newest_version(spark: SparkSession, base: str) -> tuple[int, int] | None:
+    """(version, buckets) of the newest committed version."""
+    store = Store(spark, base)
+    for version in reversed(store.ids("", "version=")):
+        for buckets in store.ids(f"version={version}", "buckets="):
+            if store.complete(f"version={version}", f"buckets={buckets}"):
+                return version, buckets
+    return None
 
 
-def _latest(entries: DataFrame) -> DataFrame:
-    best = entries.groupBy("key").agg(F.max_by(F.struct("text", "audio_path", "meta", "version"),
-                                               F.col("version")).alias("_e"))
-    return best.select("key", "_e.text", "_e.audio_path", "_e.meta", "_e.version")
+def read_index(spark: SparkSession, base: str) -> DataFrame:
+    """The newest committed version, as a table that knows its buckets: a lookup by key (J2) does not shuffle it."""
+    found = newest_version(spark, base)
+    if found is None:
+        return spark.createDataFrame([], INDEX_SCHEMA)
+    out = f"{base.rstrip('/')}/version={found[0]}/buckets={found[1]}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table(out)} (key STRING, text STRING, audio_path STRING, meta {META}, version BIGINT) "
+              f"USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {found[1]} BUCKETS LOCATION '{out}'")
+    return spark.read.table(_table(out))

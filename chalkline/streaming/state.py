@@ -27,6 +27,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.sources.store import Store
+
 COMPACT_EVERY = 20
 BUCKETS, BUCKET_ROWS = 64, 100_000
 _MANIFEST = "bucket int, upto long, rows long, buckets int"
@@ -36,31 +38,6 @@ class MissingDelta(RuntimeError):
     """A batch's values are not where the state says they are."""
 
 
-class Store:
-    """Folders of a store that Spark reads, by name."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.root = root.rstrip("/")
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def at(self, *parts: str) -> str:
-        return "/".join([self.root, *parts])
-
-    def complete(self, *parts: str) -> bool:
-        return self.fs.exists(self.path(self.at(*parts, "_SUCCESS")))
-
-    def ids(self, folder: str, prefix: str) -> list[int]:
-        """Numbers of the sub-folders ``<prefix><number>``, in order."""
-        if not self.fs.exists(self.path(self.at(folder))):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.at(folder)))]
-        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
-
-    def delete(self, *parts: str) -> None:
-        self.fs.delete(self.path(self.at(*parts)), True)
-
-
 class KeyedState:
     """The newest row of every key, as of the end of each batch."""
 

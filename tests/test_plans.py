@@ -77,3 +77,13 @@ def test_materialize_writes_a_reliable_checkpoint(spark):
     # llm/ and the cuts of hot groups (1024 of them at most) have their own, bounded broadcasts
     src = "".join(p.read_text() for p in root.rglob("*.py") if root / "llm" not in p.parents and p.name != "ranges.py")
     assert "localCheckpoint(" not in src
+
+
+@pytest.mark.parametrize("name, lower, regexes", [("session_content", 2, 0), ("document_profile", 2, 2), ("content_type", 2, 0),
+                                                  ("helpful_responses", 2, 0), ("document_intake", 2, 9), ("speech_text", 0, 30)])
+def test_texts_are_scanned_once(spark, name, lower, regexes):
+    """T4 lower-cases a text once however often its result is used; T3 runs each step once per variant."""
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= lower
+    assert plan.count("regexp_replace(") <= regexes
+    assert plan.lower().count("contains(") <= 200

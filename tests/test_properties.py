@@ -84,3 +84,18 @@ def test_decode_text_equals_python_codecs(spark, blobs):
     df = spark.createDataFrame([(b,) for b in blobs], "b binary")
     got = [tuple(r.d) for r in df.select(decode_text("b").alias("d")).collect()]
     assert got == [_python_decode(b) for b in blobs]
+
+
+def test_speech_on_tables_equals_the_expression(spark):
+    """The guarded steps of ``with_speech_text`` leave out nothing that the plain expression rewrites."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from chalkline.functions.speech import speech_text, with_speech_text
+    parts = ["_*_", "~__~", "_~~_", "**b** `c` – d-e", "(aside)", "((a!) b)", "1. one", "English meaning: x\n", "label: v\n", "\n• b", "\n > q", "  \n ", "plain."]
+    texts = ["".join(p) for n in (1, 2, 3) for p in itertools.permutations(parts, n)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    for variant, keep in (("live", False), ("legacy", False), ("legacy", True)):
+        out = with_speech_text(df, "text", "out", variant, keep).withColumn("want", speech_text(F.col("text"), variant, keep))
+        assert out.filter(~F.col("out").eqNullSafe(F.col("want"))).count() == 0

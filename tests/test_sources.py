@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.keys import payload_struct
 from chalkline.sources.files import content_catalog, scan_uploads
-from chalkline.sources.index import load_response_index, read_index, write_response_index
-from chalkline.sources.sinks import audit_sink, history_sink
+from chalkline.sources.index import META, load_response_index, read_index, write_response_index
+from chalkline.sources.sinks import HISTORY, audit_sink, history_sink, read_committed
 from tests.test_operators import _py_key
 
 
@@ -54,17 +54,49 @@ def test_response_index_import_and_versions(spark):
     assert [(r.key, r.text, r.version) for r in latest] == [(key, "new", 2)]
 
 
-def test_sinks_append(spark):
+def test_sinks_append_once(spark):
     d = tempfile.mkdtemp(prefix="sinks-")
     q = spark.createDataFrame([("What is cricket?", "Math")], "question string, subject string")
-    audit_sink(q, "unknown_question", os.path.join(d, "audit"))
-    audit_sink(q, "unknown_question", os.path.join(d, "audit"))
-    a = spark.read.parquet(os.path.join(d, "audit"))
+    audit = os.path.join(d, "audit")
+    for batch_id in (1, 1, 2):                              # batch 1 is retried
+        audit_sink(q, "unknown_question", audit, batch_id)
+    a = spark.read.parquet(audit)
     assert a.filter("kind = 'unknown_question'").count() == 2
-    h = spark.createDataFrame([(1, 1, "hi", "Hello", None)], "session_id long, turn int, user string, "
-                              "teacher string, audio string")
-    history_sink(h, os.path.join(d, "history"))
-    assert spark.read.parquet(os.path.join(d, "history")).count() == 1
+    seen = read_committed(spark, os.path.join(audit, "kind=unknown_question"), "question string, subject string")
+    assert sorted(r["batch"] for r in seen.collect()) == ["1", "2"]
+    h = spark.createDataFrame([(1, 1, "hi", "Hello", None)], HISTORY)
+    path = os.path.join(d, "history")
+    assert read_committed(spark, path, HISTORY).count() == 0
+    for batch_id in ("job-7", "job-7", "job-8"):
+        history_sink(h, path, batch_id)
+    os.remove(os.path.join(path, "batch=job-8", "_SUCCESS"))  # a job that did not commit
+    assert [tuple(r) for r in read_committed(spark, path, HISTORY).collect()] == [(1, 1, "hi", "Hello", None, "job-7")]
+
+
+def test_index_lookup_does_not_shuffle_the_index(spark):
+    from chalkline.operators.cache import cache_lookup
+    base = os.path.join(tempfile.mkdtemp(prefix="index-"), "store")
+    assert read_index(spark, base).count() == 0
+    meta = f"cast(null as {META})"
+    rows = spark.range(500).selectExpr("sha2(cast(id as string), 256) as key", "concat('t', id) as text", "cast(null as string) as audio_path", f"{meta} as meta")
+    write_response_index(rows.limit(3), base, 1, 4)
+    write_response_index(rows, base, 2, 8)
+    write_response_index(rows, base, 2, 8)                    # a retry
+    write_response_index(rows.limit(1), base, 3, 8)
+    os.remove(os.path.join(base, "version=3", "buckets=8", "_SUCCESS"))
+    index = read_index(spark, base)
+    assert index.count() == 500 and {r["version"] for r in index.select("version").distinct().collect()} == {2}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.range(490, 510).selectExpr("id", "sha2(cast(id as string), 256) as key")
+        found = cache_lookup(asked, index)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == 1 and "SelectedBucketsCount: 8 out of 8" in plan
+        got = {r["id"]: r["cached_text"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: f"t{i}" if i < 500 else None for i in range(490, 510)}
 
 
 def test_payload_struct_key_matches(spark):

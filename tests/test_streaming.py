@@ -15,7 +15,8 @@ from chalkline.plans import queries as Q
 from chalkline.plans.salt import EVENT_ID_MULT
 from chalkline.streaming.cache import COMPACT_EVERY, MissingDelta, index_state, process_batch, stream_cache
 from chalkline.streaming.sessions import route_batch, stream_current_document, stream_route_intent, turn_state
-from chalkline.streaming.state import KeyedState, Store
+from chalkline.sources.store import Store
+from chalkline.streaming.state import KeyedState
 from tests.conftest import SF001
 
 
