@@ -229,16 +229,20 @@ def camera_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """(requests, the documents that camera requests store). The first request of a session reads its upload and
     replaces what is stored; a later one reads it only where nothing is stored (``if_none``). An upload that is of an
     unsupported kind, cannot be read or holds no text stores nothing."""
-    r = (sessions.mark_first(I.requests(spark, sf_dir)).withColumn("file_path", coerce_path(F.col("file")))
-         .select("session_id", "ts", "event_id", "content_source", "file_path", "is_first", "message"))
-    with_text = I.uploads(spark, sf_dir).select(F.col("path").alias("file_path"), decode_text(F.col("content"))["text"].alias("text"))
-    with_text = with_text.filter(py_strip(F.col("text")) != "").select("file_path")
-    d = r.filter((F.col("content_source") == R.SOURCE_CAMERA) & F.col("file_path").isNotNull()
-                 & (docs.admit_upload(F.col("file_path")) != "unsupported"))
+    r = I.requests(spark, sf_dir).withColumn("file_path", coerce_path(F.col("file"))).select(
+        "session_id", "ts", "event_id", "content_source", "file_path", "message")
+    d = (sessions.mark_first(r.drop("message"))
+         .filter((F.col("content_source") == R.SOURCE_CAMERA) & (docs.admit_upload(F.col("file_path")) != "unsupported")))
+    # only uploads that a camera request names are decoded: the aggregate keeps the test of the text behind the semi-join
+    named = (r.filter(F.col("content_source") == R.SOURCE_CAMERA).select("file_path").distinct())
+    uploads = I.uploads(spark, sf_dir).select(F.col("path").alias("file_path"), "content").join(named, "file_path", "left_semi")
+    with_text = (uploads.groupBy("file_path").agg(F.max(py_strip(decode_text(F.col("content"))["text"]) != "").alias("has_text"))
+                 .filter("has_text").select("file_path"))
     d = d.join(with_text, "file_path", "left_semi").select(
         "session_id", "ts", "event_id", F.col("event_id").alias("doc_event_id"), F.col("file_path").alias("doc_path"),
         (~F.col("is_first")).alias("if_none"))
-    return r, d
+    # short rows that the as-of join reads several times; the uploads are read for them once
+    return r, materialize(d)
 
 
 def _seen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
