@@ -5,13 +5,17 @@ document its posterior over the domains. A document's expected tokens in a
 domain are its tokens times the posterior; nonnegative rates (expected uses of
 each document) are fitted so that the domains' expected totals match their
 targets: least squares over the domains, each residual measured against the
-domain's size, by projected gradient with momentum from rate 1; where documents
-may be used ``most`` times only, every step is projected onto 0 <= rate <= most,
-so the totals fitted are those of the rates returned. A step moves a
-document by its posteriors' share of the domains' gradients, whatever its
-length, so documents of equal posterior get equal rates. A round is one
-aggregation of two sums per domain; each document's rate is replayed from the
-few numbers of the last rounds, and stored after every ten.
+domain's size, by projected gradient from rate 1. Where documents may be used
+``most`` times only, rates are projected onto 0 <= rate <= most, so the totals
+fitted are those of the rates returned.
+
+A document's gradient is its posteriors' share of one number per domain, so the
+rounds add up to one number per domain: a document's rate is the projection of
+1 - p . gradient, whatever the number of rounds, and documents of equal
+posterior get equal rates. A round scales the domains' gaps by the inverse Gram
+matrix of the documents between their bounds and tries three step lengths; totals
+and matrix come from the same single aggregation of flat columns. Between rates
+of equal totals those nearest to 1 are taken (a pull of weight ``RIDGE``).
 
 Training reads about ``train_docs`` labelled documents, chosen by a hash of
 doc_id, and keeps the ``features`` most telling words; totals, posteriors and
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +43,12 @@ from chalkline.llm.common import fresh, materialize
 DOMAINS = ("high", "low", "toxic")
 TRAIN_DOCS, FEATURES, SUPPORT, PRIOR_DOCS = 12_000, 3_000, 5, 10.0
 #: Rounds end when no domain misses its target by more than this share of the target (of its size, where the target is 0), or
-#: when a round's gradient moves no more than the share SETTLED of all tokens.
-ROUNDS, TOLERANCE, SETTLED = 100, 5e-4, 1e-6
-#: Rounds that are replayed before the rates reached are stored.
-REPLAYED = 10
+#: when two rounds running moved no total by more than the share SETTLED.
+ROUNDS, TOLERANCE, SETTLED = 60, 5e-4, 2e-5
+#: Step lengths that a round tries, and the weight of the pull towards rate 1.
+STEPS, RIDGE = (3.0, 1.0, 0.25), 1e-7
+#: Rates this near to a whole number are that number.
+SNAP = 1e-5
 
 
 def words(text: Column) -> Column:
@@ -97,18 +104,68 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     return sums.select("doc_id", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
 
 
-def _replayed(history: list[list[float]], k: int, start: Column, most: float) -> Column:
-    """A document's (rate x, look-ahead y, look-ahead z before that) after the rounds of ``history``: gradients of each
-    domain, then the momentum."""
-    if not history:
-        return start
-
-    def step(state: Column, h: Column) -> Column:
-        slope = sum((F.get("p", F.lit(i)) * F.get(h, F.lit(i)) for i in range(1, k)), F.get("p", F.lit(0)) * F.get(h, F.lit(0)))
-        x = F.least(F.greatest(F.lit(0.0), state["y"] - slope), F.lit(float(most)))
-        return F.struct(x.alias("x"), (x + F.get(h, F.lit(k)) * (x - state["x"])).alias("y"), state["y"].alias("z"))
-
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in h]) for h in history]), start, step)
+def _rate(p: list[Column], gradient: list[float], most: float) -> tuple[Column, Column]:
+    """The point that the summed-up gradient leads to from rate 1, and its projection onto 0 <= rate <= most."""
+    y = F.lit(1.0)
+    for x, g in zip(p, gradient):
+        y = y - x * F.lit(float(g))
+    return y, F.least(F.greatest(F.lit(0.0), y), F.lit(float(most)))
+
+
+def _measure(rows: DataFrame, k: int, gradients: list[list[float]], most: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each gradient, in one aggregation: the domains' totals, the Gram matrix of the documents between their bounds,
+    and the tokens times the integral of the rate (what a step must not increase, but for the targets' part)."""
+    p = [F.col(f"p{i}") for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    x, sums = rows, []
+    for n, gradient in enumerate(gradients):
+        y, rate = _rate(p, gradient, most)
+        x = x.withColumn(f"y{n}", y)
+        y, rate = F.col(f"y{n}"), F.least(F.greatest(F.lit(0.0), F.col(f"y{n}")), F.lit(float(most)))
+        used, free = F.col("tokens") * rate, F.when((y > 0) & (y < most), F.col("tokens")).otherwise(0)
+        area = F.when(y <= 0, 0.0).when(y >= most, y * most - F.lit(most * most / 2 if math.isfinite(most) else 0.0)).otherwise(y * y / 2)
+        sums += [F.sum(used * c) for c in p] + [F.sum(free * p[i] * p[j]) for i, j in pairs] + [F.sum(F.col("tokens") * area)]
+    found = [v or 0.0 for v in x.agg(*sums).first()]
+    out, width = [], k + len(pairs) + 1
+    for n in range(len(gradients)):
+        own, gram = found[n * width:(n + 1) * width], np.zeros((k, k))
+        for (i, j), v in zip(pairs, own[k:]):
+            gram[i, j] = gram[j, i] = v
+        out.append((np.array(own[:k]), gram, own[-1]))
+    return out
+
+
+def fit_gradient(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+                 most: float = math.inf) -> list[float]:
+    """The gradient, summed over the rounds, whose rates meet the targets. rows: tokens, p0, p1, ..."""
+    k, target = len(targets), np.array(targets, dtype=float)
+    [(total, gram, area)] = _measure(rows, k, [[0.0] * k], math.inf)                   # every rate is 1
+    sizes, tokens = total, 2 * area
+    own, scale = np.where(target > 0, target, sizes), np.where(sizes > 0, sizes, 1.0)
+    # the pull towards rate 1 that decides between rates of equal totals, against the domains' squared gaps
+    pull = RIDGE * scale**2 / max(tokens, 1.0)
+    at = np.zeros(k)
+    value, reach, still = area, 1.0, 0
+    if most <= 1:
+        # all documents stand at their bound: the first step sees them as free
+        [(total, _, value)] = _measure(rows, k, [[0.0] * k], most)
+    for _ in range(rounds):
+        gaps = np.where(sizes > 0, np.abs(total - target), 0)
+        if (gaps <= tolerance * own).all() or still == 2:
+            break
+        left = total - target - pull * at
+        step = np.linalg.lstsq(gram + np.diag(pull + 1e-9 * max(tokens, 1.0)), left, rcond=None)[0]
+        tries = [at + reach * s * step for s in STEPS]
+        found = _measure(rows, k, [t.tolist() for t in tries], most)
+        worth = [area + t @ target + (pull * t * t).sum() / 2 for t, (_, _, area) in zip(tries, found)]
+        best = int(np.argmin(worth))
+        if worth[best] > value + 1e-12 * abs(value):
+            reach *= STEPS[-1] ** 2                         # all went too far
+            continue
+        still = still + 1 if (np.abs(found[best][0] - total) <= SETTLED * own).all() else 0
+        at, value, reach = tries[best], worth[best], min(1.0, reach * 4)
+        total, gram, _ = found[best]
+    return at.tolist()
 
 
 def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE,
@@ -116,32 +173,11 @@ def fit_rates(documents: DataFrame, targets: list[float], rounds: int = ROUNDS,
     """``documents`` (doc_id, tokens, p) with ``rate``: expected domain totals as near to ``targets`` as rates from 0 to
     ``most`` allow."""
     k = len(targets)
-    sums = [F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]
-    *sizes, tokens = [v or 0.0 for v in documents.agg(*sums, F.sum("tokens")).first()]
-    own = [t or s for t, s in zip(targets, sizes)]
-    at = fresh(documents, "at")
-    stored = documents.withColumn(at, F.struct(*[F.lit(min(1.0, float(most))).alias(v) for v in "xyz"]))
-    history: list[list[float]] = []
-    momentum, last = 1.0, math.inf
-    for done in range(rounds):
-        state = _replayed(history, k, F.col(at), most)
-        row = stored.select("tokens", "p", state.alias("s")).agg(
-            *[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.col(f"s.{v}")) for v in "xy" for i in range(k)],
-            F.sum(F.col("tokens") * F.abs(F.col("s.x") - F.col("s.z")))).first()
-        *totals, moved = [v or 0.0 for v in row]
-        x, y = totals[:k], totals[k:]
-        gaps = [abs(a - t) if s else 0.0 for a, t, s in zip(x, targets, sizes)]
-        if all(g <= tolerance * o for g, o in zip(gaps, own)) or done and moved <= SETTLED * tokens:
-            break
-        following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        beta = (momentum - 1) / following
-        if max(gaps) > last:                                  # overshot: start the momentum anew
-            following, beta = 1.0, 0.0
-        momentum, last = following, max(gaps)
-        if len(history) == REPLAYED:
-            stored, history, state = materialize(stored.withColumn(at, state)), [], F.col(at)
-        history.append([(a - t) / s if s else 0.0 for a, t, s in zip(y, targets, sizes)] + [beta])
-    return stored.withColumn("rate", _replayed(history, k, F.col(at), most)["x"]).drop(at)
+    p = [F.get("p", F.lit(i)) for i in range(k)]
+    gradient = fit_gradient(documents.select("tokens", *[x.alias(f"p{i}") for i, x in enumerate(p)]), targets, rounds, tolerance, most)
+    rate = _rate(p, gradient, most)[1]
+    near = F.round(rate)
+    return documents.withColumn("rate", F.when(F.abs(rate - near) <= SNAP, near).otherwise(rate))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float | None], share: float = 1.0, train_docs: int = TRAIN_DOCS,

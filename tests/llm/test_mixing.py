@@ -57,47 +57,63 @@ def test_rates_within_most_uses(spark):
     assert drawn.max() == 1 and (drawn[clean] == 1).all() and np.abs((tokens * drawn) @ p - totals).max() <= 5e-3 * sizes.sum()
 
 
-def test_more_rounds_than_are_replayed(spark):
-    """What is stored between rounds is what replaying all of them gives."""
+def test_few_rounds_and_one_form(spark):
+    """Rates are the projection of 1 minus the posteriors' share of one number per domain, found in a few aggregations."""
     rng = np.random.default_rng(5)
-    p, tokens = rng.dirichlet([0.8, 0.3, 0.3], 60), rng.integers(1, 100, 60)
-    targets = (tokens @ p) * [1.0, 1.3, 0.0]
+    p, tokens = rng.dirichlet([0.8, 0.3, 0.3], 2000), rng.integers(1, 100, 2000)
     rows = [(i, int(n), [float(v) for v in q]) for i, (n, q) in enumerate(zip(tokens, p))]
     df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
-    n = mixing.REPLAYED + 3
-    got = np.array([r.rate for r in mixing.fit_rates(df, list(map(float, targets)), rounds=n, tolerance=0).orderBy("doc_id").collect()])
-    sizes, x, y, m, last = tokens @ p, np.ones(60), np.ones(60), 1.0, math.inf
-    for _ in range(n):
-        gap = np.abs((tokens * x) @ p - targets).max()
-        slope = ((tokens * y) @ p - targets) / sizes
-        f = (1 + math.sqrt(1 + 4 * m * m)) / 2
-        f, b = (1.0, 0.0) if gap > last else (f, (m - 1) / f)
-        m, last, old = f, gap, x
-        x = np.maximum(0, y - p @ slope)
-        y = x + b * (x - old)
-    assert np.allclose(got, x)
-
-
-def test_follows_the_same_steps_as_arrays(spark):
-    """The replayed rounds are projected gradient with momentum, as written in numpy."""
-    rng = np.random.default_rng(3)
-    p, tokens = rng.dirichlet([0.5] * 3, 50), rng.integers(1, 100, 50)
-    targets = (tokens @ p) * [0.2, 1.4, 0.0]
+    sizes = tokens @ p
+    for targets, most in ((sizes * [1.0, 1.3, 0.0], math.inf), (sizes * [0.2, 1.4, 0.0], math.inf), (sizes * [0.9, 0.95, 0.8], 1.0)):
+        flat = df.select("tokens", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(3)])
+        gradient = np.array(mixing.fit_gradient(flat, targets.tolist(), rounds=20, most=most))
+        want = np.clip(1 - p @ gradient, 0, most)
+        gaps = np.abs((tokens * want) @ p - targets)
+        assert (gaps <= mixing.TOLERANCE * np.where(targets > 0, targets, sizes)).all()
+        got = np.array([r.rate for r in mixing.fit_rates(df, targets.tolist(), rounds=20, most=most).orderBy("doc_id").collect()])
+        assert np.abs(got - want).max() <= mixing.SNAP
+
+
+def test_nearest_to_one_among_equal_totals(spark):
+    """Of all rates with these totals, those of the least squared distance to 1 (tokens count): no other choice is nearer."""
+    rng = np.random.default_rng(9)
+    p, tokens = rng.dirichlet([0.5] * 3, 200), rng.integers(1, 50, 200)
     rows = [(i, int(n), [float(v) for v in q]) for i, (n, q) in enumerate(zip(tokens, p))]
     df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
-    got = np.array([r.rate for r in mixing.fit_rates(df, list(map(float, targets)), rounds=4, tolerance=0).orderBy("doc_id").collect()])
-    sizes, x, y, m, last = tokens @ p, np.ones(50), np.ones(50), 1.0, math.inf
-    for _ in range(4):
-        gap = np.abs((tokens * x) @ p - targets).max()
-        slope = ((tokens * y) @ p - targets) / sizes
-        f = (1 + math.sqrt(1 + 4 * m * m)) / 2
-        b = (m - 1) / f
-        if gap > last:
-            f, b = 1.0, 0.0
-        m, last, old = f, gap, x
-        x = np.maximum(0, y - p @ slope)
-        y = x + b * (x - old)
-    assert np.allclose(got, x)
+    targets = (tokens @ p) * [0.6, 1.2, 0.9]
+    x = np.array([r.rate for r in mixing.fit_rates(df, targets.tolist(), tolerance=1e-9).orderBy("doc_id").collect()])
+    cost = (tokens * (x - 1) ** 2).sum()
+    basis = np.linalg.svd(p.T * tokens)[2][3:]              # moves that leave the totals as they are
+    for move in rng.standard_normal((200, len(basis))) @ basis * 0.01:
+        other = x + move
+        if (other >= 0).all():
+            assert (tokens * (other - 1) ** 2).sum() >= cost - 1e-6 * cost
+
+
+def test_posteriors_against_naive_bayes(spark):
+    """The classifier's counts, ratios and posteriors, written again in Python."""
+    texts = ["alpha beta beta", "beta gamma", "alpha delta delta", "gamma gamma beta", "delta", "", None, "alpha  beta\tGAMMA", "omega alpha"] * 3
+    docs = docs_frame(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, [1, 0, 1, None][i % 4], int(i % 5 == 0)) for i in range(20)], LABELS)
+    model, priors = mixing.train(docs, labels, features=4)
+    domain = {r.label_id: r.domain for r in mixing.labelled_domains(labels).collect()}
+    sets = {i: set((t or "").lower().replace("\t", " ").split()) for i, t in enumerate(texts)}
+    n = [sum(d == k for d in domain.values()) for k in mixing.DOMAINS]
+    counts = {w: [sum(w in sets[i] for i, d in domain.items() if d == k) for k in mixing.DOMAINS] for w in set().union(*sets.values())}
+    weights = {}
+    for w, c in counts.items():
+        if sum(c) >= mixing.SUPPORT:
+            base = (sum(c) + 0.5) / (sum(n) + 1)
+            weights[w] = [math.log((x + mixing.PRIOR_DOCS * base) / (m + mixing.PRIOR_DOCS) / base) for x, m in zip(c, n)]
+    telling = sorted(weights, key=lambda w: (-sum(x * abs(v) for x, v in zip(counts[w], weights[w])), w))[:4]
+    got = {r.feature: list(r.weights) for r in model.collect()}
+    assert set(got) == set(telling) and all(np.allclose(got[w], weights[w]) for w in got)
+    assert np.allclose(priors, [math.log((m + 1) / (sum(n) + 3)) for m in n])
+    for r in mixing.posteriors(docs, model, priors).collect():
+        words = (texts[r.doc_id] or "").lower().replace("\t", " ").split()
+        logs = np.array(priors) + sum((np.array(weights[w]) for w in words if w in got), np.zeros(3))
+        odds = np.exp(logs - logs.max())
+        assert r.tokens == len(words) and np.allclose(r.p, odds / odds.sum())
 
 
 def test_classifier_finds_the_domains(spark):
