@@ -49,6 +49,8 @@ from chalkline.llm.common import materialize
 SCALE = 256
 POSITIVES, NEGATIVES, SHARE = 5, 5, 0.8
 TILE_ROWS, PIVOTS, LEAF_ROWS, QUERY_ROWS = 4096, 1024, 32, 512
+#: Leaves of the highest bounds that are verified together.
+LEAVES = 16
 #: Ratio of the radii of two levels.
 BASE = 1.5
 LEAST, MOST = -(1 << 62), 1 << 62
@@ -71,14 +73,11 @@ class Tree:
             setattr(self, name, np.frombuffer(data, kind, int(size) // np.dtype(kind).itemsize, at))
             at += int(size)
         self.x = self.x.reshape(len(self.cid), -1)
-        self.exact = float(self.top[0]) ** 2 < EXACT
-        self.points = self.x.astype(np.float64) if self.exact else self.x
 
-    def scores(self, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """Exact inner products of queries (rows) and points (by number)."""
-        if self.exact and np.abs(queries).max(initial=0) * queries.shape[1] * np.abs(self.points).max(initial=0) < EXACT:
-            return (queries.astype(np.float64) @ self.points[points].T).astype(np.int64)
-        return queries @ self.x[points].T
+    def operands(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and points whose matrix product is exact: doubles where every partial sum is, else longs."""
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * self.x.shape[1]
+        return (queries.astype(np.float64), self.x.astype(np.float64)) if most < EXACT else (queries, self.x)
 
     def bounds(self, score: np.ndarray, norm: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest inner product that anything below ``nodes`` (columns) can have with the queries (rows)."""
@@ -92,15 +91,16 @@ class Tree:
 def build_tree(x: np.ndarray, cid: np.ndarray, vid: np.ndarray, label: np.ndarray, top: float, leaf_rows: int = LEAF_ROWS) -> bytes:
     """The tree, in bytes. x: integer points; top: a norm that none exceeds."""
     points = x.astype(np.float64)
-    lift = np.sqrt(np.maximum(top * top - (points * points).sum(1), 0))
-    points = np.concatenate([points, lift[:, None]], 1)
+    square = (points * points).sum(1)
+    lift = np.sqrt(np.maximum(top * top - square, 0))
 
     def distances(members: np.ndarray, centre: int) -> np.ndarray:
-        d = points[members] - points[centre]
-        return np.sqrt(np.einsum("ij,ij->i", d, d))
+        """Of the lifted points; 0 for equal ones."""
+        d = square[members] + square[centre] - 2 * (here @ points[centre]) + (lift[members] - lift[centre]) ** 2
+        return np.sqrt(np.maximum(d, 0))
 
+    here, everything = points, np.arange(len(x))
     root = int(((points - points.mean(0)) ** 2).sum(1).argmin())
-    everything = np.arange(len(x))
     nodes = [[root, float(distances(everything, root).max()), 0, 0, 0, 0]]
     held, order, at = {0: everything}, [], 0
     while at < len(nodes):
@@ -110,12 +110,14 @@ def build_tree(x: np.ndarray, cid: np.ndarray, vid: np.ndarray, label: np.ndarra
             order.extend(members.tolist())
         else:
             nodes[at][2], near = len(nodes), radius / BASE
-            while len(members):
+            here, left = points[members], np.ones(len(members), bool)
+            while left.any():
                 d = distances(members, centre)
-                inside = d <= near
+                inside = left & ((d <= near) | (members == centre))
                 nodes.append([centre, float(d[inside].max()), 0, 0, 0, 0])
                 held[len(nodes) - 1] = members[inside]
-                centre, members = int(members[d.argmax()]), members[~inside]
+                left &= ~inside
+                centre = int(members[np.where(left, d, -1).argmax()])
             nodes[at][3] = len(nodes)
         at += 1
     parts = dict(zip(("point", "radius", "first", "last", "start", "stop"), zip(*nodes)))
@@ -146,6 +148,7 @@ def descend(tree: Tree, block: Block, k: int, same: bool) -> tuple[np.ndarray, n
     ``same``) of others; and how many points were verified and left out."""
     norm = np.sqrt((block.x.astype(np.float64) ** 2).sum(1))
     floor, best = block.low.copy(), np.full((len(block.qid), k), LEAST)
+    queries, candidates = tree.operands(block.x)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     seen = {"verified": 0, "all": len(block.qid) * len(tree.cid)}
 
@@ -155,14 +158,14 @@ def descend(tree: Tree, block: Block, k: int, same: bool) -> tuple[np.ndarray, n
         r, p = np.nonzero(good)
         if not len(r):
             return
-        found.append((rows[r], points[p], score[r, p]))
-        own, at = np.unique(r, return_inverse=True)
-        wide = np.where(good[own], score[own], LEAST)
+        found.append((rows[r], points[p], score[r, p].astype(np.int64)))
+        own = np.flatnonzero(good.any(1))
+        wide = np.where(good[own], score[own], LEAST).astype(np.int64)
         best[rows[own]] = np.partition(np.concatenate([best[rows[own]], wide], 1), -k, axis=1)[:, -k:]
         floor[rows[own]] = np.maximum(floor[rows[own]], best[rows[own]].min(1))
 
     def offer(rows: np.ndarray, nodes: np.ndarray) -> None:
-        score = tree.scores(block.x[rows], tree.point[nodes])
+        score = queries[rows] @ candidates[tree.point[nodes]].T
         single = (tree.last[nodes] == tree.first[nodes]) & (tree.stop[nodes] - tree.start[nodes] == 1)
         if single.any():                                    # nothing below but the point itself
             verify(rows, tree.point[nodes[single]], score[:, single])
@@ -176,16 +179,25 @@ def descend(tree: Tree, block: Block, k: int, same: bool) -> tuple[np.ndarray, n
     heap: list[tuple[float, int, np.ndarray, np.ndarray]] = []
     offer(np.arange(len(block.qid)), np.zeros(1, np.int64))
     while heap:
-        _, node, rows, high = heapq.heappop(heap)
-        rows = rows[high >= floor[rows]]
-        if not len(rows):
-            continue
-        if tree.last[node] > tree.first[node]:
-            offer(rows, np.arange(tree.first[node], tree.last[node]))
-        else:
-            points = tree.order[tree.start[node]:tree.stop[node]]
-            verify(rows, points, tree.scores(block.x[rows], points))
-            seen["verified"] += len(rows) * len(points)
+        asked, points = np.zeros(len(block.qid), bool), []
+        while heap and len(points) < LEAVES:
+            node = heap[0][1]
+            inner = tree.last[node] > tree.first[node]
+            if inner and points:
+                break
+            _, _, rows, high = heapq.heappop(heap)
+            rows = rows[high >= floor[rows]]
+            if not len(rows):
+                continue
+            if inner:
+                offer(rows, np.arange(tree.first[node], tree.last[node]))
+            else:
+                asked[rows] = True
+                points.append(tree.order[tree.start[node]:tree.stop[node]])
+        if points:
+            rows, together = np.flatnonzero(asked), np.concatenate(points)
+            verify(rows, together, queries[rows] @ candidates[together].T)
+            seen["verified"] += len(rows) * len(together)
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, seen
@@ -221,13 +233,14 @@ def classes_of(rows: DataFrame, most: int) -> DataFrame:
 def _nearest(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], tops: dict[int, float]) -> Iterator[pa.RecordBatch]:
     """Number of the nearest pivot, among norm-augmented vectors."""
     for batch in batches:
-        cells = []
-        for dim, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            p, top = pivots[dim], tops[dim]
-            v = np.array(x, dtype=np.float64)
-            v = np.append(v, np.sqrt(max(top * top - v @ v, 0)))
-            cells.append(int(((p - v) ** 2).sum(1).argmin()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32())], names=["of", "cell"])
+        dims, values = np.asarray(batch.column(1)), batch.column(2)
+        cells = np.zeros(len(dims), np.int32)
+        for dim in np.unique(dims).tolist():
+            p, top, own = pivots[dim], tops[dim], np.flatnonzero(dims == dim)
+            x = np.asarray(values.take(pa.array(own)).flatten(), dtype=np.float64).reshape(-1, dim)
+            x = np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]], 1)
+            cells[own] = (x @ p.T).argmax(1)                # all of one norm: the nearest has the largest inner product
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells)], names=["of", "cell"])
 
 
 def _tile(key: tuple, table: pa.Table, tops: dict[int, float], leaf_rows: int) -> pa.Table:
