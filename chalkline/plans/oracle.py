@@ -333,28 +333,51 @@ def clean_sql(raw: str) -> str:
             f"ELSE c END AS r FROM (SELECT {c} AS c))) END)")
 
 
+def default_reply(question: str) -> str:
+    """T12 over the columns flow, cleaned and subject."""
+    marker = sql_str(R.TOOL_MARKER)
+    return (f"CASE WHEN flow = 'greeting' AND (cleaned = '' OR contains(cleaned, {marker})) THEN "
+            f"{sql_str(R.GREETING_DEFAULT_HEAD)} || coalesce(subject, 'None') || {sql_str(R.GREETING_DEFAULT_TAIL)} "
+            f"WHEN flow IN ('smart_first_response', 'follow_up') AND contains(lower(cleaned), {marker}) THEN "
+            f"{fallback('subject', question)} "
+            f"WHEN flow IN ('smart_first_response', 'follow_up', 'camera_follow_up') AND cleaned = '' THEN "
+            f"{sql_str(R.CLARIFY_DEFAULT)} WHEN flow = 'camera_first' AND cleaned = '' THEN "
+            f"{sql_str(R.CAMERA_EMPTY_DEFAULT)} ELSE cleaned END")
+
+
+SPEECH_LANG = ("CASE WHEN flow = 'camera_first' THEN CASE WHEN contains(lower(coalesce(reply, '')), 'hindi') THEN 'hi' "
+               "ELSE 'en' END WHEN flow = 'document_question' THEN 'en' WHEN lower(subject) = 'hindi' THEN 'hi' ELSE 'en' END")
+
+
+def q_store_answers() -> str:
+    ctes = [cte_routed(),
+            f"a AS (SELECT key, subject, message, event_id, conv_turn, {pick(S.ANSWER_PHRASES, '(event_id + 1) % 6')} || reply AS raw, "
+            f"CASE WHEN content_source = {CAM} THEN CASE WHEN intent <> 'follow_up' THEN 'camera_first' ELSE 'camera_follow_up' END "
+            "ELSE intent END AS flow FROM log WHERE reply IS NOT NULL)",
+            f"b AS (SELECT *, {clean_sql('raw')} AS cleaned FROM a)", f"c AS (SELECT *, {default_reply('message')} AS reply FROM b)",
+            "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_id DESC) AS rn FROM c) WHERE rn = 1)",
+            "s AS (SELECT *, reply AS t FROM e)"]
+    last = "s"
+    for i, step in enumerate(speech_sql("live")):
+        ctes.append(f"s{i} AS (SELECT * REPLACE ({step} AS t) FROM {last})")
+        last = f"s{i}"
+    return (f"WITH {', '.join(ctes)} SELECT key, reply AS text, 'store/audio/' || key || '.wav' AS audio_path, event_id AS version, "
+            f"{SPEECH_LANG} AS speech_lang, t AS speech FROM {last}")
+
+
 def q_clean_answers() -> str:
     ev = f"(conv_id * {S.EVENT_ID_MULT} + turn)"
     flows = ["greeting", "smart_first_response", "follow_up", "camera_first", "camera_follow_up"]
     marker = sql_str(R.TOOL_MARKER)
-    reply = (f"CASE WHEN flow = 'greeting' AND (cleaned = '' OR contains(cleaned, {marker})) THEN "
-             f"{sql_str(R.GREETING_DEFAULT_HEAD)} || coalesce(subject, 'None') || {sql_str(R.GREETING_DEFAULT_TAIL)} "
-             f"WHEN flow IN ('smart_first_response', 'follow_up') AND contains(lower(cleaned), {marker}) THEN "
-             f"{fallback('subject', 'question')} "
-             f"WHEN flow IN ('smart_first_response', 'follow_up', 'camera_follow_up') AND cleaned = '' THEN "
-             f"{sql_str(R.CLARIFY_DEFAULT)} WHEN flow = 'camera_first' AND cleaned = '' THEN "
-             f"{sql_str(R.CAMERA_EMPTY_DEFAULT)} ELSE cleaned END")
-    lang = ("CASE WHEN flow = 'camera_first' THEN CASE WHEN contains(lower(coalesce(reply, '')), 'hindi') THEN 'hi' "
-            "ELSE 'en' END WHEN flow = 'document_question' THEN 'en' WHEN lower(subject) = 'hindi' THEN 'hi' ELSE 'en' END")
     return (f"WITH a AS (SELECT conv_id AS session_id, {ev} AS event_id, "
             f"{pick(S.ANSWER_PHRASES, ev + ' % 6')} || coalesce(text, '') AS raw, "
             f"(SELECT any_value(q.text) FROM conversations q WHERE q.role = 'user' AND q.conv_id = c.conv_id AND "
             f"q.turn = c.turn - 1) AS question FROM conversations c "
             f"WHERE role = 'assistant'), b AS (SELECT event_id, raw, question, {pick(S.SUBJECT_CHOICES, 'session_id % 5')} AS subject, "
             f"{pick(flows, 'event_id % 5')} AS flow FROM a), c AS (SELECT *, {clean_sql('raw')} AS cleaned FROM b), "
-            f"d AS (SELECT *, {reply} AS reply FROM c) SELECT event_id, flow, cleaned, "
+            f"d AS (SELECT *, {default_reply('question')} AS reply FROM c) SELECT event_id, flow, cleaned, "
             f"contains(lower(coalesce(cleaned, '')), {marker}) AS has_marker, {tool_error('raw')} AS is_tool_error, "
-            f"reply, {lang} AS speech_lang FROM d")
+            f"reply, {SPEECH_LANG} AS speech_lang FROM d")
 
 
 def speech_sql(variant: str, preserve: bool = False) -> list[str]:
@@ -439,7 +462,7 @@ def q_quick_actions() -> str:
             f"FROM requests) SELECT event_id, action, {case} AS message, ({case}) IS NOT NULL AS accepted FROM a")
 
 
-def cte_current_document() -> str:
+def cte_current_document(base: bool = True) -> str:
     """A document that replaces counts as the last one so far, one stored only where there is none as the first so far."""
     def seen(agg: str, column: str, keep: str) -> str:
         return (f"{agg}(CASE WHEN {keep} THEN {column} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id, kind "
@@ -449,15 +472,15 @@ def cte_current_document() -> str:
         return f"coalesce({seen('last_value', column, 'NOT if_none')}, {seen('first_value', column, 'if_none')})"
 
     return ", ".join([
-        cte_requests(), cte_uploads(),
+        *([cte_requests(), cte_uploads()] if base else []),
         f"r AS (SELECT session_id, ts, event_id, {coerce('file')} AS file_path, content_source, message, "
         "row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) > 1 AS later FROM requests)",
         f"d AS (SELECT session_id, ts, event_id, file_path, later FROM r WHERE content_source = {CAM} AND "
         f"{admit('file_path')} <> 'unsupported' AND file_path IN (SELECT path FROM uploads WHERE {strip('html')} <> ''))",
         "u AS (SELECT session_id, ts, event_id, 1 AS kind, CAST(NULL AS BIGINT) AS de, CAST(NULL AS VARCHAR) AS dp, false AS if_none "
         "FROM r UNION ALL SELECT session_id, ts, event_id, 0, event_id, file_path, later FROM d)",
-        f"w AS (SELECT *, {state('de')} AS doc_event_id, {state('dp')} AS doc_path FROM u)",
-        "cd AS (SELECT event_id, doc_event_id, doc_path FROM w WHERE kind = 1)",
+        f"seen AS (SELECT *, {state('de')} AS doc_event_id, {state('dp')} AS doc_path FROM u)",
+        "cd AS (SELECT event_id, doc_event_id, doc_path FROM seen WHERE kind = 1)",
     ])
 
 
@@ -668,10 +691,18 @@ def render_sql(values: dict, task: str = "task") -> str:
     return "CASE " + " ".join(f"WHEN {task} = {sql_str(n)} THEN {render(t)}" for n, t in TASK_TEMPLATES.items()) + " END"
 
 
+def cte_texts(source: str) -> str:
+    """J1 over ``source`` and the text of the stored document (J3); needs the CTEs of ``cte_routed``."""
+    return (f"{cte_current_document(base=False)}, {cte_resolved(source=source, with_uploads=False)}, "
+            "texts AS (SELECT resolved.*, cd.doc_path, doc.text AS document_text, own.path IS NOT NULL AS file_exists "
+            "FROM resolved JOIN cd USING (event_id) LEFT JOIN up doc ON doc.path = cd.doc_path "
+            "LEFT JOIN up own ON own.path = resolved.file_path)")
+
+
 def q_prompts() -> str:
-    values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "''",
-              "student_query": "cache_query", "student_question": "message", "document_text": "''"}
-    return (f"WITH {cte_routed()}, x AS (SELECT *, {task_sql()} AS task FROM routed), y AS (SELECT event_id, task, "
+    values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "content",
+              "student_query": "cache_query", "student_question": "message", "document_text": "document_text"}
+    return (f"WITH {cte_routed()}, {cte_texts('routed')}, x AS (SELECT *, {task_sql()} AS task FROM texts), y AS (SELECT event_id, task, "
             f"{render_sql(values)} AS p FROM x) SELECT event_id, task, sha256(p) AS prompt_sha, "
             f"CAST(length(p) AS INTEGER) AS prompt_chars FROM y")
 
@@ -683,19 +714,21 @@ def q_answer_worklist() -> str:
               f"{sql_str(R.CAMERA_PROMPT_QUESTION)} WHEN content_source = {sql_str(R.SOURCE_UPLOAD)} AND {missing} "
               f"THEN {sql_str(R.NOT_FOUND_HEAD + R.NO_PDF_UPLOADED)} END")
     values = {"subject": "subject", "chapter_number": "CAST(chapter_no AS VARCHAR)", "chapter_content": "content",
-              "student_query": "cache_query", "student_question": "message", "document_text": "''"}
+              "student_query": "cache_query", "student_question": "message", "document_text": "document_text"}
     refused = (f"CASE WHEN content_source = {CAM} AND file_path <> '' AND {admit('file_path')} = 'unsupported' THEN "
                f"{sql_str(R.UNSUPPORTED_UPLOAD_REPLY)} END")
+    unread = (f"CASE WHEN content_source = {CAM} AND file_path <> '' AND doc_path IS NULL THEN CASE WHEN file_exists THEN "
+              f"{sql_str(R.NO_TEXT_UPLOAD_REPLY)} ELSE {sql_str(R.UPLOAD_ERROR_REPLY)} END END")
     early = (f"early_idx AS (SELECT key, text, CASE WHEN version % 3 = 0 THEN 'audio/' || key || '.mp3' END AS audio "
              f"FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version "
              f"DESC) AS rn FROM entries WHERE conv_turn < {S.INDEX_CUTOFF_TURN}) WHERE rn = 1)")
     looked = ("looked AS (SELECT r.*, e.key IS NOT NULL AS hit, e.text AS cached_text, e.audio AS cached_audio FROM routed r "
               "LEFT JOIN early_idx e ON r.key = e.key)")
-    w = (f"w AS (SELECT *, coalesce({prompt}, {refused}, status_message) AS reply0, {task_sql()} AS task0 FROM resolved), "
+    w = (f"w AS (SELECT *, coalesce({prompt}, {refused}, {unread}, status_message) AS reply0, {task_sql()} AS task0 FROM texts), "
          f"w2 AS (SELECT *, CASE WHEN hit AND coalesce(cached_text <> '', false) AND coalesce(cached_audio, '') = '' THEN 'synthesize_audio' "
          f"WHEN hit THEN 'serve' WHEN reply0 IS NOT NULL THEN 'reply_status' ELSE 'generate' END AS action FROM w)")
     return (f"WITH {cte_routed()}, {early}, {looked}, "
-            f"{cte_resolved(source='looked', with_uploads=False)}, {w} "
+            f"{cte_texts('looked')}, {w} "
             f"SELECT event_id, hit, action, status, CASE WHEN action = 'reply_status' THEN reply0 END AS reply, "
             f"CASE WHEN action = 'generate' THEN task0 END AS task, CASE WHEN action = 'generate' THEN "
             f"sha256({render_sql(values, 'task0')}) END AS prompt_sha FROM w2")
@@ -712,6 +745,7 @@ ORACLES = {
     "cache_replay": q_cache_replay(),
     "cache_lookup": q_cache_lookup(),
     "upsert_responses": q_upsert_responses(),
+    "store_answers": q_store_answers(),
     "audio_plan": q_audio_plan(),
     "clean_answers": q_clean_answers(),
     "speech_text": q_speech_text(),

@@ -148,6 +148,24 @@ def upsert_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("key", "text", "version")
 
 
+def store_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 -> T12 -> T16 -> U1, then T7 + T3: the index as the flows store it (cleaned answers, or each flow's default), merged
+    by key, with the text and the language that the speech of every stored answer is made from."""
+    log = _log(spark, sf_dir, shared=True).filter(F.col("reply").isNotNull())
+    camera, first = F.col("content_source") == R.SOURCE_CAMERA, F.col("intent") != "follow_up"
+    flow = F.when(camera & first, "camera_first").when(camera, "camera_follow_up").otherwise(F.col("intent"))
+    raw = I.salted(F.col("reply"), F.col("event_id") + 1, S.ANSWER_PHRASES, sep="")
+    x = log.withColumns({"flow": flow, "cleaned": clean_response(raw)})
+    answer = default_response(F.col("flow"), F.col("cleaned"), F.col("subject"), F.col("message"))
+    audio = stored_audio_path(F.col("key"), F.concat(F.lit("/tmp/tts/"), F.col("event_id").cast("string"), F.lit(".wav")), F.lit("store/audio"))
+    meta = F.struct("flow", "subject")
+    entries = x.select("key", answer.alias("text"), audio.alias("audio_path"), meta.alias("meta"), F.col("event_id").alias("version"), "conv_turn")
+    merged = cache.upsert_responses(entries.filter(F.col("conv_turn") < S.INDEX_CUTOFF_TURN),
+                                    entries.filter(F.col("conv_turn") >= S.INDEX_CUTOFF_TURN))
+    merged = merged.withColumn("speech_lang", speech_lang(F.col("meta.flow"), F.col("meta.subject"), F.col("text")))
+    return with_speech_text(merged, "text", "speech").select("key", "text", "audio_path", "version", "speech_lang", "speech")
+
+
 def audio_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T16 + T17: stored audio path and synthesis work list for the index."""
     idx = _index(spark, sf_dir)
@@ -367,18 +385,34 @@ def tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", kind.alias("kind"), tool_reply(kind, F.col("subject")).alias("reply"))
 
 
+def _with_texts(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Requests with what a prompt is made from: the chapter's or upload's text (J1: ``content``, ``status``, ...), and, in
+    camera mode, the document the session has stored by then (J3: ``doc_path``, ``document_text``)."""
+    up = I.uploads(spark, sf_dir)
+    texts = up.select("path", py_strip_text(decode_text(F.col("content"))["text"]).alias("text"))
+    resolved = docs.resolve_content(rows, I.content_catalog(spark, sf_dir), texts)
+    r, d = camera_documents(spark, sf_dir)
+    camera = r.filter(F.col("content_source") == R.SOURCE_CAMERA).select("session_id", "ts", "event_id")
+    seen = (asof.current_document(camera, d, doc_cols=("doc_path",)).select("event_id", F.col("doc.doc_path").alias("doc_path"))
+            .filter(F.col("doc_path").isNotNull()))
+    # only the stored documents' texts are made and shuffled
+    stored = texts.join(d.select(F.col("doc_path").alias("path")).distinct(), "path", "left_semi")
+    seen = seen.join(stored.select(F.col("path").alias("doc_path"), F.col("text").alias("document_text")), "doc_path", "left")
+    known = up.select(F.col("path").alias("file_path"), F.lit(True).alias("file_exists")).join(
+        r.select("file_path").distinct(), "file_path", "left_semi")
+    return resolved.join(seen, "event_id", "left").join(known, "file_path", "left")
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt of every routed request (offline-inference input)."""
-    r = _routed(spark, sf_dir)
-    task = (F.when(F.col("intent") == "greeting", F.lit("teaching_task"))
-            .when(F.col("intent") == "smart_first_response", F.lit("smart_response_task"))
-            .otherwise(F.lit("follow_up_task")))
-    task = F.when(F.col("content_source") == R.SOURCE_CAMERA, F.lit("document_analysis_task")).otherwise(task)
+    """The prompt of every routed request, with the texts it names (offline-inference input)."""
+    r = _with_texts(spark, sf_dir, _routed(spark, sf_dir))
+    task = _task(F.col("intent"), F.col("content_source"))
     values = {"subject": F.col("subject"), "chapter_number": F.col("chapter_no").cast("string"),
-              "chapter_content": F.lit(""), "student_query": F.col("cache_query"),
-              "student_question": F.col("message"), "document_text": F.lit("")}
-    return r.select("event_id", task.alias("task"), F.sha2(render_prompt(task, values), 256).alias("prompt_sha"),
-                    F.length(render_prompt(task, values)).alias("prompt_chars"))
+              "chapter_content": F.col("content"), "student_query": F.col("cache_query"),
+              "student_question": F.col("message"), "document_text": F.col("document_text")}
+    # a column of its own projection: rendered once, read twice
+    r = r.select("event_id", task.alias("task"), render_prompt(task, values).alias("prompt"))
+    return r.select("event_id", "task", F.sha2("prompt", 256).alias("prompt_sha"), F.length("prompt").alias("prompt_chars"))
 
 
 def _task(intent, source):
@@ -402,18 +436,19 @@ def answer_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every third stored answer has been synthesised already
     early = early.withColumn("audio_path", F.when(F.col("version") % 3 == 0, F.concat(F.lit("audio/"), F.col("key"), F.lit(".mp3"))))
     looked = cache.cache_lookup(log, cache.latest_entries(early))
-    up = I.uploads(spark, sf_dir)
-    up_text = up.select("path", py_strip_text(decode_text(F.col("content"))["text"]).alias("text"))
-    resolved = docs.resolve_content(looked, I.content_catalog(spark, sf_dir), up_text)
+    resolved = _with_texts(spark, sf_dir, looked)
     prompt = upload_prompt(F.col("intent"), F.col("content_source"), F.col("file_path"))
     # the camera flow refuses unsupported files before anything is generated
     camera_file = (F.col("content_source") == R.SOURCE_CAMERA) & (F.col("file_path") != "")
     refused = F.when(camera_file & (docs.admit_upload(F.col("file_path")) == "unsupported"), F.lit(R.UNSUPPORTED_UPLOAD_REPLY))
-    reply = F.coalesce(prompt, refused, F.col("status_message"))
+    # and one it can read no text from, unless the session has a document stored already
+    unread = F.when(camera_file & F.col("doc_path").isNull(),
+                    F.when(F.col("file_exists"), F.lit(R.NO_TEXT_UPLOAD_REPLY)).otherwise(F.lit(R.UPLOAD_ERROR_REPLY)))
+    reply = F.coalesce(prompt, refused, unread, F.col("status_message"))
     task = _task(F.col("intent"), F.col("content_source"))
     values = {"subject": F.col("subject"), "chapter_number": F.col("chapter_no").cast("string"),
               "chapter_content": F.col("content"), "student_query": F.col("cache_query"),
-              "student_question": F.col("message"), "document_text": F.lit("")}
+              "student_question": F.col("message"), "document_text": F.col("document_text")}
     action = (F.when(F.col("hit") & needs_audio(F.col("cached_text"), F.col("cached_audio")),
                      F.lit("synthesize_audio"))
               .when(F.col("hit"), F.lit("serve"))
@@ -459,6 +494,7 @@ QUERIES = {
     "cache_replay": cache_replay,
     "cache_lookup": cache_lookup,
     "upsert_responses": upsert_responses,
+    "store_answers": store_answers,
     "audio_plan": audio_plan,
     "clean_answers": clean_answers,
     "speech_text": speech,

@@ -4,6 +4,7 @@ the derived inputs are built to reach must fire at least once."""
 import pytest
 from pyspark.sql import functions as F
 
+from chalkline.functions import rules as R
 from chalkline.plans.queries import QUERIES
 from tests.conftest import SF01
 
@@ -27,7 +28,9 @@ def _values(spark, q, col):
     ("pick_ocr_text", "lang", {"hindi", "english", "combined"}),
     ("document_intake", "method", {"regular", "ocr"}),
     ("document_intake", "reply_is_error", {True, False}),
-    ("answer_worklist", "action", {"synthesize_audio", "reply_status", "generate"}),
+    ("answer_worklist", "action", {"serve", "synthesize_audio", "reply_status", "generate"}),
+    ("answer_worklist", "reply", {R.UPLOAD_ERROR_REPLY, R.UNSUPPORTED_UPLOAD_REPLY}),
+    ("store_answers", "speech_lang", {"hi", "en"}),
     ("resolve_content", "status", {"camera", "missing", "ok", "unsupported"}),
     ("quick_actions", "accepted", {True, False}),
     ("prompts", "task", {"teaching_task", "smart_response_task", "follow_up_task", "document_analysis_task"}),
@@ -41,6 +44,10 @@ def test_documents_and_replay_arms(spark):
     cd = QUERIES["current_document"](spark, SF01)
     assert cd.filter(F.col("doc_event_id").isNull()).count() > 0
     assert cd.filter(F.col("doc_event_id").isNotNull()).count() > 0
+    # a follow-up keeps the document that its session has stored
+    assert cd.filter(F.col("doc_event_id") < F.col("event_id")).count() > 0
+    pr = QUERIES["prompts"](spark, SF01).filter("task = 'document_analysis_task'")
+    assert pr.agg(F.max("prompt_chars") - F.min("prompt_chars")).first()[0] > 1000      # with and without a document's text
     rp = QUERIES["replay_turn"](spark, SF01)
     assert rp.filter(F.col("replay_text") == "").count() > 0 and rp.filter(F.col("replay_text") != "").count() > 0
     ca = QUERIES["clean_answers"](spark, SF01)
