@@ -65,6 +65,23 @@ def number_rows(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
             .drop(mid, part, place))
 
 
+def row_versions(rows: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``, which together with doc_id names one row: 0 where no other row has the doc_id, else (a doc_id that is
+    null or repeated) 1 and on, in the order of doc_id, the text's hash and, for exact repeats, the place in the input."""
+    again, text, place = (fresh(rows, c) for c in ("again", "hash", "input"))
+    found = rows.groupBy(F.col("doc_id").cast("long").alias(again)).agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(found.filter(f"n > 1 or {again} is null").select(again))
+    if repeated.isEmpty():
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(again))
+    # the place must not change between the passes over it: these rows are stored, the others are read where they lie
+    odd = materialize(rows.join(repeated, same, "left_semi").withColumns(
+        {text: F.xxhash64("text"), place: F.monotonically_increasing_id()}))
+    odd = number_rows(odd, ["doc_id", text, place], out).drop(text, place)
+    return rows.join(repeated, same, "left_anti").withColumn(out, F.lit(0).cast("long")).unionByName(
+        odd.withColumn(out, F.col(out) + 1))
+
+
 def permute(numbers: DataFrame, column: str, n: int, seed: int = SEED, walk: int = WALK) -> DataFrame:
     """Replaces the row numbers in ``column`` by their permuted places in 0..n-1."""
     a, b = radices(n)

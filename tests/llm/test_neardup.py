@@ -58,9 +58,16 @@ def test_keep_first(spark, empty_docs):
     text = " ".join(f"word{i}" for i in range(300))
     rows = [(3, text), (1, text), (2, text + " more"), (9, "something else entirely here"), (4, None), (5, ""), (None, text), (9, "something else entirely here")]
     kept = neardup.keep_first(with_clashes(docs_frame(spark, rows)))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 9, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 9]
     assert kept.columns == with_clashes(docs_frame(spark, rows)).columns
     assert neardup.keep_first(empty_docs).count() == 0
-    # documents without an id are one document, kept only where no other is near
+    # documents without an id stay where no other is near
     lone = neardup.keep_first(docs_frame(spark, [(None, "nobody else says this"), (1, "another thing is said here")]))
     assert lone.count() == 2
+
+
+def test_keep_first_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(9, a), (9, a), (9, b), (None, c), (None, c), (None, a), (None, None), (None, "")]
+    kept = neardup.keep_first(docs_frame(spark, rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("9", a), ("9", b), ("None", c), ("None", "")])
