@@ -3,16 +3,16 @@
 A line is the set of its lower-cased, white-space separated words. A line goes
 where an earlier one (by doc_id, version, then line number) has a Jaccard
 similarity of ``threshold`` or more with it, whether or not that earlier line
-itself stays. Texts under one doc_id are told apart by their hash, the version;
-it is 0 for a doc_id that has one row only.
+itself stays. Rows that share a doc_id, or have none, are told apart by a row
+number, the version; it is 0 for a doc_id that has one row only.
 
 Words are ordered by rarity: by the count of their hash bucket over the whole
-table (a table of fixed size), then by hash. Under any such order two similar
-sets share k words among each one's first n - ceil(t n) + k (k is 1, and 3 for
-lines of 48 words or more), and at the first of them the rest of both sets
-must still allow the overlap needed; lengths must fit; and the parity bits of
-two sets cannot differ in more places than the sets do. What passes these
-filters is verified on the whole sets.
+table (a table of fixed size, handed over as a scalar subquery), then by hash.
+Under any such order two similar sets share a word among each one's first
+n - ceil(t n) + 1, and at the first of them the rest of both sets must still
+allow the overlap needed; lengths must fit; and the parity bits of two sets (64,
+256 or 512, by their lengths) cannot differ in more places than the sets do.
+What passes these filters is verified on the whole sets.
 
 Lines of equal sets form one class, represented by the earliest, so copies of
 a line cost one row each. The posting lists of a line's rarest words first
@@ -20,27 +20,30 @@ meet only their earliest members; only lines that are left undecided meet all
 earlier members, so a group of near copies is not paired with itself.
 
 Defined results: a line without words always stays. A null text has no lines
-and stays null. Different texts under one doc_id, or without one, are judged
-each by itself, in the order of their hashes; rows that repeat both doc_id and
-text share their fate. A null doc_id comes first. Texts and lines of any length
-are read whole. An empty table gives no rows. Extra columns stay, whatever
-their names.
+and stays null. Rows under one doc_id, or without one, are judged each by
+itself, in the order of their texts' hashes, so of exactly repeated rows the
+first keeps its lines and the others lose theirs. A null doc_id comes first.
+Texts and lines of any length are read whole. An empty table gives no rows.
+Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.llm.common import fresh, materialize
+from chalkline.llm.shards import row_versions
 
 THRESHOLD = 0.8
 #: Hash buckets whose counts order the words.
 BUCKETS = 1 << 17
-#: Lines of so many words must share so many words of their prefixes.
-LONG_WORDS, LONG_SHARED = 48, 3
+#: Parity bits are kept in one long, from so many words on in four, and from so many in eight.
+WIDE_WORDS = ((100, 4), (400, 8))
+PARITY = [f"p{i}" for i in range(WIDE_WORDS[-1][1])]
 #: Rarest words of a line whose posting lists' earliest members it meets first.
 STAR_WORDS = 2
 #: Ids of at most this many rows (16 bytes each) are sent to all tasks; more are joined by a shuffle.
@@ -56,16 +59,6 @@ def doc_key(doc_id: str | Column) -> Column:
     return F.coalesce(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id, F.lit(NULL_ID).cast("long"))
 
 
-def versioned(docs: DataFrame, out: str) -> DataFrame:
-    """``docs`` with its rows' version: the hash of the text where the doc_id is null or has several rows, else 0."""
-    again = fresh(docs, "again")
-    repeated = materialize(docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(again))
-                           .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(again))
-    marked = docs.join(_small(repeated), docs["doc_id"].cast("long") == F.col(again), "left")
-    alone = F.col("doc_id").isNotNull() & F.col(again).isNull()
-    return marked.withColumn(out, F.when(alone, F.lit(0).cast("long")).otherwise(F.xxhash64("text"))).drop(again)
-
-
 def normal(text: Column) -> Column:
     """Lower-cased text whose only separators are spaces and line ends."""
     text = F.lower(text)
@@ -79,25 +72,22 @@ def bucket(h: Column) -> Column:
 
 
 def rarity_classes(docs: DataFrame) -> Column:
-    """An array literal: for each bucket twice the binary logarithm of its count, at most 127, in the top bits of a long."""
+    """An array, as a scalar subquery: for each bucket twice the binary logarithm of its count, at most 127, in the top
+    bits of a long. The one row it comes from has BUCKETS entries whatever the input."""
     text = F.replace(normal(F.col("text")), F.lit("\n"), F.lit(" "))
     counts = (docs.select(F.explode(F.split(text, " ")).alias("w")).filter("w <> ''")
-              .groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-              .select("b", F.least(F.floor(2 * F.log2("n")), F.lit(127)).cast("int").alias("c")))
-    # one short string of at most BUCKETS entries
-    found = counts.agg(F.array_join(F.transform(F.collect_list(F.struct("b", "c")), lambda x: F.concat_ws(":", x["b"], x["c"])), ",")).first()[0]
-    classes = [0] * BUCKETS
-    for entry in filter(None, (found or "").split(",")):
-        b, c = entry.split(":")
-        classes[int(b)] = int(c) << HASH_BITS
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+              .groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    counts = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    entry = F.struct("b", F.coalesce(F.least(F.floor(2 * F.log2("n")), F.lit(127)), F.lit(0)).cast("long").alias("c"))
+    classes = counts.agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    return materialize(classes.select(F.transform("x.c", lambda c: F.shiftleft(c, HASH_BITS)).alias("classes"))).scalar()
 
 
-def word_set(line: Column, classes: Column) -> Column:
-    """Sorted distinct words of a normal line as longs: rarity class, then 56 bits of the word's hash."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(classes, bucket(h)).bitwiseOR(
-        F.shiftrightunsigned(h, 64 - HASH_BITS))))
+def with_sets(lines: DataFrame, classes: Column) -> DataFrame:
+    """``lines`` with ``s`` for ``body``: its sorted distinct words as longs, rarity class first, then 56 bits of the hash."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("body", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return lines.withColumns({"hashes": hashes, "classes": classes}).select(*KEY, F.sort_array(F.transform(
+        "hashes", lambda h: F.get(F.col("classes"), bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)))).alias("s"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -105,8 +95,35 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key("doc_id").alias("d"), "v", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "body"))
 
 
-def shared_words(n: Column) -> Column:
-    return F.when(n >= LONG_WORDS, LONG_SHARED).otherwise(1)
+def parities(n: Column) -> dict[str, Column]:
+    """Parity bits of ``s`` by name: word x flips bit x mod 64 of the long (x div 64) mod width; unused longs are 0."""
+    def one(width: int, k: int) -> Column:
+        def flip(bits: Column, x: Column) -> Column:
+            flipped = bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+            return flipped if width == 1 else F.when(x.bitwiseAND(F.lit((width - 1) << 6)) == k << 6, flipped).otherwise(bits)
+        return F.aggregate("s", F.lit(0).cast("long"), flip)
+
+    out = {}
+    for k, name in enumerate(PARITY):
+        value = one(1, k) if k == 0 else F.lit(0).cast("long")
+        for words, width in WIDE_WORDS:
+            value = F.when(n >= words, one(width, k) if k < width else F.lit(0).cast("long")).otherwise(value)
+        out[name] = value
+    return out
+
+
+def _differing(a: dict[str, Column], b: dict[str, Column], least: Column) -> Column:
+    """Parity bits in which two sets differ, at the width of the shorter one (a wider one is folded to it)."""
+    bits = [a[p].bitwiseXOR(b[p]) for p in PARITY]
+
+    def at(width: int) -> Column:
+        folded = [reduce(Column.bitwiseXOR, bits[k::width]) for k in range(width)]
+        return reduce(Column.__add__, [F.bit_count(x) for x in folded])
+
+    out = at(1)
+    for words, width in WIDE_WORDS:
+        out = F.when(least >= words, at(width)).otherwise(out)
+    return out
 
 
 #: A posting row: document, version, line, number of words and place of the word (packed), parity bits.
@@ -125,9 +142,7 @@ def _fits(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
     earlier = (a["d"] < b["d"]) | (same & (a["v"] < b["v"])) | (same & (a["v"] == b["v"]) & (a["line"] < b["line"]))
     length = (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
     rest = F.least(n - a["size"].bitwiseAND(low), m - b["size"].bitwiseAND(low))
-    parity = F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= total - 2 * need
-    shared = shared_words(F.least(n, m))
-    return earlier & length & (rest >= need - (shared - 1)) & parity
+    return earlier & length & (rest >= need) & (_differing(a, b, F.least(n, m)) <= total - 2 * need)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -141,9 +156,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: Column, t: Fraction) -
     ids = materialize(ends.select("x.*").distinct())
     in_docs = _small(materialize(ids.select(F.col("d").alias("id")).distinct()))
     own = docs.join(in_docs, doc_key(docs["doc_id"]) == in_docs["id"], "left_semi")
-    # rows that repeat both doc_id and text have the same lines
-    found = lines_of(own).join(_small(ids), KEY).dropDuplicates(KEY)
-    sets = materialize(found.select(*KEY, word_set(F.col("body"), classes).alias("s")))
+    sets = materialize(with_sets(lines_of(own).join(_small(ids), KEY), classes))
     both = pairs
     for side in "ab":
         both = both.join(sets.select(*[F.col(c).alias(side + c) for c in KEY], F.col("s").alias("s" + side)), [side + c for c in KEY])
@@ -155,34 +168,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: Column, t: Fraction) -
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``d, v, line``: numbers of the lines that go (d is the doc_id, the smallest long where it is null; v the version)."""
-    return _removed(versioned(docs.select("doc_id", "text"), "v"), threshold)
+    return _removed(row_versions(docs.select("doc_id", "text"), "v"), threshold)
 
 
 def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     t = Fraction(str(threshold)).limit_denominator(1000)
     classes = rarity_classes(docs)
-    sets = lines_of(docs).select(*KEY, word_set(F.col("body"), classes).alias("s")).filter("size(s) > 0")
+    # a normal line has words where anything but spaces is left
+    sets = with_sets(lines_of(docs).filter(F.trim("body") != ""), classes)
     n = F.size("s")
-    prefix = n + F.floor(-(n * t.numerator) / F.lit(t.denominator)).cast("int") + shared_words(n)
-    parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = sets.select(*KEY, F.xxhash64("s").alias("set"), n.alias("n"), parity.alias("parity"),
+    prefix = n + F.floor(-(n * t.numerator) / F.lit(t.denominator)).cast("int") + 1
+    rows = sets.select(*KEY, F.xxhash64("s").alias("set"), n.alias("n"), *[p.alias(name) for name, p in parities(n).items()],
                        F.transform(F.slice("s", 1, prefix), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
-    # one row per class of equal sets; the others go (rows that repeat both doc_id and text are no others)
-    member = Window.partitionBy("set", "n", "parity").orderBy(*KEY)
-    ranked = materialize(rows.withColumns({"copy": F.row_number().over(member)} | {f"f{c}": F.first(c).over(member) for c in KEY})
-                         .drop("set"))
-    copies = ranked.filter("copy > 1 and (d <> fd or v <> fv or line <> fline)").select(*KEY)
-    own = ranked.filter("copy = 1").select(*KEY, "n", "parity", "prefix")
+    # one row per class of equal sets; the others go
+    member = Window.partitionBy("set", "n", "p0").orderBy(*KEY)
+    ranked = materialize(rows.withColumn("copy", F.row_number().over(member)).drop("set"))
+    copies = ranked.filter("copy > 1").select(*KEY)
+    own = ranked.filter("copy = 1").select(*KEY, "n", *PARITY, "prefix")
 
     def side(name: str) -> dict[str, Column]:
-        return {c: F.col(name + c) for c in (*KEY, "size", "parity")}
+        return {c: F.col(name + c) for c in (*KEY, "size", *PARITY)}
 
     # words of the posting lists are cut to 32 bits: what meets by chance fails the verification
     first = Window.partitionBy("w").orderBy(*KEY)
-    led = (own.select(F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("at", "w"), *KEY, "n", "parity")
-           .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), "parity")
-           .withColumns({f"a{c}": F.first(c).over(first) for c in (*KEY, "size", "parity")}))
+    led = (own.select(F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("at", "w"), *KEY, "n", *PARITY)
+           .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), *PARITY)
+           .withColumns({f"a{c}": F.first(c).over(first) for c in (*KEY, "size", *PARITY)}))
     starred = materialize(led.filter(_fits(side("a"), side(""), t))
                           .select("ad", "av", "aline", *[F.col(c).alias("b" + c) for c in KEY]).distinct())
     gone = materialize(_verified(starred, docs, classes, t))
@@ -190,26 +201,22 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     decided = _small(gone.select(*[F.col(c).alias("g" + c) for c in KEY]))
     marked = own.join(decided, (F.col("d") == F.col("gd")) & (F.col("v") == F.col("gv")) & (F.col("line") == F.col("gline")), "left")
     number = F.when(F.col("gd").isNull(), F.col("line")).otherwise(-1 - F.col("line"))
-    posting = (marked.select(F.posexplode("prefix").alias("at", "w"), "d", "v", number.alias("line"), "n", "parity")
-               .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), "parity").repartition("w"))
+    posting = (marked.select(F.posexplode("prefix").alias("at", "w"), "d", "v", number.alias("line"), "n", *PARITY)
+               .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), *PARITY).repartition("w"))
     a, b = side("a."), side("b.")
     a["line"] = F.when(a["line"] < 0, -1 - a["line"]).otherwise(a["line"])
     # asked of both sides at once, so that both read the same exchange
     undecided = (b["line"] >= 0) | (a["size"] < 0)
     met = posting.alias("a").join(posting.alias("b"), (F.col("a.w") == F.col("b.w")) & undecided & _fits(a, b, t))
-    least = F.least(F.shiftright(a["size"], 32), F.shiftright(b["size"], 32))
     ends = [x[c].alias(name + c) for name, x in (("a", a), ("b", b)) for c in KEY]
-    pair = [name + c for name in "ab" for c in KEY]
-    rest = materialize(met.select(*ends, shared_words(least).alias("least"))
-                       .groupBy(*pair, "least").agg(F.count(F.lit(1)).alias("shared"))
-                       .filter("shared >= least").select(*pair))
+    rest = materialize(met.select(*ends).distinct())
     return copies.unionByName(gone).unionByName(_verified(rest, docs, classes, t)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, lines: str = "lines", removed: str = "removed_lines") -> DataFrame:
     """``docs`` with its texts' remaining lines, and how many lines each text had and lost."""
     d, v, own, at, body = (fresh(docs, c) for c in ("d", "v", "version", "gone", "body"))
-    docs = versioned(docs, own)
+    docs = row_versions(docs, own)
     gone = _removed(docs.select("doc_id", "text", F.col(own).alias("v")), threshold)
     gone = materialize(gone.groupBy("d", "v").agg(F.sort_array(F.collect_set("line")).alias("gone")))
     gone = gone.select(F.col("d").alias(d), F.col("v").alias(v), F.col("gone").alias(at))

@@ -76,15 +76,27 @@ def test_messy(spark):
     check(spark, rows)
 
 
-def test_repeated_rows_share_their_fate(spark, empty_docs):
-    rows = [(1, "one line of words"), (1, "one line of words"), (2, "one line of words\nand one more"), (2, "zzz")]
-    out = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs_frame(spark, rows)).collect())
-    # lines at the same number of one id stay or go together, each row judged by the set that was compared
-    assert out[:2] == [(1, "one line of words")] * 2
-    assert (2, "and one more") in out
+def test_repeated_rows_keep_one_copy(spark, empty_docs):
+    rows = [(1, "one line of words"), (1, "one line of words"), (2, "one line of words\nand one more"), (2, "zzz"),
+            (None, "said without an id"), (None, "said without an id"), (None, None), (2, "zzz")]
+    out = [(r.doc_id, r.text, r.removed_lines) for r in linededup.dedup_lines(with_clashes(docs_frame(spark, rows))).collect()]
+    assert sorted(out, key=str) == sorted([
+        (1, "one line of words", 0), (1, "", 1), (2, "and one more", 1), (2, "zzz", 0), (2, "", 1),
+        (None, "said without an id", 0), (None, "", 1), (None, None, 0)], key=str)
     assert linededup.dedup_lines(empty_docs).count() == 0
 
 
+def test_parity_widths(spark):
+    """Near copies whose lengths lie on both sides of the widths' bounds, and long lines that only share rare words."""
+    rng = random.Random(10)
+    rows = []
+    for d, n in enumerate([99, 100, 110, 399, 400, 430, 1_200]):
+        base = [f"b{d}x{i}" for i in range(n)]
+        rows += [(4 * d, " ".join(base)), (4 * d + 1, " ".join(base[:-3])), (4 * d + 2, " ".join([*base[: n * 9 // 10], f"own{d}"])),
+                 (4 * d + 3, " ".join([*rng.sample(base, n // 2), *(f"else{d}x{i}" for i in range(n // 2))]))]
+    check(spark, rows)
+
+
 def test_texts_under_one_id_are_judged_each_by_itself(spark):
     rows = [(1, "one line of words"), (2, "one line of words\nand one more"), (2, "zzz"), (None, "first without id\nits own end"),
             (None, "second without id\nand one more"), (None, "common to both of them"), (None, "common to both of them\nlast of all")]
