@@ -11,7 +11,7 @@ table (a table of fixed size, handed over as a scalar subquery), then by hash.
 Under any such order two similar sets share a word among each one's first
 n - ceil(t n) + 1, and at the first of them the rest of both sets must still
 allow the overlap needed; lengths must fit; and the parity bits of two sets (64,
-256 or 512, by their lengths) cannot differ in more places than the sets do.
+for longer lines also 256 or 512) cannot differ in more places than the sets do.
 What passes these filters is verified on the whole sets.
 
 Lines of equal sets form one class, represented by the earliest, so copies of
@@ -41,9 +41,9 @@ from chalkline.llm.shards import row_versions
 THRESHOLD = 0.8
 #: Hash buckets whose counts order the words.
 BUCKETS = 1 << 17
-#: Parity bits are kept in one long, from so many words on in four, and from so many in eight.
+#: Beside the 64 parity bits of every line, lines of so many words have four longs of them, or eight.
 WIDE_WORDS = ((100, 4), (400, 8))
-PARITY = [f"p{i}" for i in range(WIDE_WORDS[-1][1])]
+PARITY = ["parity", "wide"]
 #: Rarest words of a line whose posting lists' earliest members it meets first.
 STAR_WORDS = 2
 #: Ids of at most this many rows (16 bytes each) are sent to all tasks; more are joined by a shuffle.
@@ -95,34 +95,31 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key("doc_id").alias("d"), "v", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line", "body"))
 
 
-def parities(n: Column) -> dict[str, Column]:
-    """Parity bits of ``s`` by name: word x flips bit x mod 64 of the long (x div 64) mod width; unused longs are 0."""
+def parities(n: Column) -> list[Column]:
+    """Parity bits of ``s``: word x flips bit x mod 64; in the wide form, of the long (x div 64) mod width."""
     def one(width: int, k: int) -> Column:
         def flip(bits: Column, x: Column) -> Column:
             flipped = bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
             return flipped if width == 1 else F.when(x.bitwiseAND(F.lit((width - 1) << 6)) == k << 6, flipped).otherwise(bits)
         return F.aggregate("s", F.lit(0).cast("long"), flip)
 
-    out = {}
-    for k, name in enumerate(PARITY):
-        value = one(1, k) if k == 0 else F.lit(0).cast("long")
-        for words, width in WIDE_WORDS:
-            value = F.when(n >= words, one(width, k) if k < width else F.lit(0).cast("long")).otherwise(value)
-        out[name] = value
-    return out
+    wide = F.lit(None).cast("array<bigint>")
+    for words, width in WIDE_WORDS:
+        wide = F.when(n >= words, F.array(*[one(width, k) for k in range(width)])).otherwise(wide)
+    return [one(1, 0).alias("parity"), wide.alias("wide")]
 
 
 def _differing(a: dict[str, Column], b: dict[str, Column], least: Column) -> Column:
     """Parity bits in which two sets differ, at the width of the shorter one (a wider one is folded to it)."""
-    bits = [a[p].bitwiseXOR(b[p]) for p in PARITY]
-
-    def at(width: int) -> Column:
-        folded = [reduce(Column.bitwiseXOR, bits[k::width]) for k in range(width)]
-        return reduce(Column.__add__, [F.bit_count(x) for x in folded])
+    def folded(x: dict[str, Column], width: int, k: int) -> Column:
+        most = WIDE_WORDS[-1][1]
+        rest = [F.coalesce(F.get(x["wide"], F.lit(i)), F.lit(0).cast("long")) for i in range(k + width, most, width)]
+        return reduce(Column.bitwiseXOR, rest, F.get(x["wide"], F.lit(k)))
 
-    out = at(1)
+    out = F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
     for words, width in WIDE_WORDS:
-        out = F.when(least >= words, at(width)).otherwise(out)
+        bits = [F.bit_count(folded(a, width, k).bitwiseXOR(folded(b, width, k))) for k in range(width)]
+        out = F.when(least >= words, reduce(Column.__add__, bits)).otherwise(out)
     return out
 
 
@@ -142,7 +139,10 @@ def _fits(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
     earlier = (a["d"] < b["d"]) | (same & (a["v"] < b["v"])) | (same & (a["v"] == b["v"]) & (a["line"] < b["line"]))
     length = (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
     rest = F.least(n - a["size"].bitwiseAND(low), m - b["size"].bitwiseAND(low))
-    return earlier & length & (rest >= need) & (_differing(a, b, F.least(n, m)) <= total - 2 * need)
+    most = total - 2 * need
+    # the 64 bits first: they turn most lines away before the wide ones are read
+    return length & earlier & (rest >= need) & (F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= most) & (
+        (F.least(n, m) < WIDE_WORDS[0][0]) | (_differing(a, b, F.least(n, m)) <= most))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -150,13 +150,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: Column, t: Fraction) -> DataFrame:
-    """``d, v, line`` of the later lines of ``pairs`` (ad, av, aline, bd, bv, bline) that are similar indeed."""
+def _sets(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
+    """``d, v, line, s`` of the lines that ``pairs`` (ad, av, aline, bd, bv, bline) name."""
     ends = pairs.select(F.explode(F.array(*[F.struct(*[F.col(side + c).alias(c) for c in KEY]) for side in "ab"])).alias("x"))
     ids = materialize(ends.select("x.*").distinct())
     in_docs = _small(materialize(ids.select(F.col("d").alias("id")).distinct()))
     own = docs.join(in_docs, doc_key(docs["doc_id"]) == in_docs["id"], "left_semi")
-    sets = materialize(with_sets(lines_of(own).join(_small(ids), KEY), classes))
+    return materialize(with_sets(lines_of(own).join(_small(ids), KEY), classes))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """``d, v, line`` of the later lines of ``pairs`` that are similar indeed."""
     both = pairs
     for side in "ab":
         both = both.join(sets.select(*[F.col(c).alias(side + c) for c in KEY], F.col("s").alias("s" + side)), [side + c for c in KEY])
@@ -178,10 +182,10 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     sets = with_sets(lines_of(docs).filter(F.trim("body") != ""), classes)
     n = F.size("s")
     prefix = n + F.floor(-(n * t.numerator) / F.lit(t.denominator)).cast("int") + 1
-    rows = sets.select(*KEY, F.xxhash64("s").alias("set"), n.alias("n"), *[p.alias(name) for name, p in parities(n).items()],
+    rows = sets.select(*KEY, F.xxhash64("s").alias("set"), n.alias("n"), *parities(n),
                        F.transform(F.slice("s", 1, prefix), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
     # one row per class of equal sets; the others go
-    member = Window.partitionBy("set", "n", "p0").orderBy(*KEY)
+    member = Window.partitionBy("set", "n", "parity").orderBy(*KEY)
     ranked = materialize(rows.withColumn("copy", F.row_number().over(member)).drop("set"))
     copies = ranked.filter("copy > 1").select(*KEY)
     own = ranked.filter("copy = 1").select(*KEY, "n", *PARITY, "prefix")
@@ -196,7 +200,7 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
            .withColumns({f"a{c}": F.first(c).over(first) for c in (*KEY, "size", *PARITY)}))
     starred = materialize(led.filter(_fits(side("a"), side(""), t))
                           .select("ad", "av", "aline", *[F.col(c).alias("b" + c) for c in KEY]).distinct())
-    gone = materialize(_verified(starred, docs, classes, t))
+    gone = materialize(_verified(starred, _sets(starred, docs, classes), t))
     # only what is left undecided meets every earlier member; lines that are decided have their number negated
     decided = _small(gone.select(*[F.col(c).alias("g" + c) for c in KEY]))
     marked = own.join(decided, (F.col("d") == F.col("gd")) & (F.col("v") == F.col("gv")) & (F.col("line") == F.col("gline")), "left")
@@ -209,8 +213,15 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     undecided = (b["line"] >= 0) | (a["size"] < 0)
     met = posting.alias("a").join(posting.alias("b"), (F.col("a.w") == F.col("b.w")) & undecided & _fits(a, b, t))
     ends = [x[c].alias(name + c) for name, x in (("a", a), ("b", b)) for c in KEY]
-    rest = materialize(met.select(*ends).distinct())
-    return copies.unionByName(gone).unionByName(_verified(rest, docs, classes, t)).distinct()
+    off = _differing(a, b, F.least(F.shiftright(a["size"], 32), F.shiftright(b["size"], 32)))
+    rest = materialize(met.select(*ends, off.alias("off")).distinct())
+    sets = _sets(rest, docs, classes)
+    # one similar line is enough: the nearest by parity first, and every other one for the lines it does not decide
+    later = ["b" + c for c in KEY]
+    nearest = materialize(rest.groupBy(*later).agg(F.min(F.struct("off", "ad", "av", "aline")).alias("x")).select("x.*", *later))
+    near = materialize(_verified(nearest.drop("off"), sets, t))
+    others = rest.join(near.select(*[F.col(c).alias("b" + c) for c in KEY]), later, "left_anti").drop("off")
+    return copies.unionByName(gone).unionByName(near).unionByName(_verified(others, sets, t)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, lines: str = "lines", removed: str = "removed_lines") -> DataFrame:
