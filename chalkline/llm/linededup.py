@@ -30,7 +30,6 @@ Extra columns stay, whatever their names.
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ from chalkline.llm.shards import row_versions
 THRESHOLD = 0.8
 #: Hash buckets whose counts order the words.
 BUCKETS = 1 << 17
-#: Beside the 64 parity bits of every line, lines of so many words have four longs of them, or eight.
+#: Beside the 64 parity bits of every line, lines of so many words have four longs of them, or twice as many.
 WIDE_WORDS = ((100, 4), (400, 8))
 PARITY = ["parity", "wide"]
 #: Rarest words of a line whose posting lists' earliest members it meets first.
@@ -110,16 +109,18 @@ def parities(n: Column) -> list[Column]:
 
 
 def _differing(a: dict[str, Column], b: dict[str, Column], least: Column) -> Column:
-    """Parity bits in which two sets differ, at the width of the shorter one (a wider one is folded to it)."""
-    def folded(x: dict[str, Column], width: int, k: int) -> Column:
-        most = WIDE_WORDS[-1][1]
-        rest = [F.coalesce(F.get(x["wide"], F.lit(i)), F.lit(0).cast("long")) for i in range(k + width, most, width)]
-        return reduce(Column.bitwiseXOR, rest, F.get(x["wide"], F.lit(k)))
+    """Parity bits in which two sets differ, at the width of the shorter one (a wider one is folded to it).
+
+    Array functions keep the code of the join that asks this small: written out bit by bit it outgrew what the JVM compiles.
+    """
+    def folded(x: Column, width: int) -> Column:
+        halves = F.zip_with(F.slice(x, 1, width), F.slice(x, width + 1, width), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > width, halves).otherwise(x)
 
     out = F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
     for words, width in WIDE_WORDS:
-        bits = [F.bit_count(folded(a, width, k).bitwiseXOR(folded(b, width, k))) for k in range(width)]
-        out = F.when(least >= words, reduce(Column.__add__, bits)).otherwise(out)
+        bits = F.zip_with(folded(a["wide"], width), folded(b["wide"], width), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        out = F.when(least >= words, F.aggregate(bits, F.lit(0), lambda x, y: x + y)).otherwise(out)
     return out
 
 
