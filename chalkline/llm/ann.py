@@ -15,7 +15,8 @@ vec_id and carries the k+1 smallest, all that a result can name, so a group of
 copies of any size costs as much as one vector.
 
 Defined results: vectors that are null, zero, or hold null, NaN or infinite
-components take no part, neither do null vec_ids. A vec_id that occurs again
+components take no part, neither do null vec_ids; all others do, however
+large or small (a power of two is taken out before squaring). A vec_id that occurs again
 counts once, with the smallest of its vectors in array order. Ties go to the
 smaller vec_id. Vectors of different lengths are never neighbours. With fewer
 candidates than k all are returned; an empty table, or one without queries,
@@ -56,6 +57,7 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
 def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     x = np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -137,6 +139,18 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~odd & F.exists(x, lambda v: v != 0)
 
 
+def scale(embedding: str) -> Column:
+    """A power of two near the largest component: dividing by it is exact and keeps squares inside a double."""
+    largest = F.array_max(F.transform(embedding, lambda x: F.abs(x.cast("double"))))
+    return F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double"))
+
+
+def dot(a: str, b: str, scale_a: str, scale_b: str) -> Column:
+    """Inner product of two vectors, each divided by its scale."""
+    products = F.zip_with(a, b, lambda x, y: (x.cast("double") / F.col(scale_a)) * (y.cast("double") / F.col(scale_b)))
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+
+
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """``vid, embedding, dim, ids``: one row per distinct usable vector, with its k+1 smallest vec_ids."""
     own = (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -158,9 +172,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = EP
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` (on vec_id) its k nearest other rows by cosine."""
     index = materialize(distinct_vectors(vectors, k))
     centres: dict[int, dict[int, float]] = {}
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    means = (index.select("dim", F.posexplode("embedding").alias("at", "x"), length.alias("length"))
-             .groupBy("dim", "at").agg(F.avg(F.col("x").cast("double") / F.col("length")).alias("mean")))
+    means = (index.withColumn("scale", scale("embedding"))
+             .withColumn("length", F.sqrt(dot("embedding", "embedding", "scale", "scale")))
+             .select("dim", F.posexplode("embedding").alias("at", "x"), "scale", "length")
+             .groupBy("dim", "at").agg(F.avg(F.col("x").cast("double") / F.col("scale") / F.col("length")).alias("mean")))
     for r in means.collect():                               # as many values as a vector has components
         centres.setdefault(r["dim"], {})[r["at"]] = r["mean"]
     middle = {d: [c[i] for i in range(d)] for d, c in centres.items()}
@@ -191,17 +206,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = EP
     floors = best.agg(F.when(F.count(F.lit(1)) > k, F.min("cosine") - ROUNDING).otherwise(-4.0).alias("floor"))
     found = meet(materialize(floors.select(F.col("qid").alias("vid"), "floor")))
 
-    def dot(a: str, b: str) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
     # of each query's k+1 best over all blocks, and what rounding might put among them
     last = F.nth_value("cosine", k + 1).over(Window.partitionBy("qid").orderBy(F.desc("cosine")).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing))
     found = found.withColumn("last", last).filter(F.col("last").isNull() | (F.col("cosine") >= F.col("last") - ROUNDING))
     scored = (found.select("qid", "vid").join(index.select("vid", "ids", F.col("embedding").alias("b")), "vid")
               .join(searched.select(F.col("vid").alias("qid"), F.col("embedding").alias("a")), "qid")
+              .withColumns({"sa": scale("a"), "sb": scale("b")})
               .select("qid", F.explode("ids").alias("vec_id"),
-                      (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score")))
+                      (dot("a", "b", "sa", "sb") / (F.sqrt(dot("a", "a", "sa", "sa")) * F.sqrt(dot("b", "b", "sb", "sb")))).alias("score")))
     nearest = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     short = scored.withColumn("rank", nearest).filter(F.col("rank") <= k + 1).drop("rank")
     again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -58,6 +58,16 @@ def test_copies_ties_and_unusable(spark):
     same(search(spark, rows, every=10, k=5, code_rows=16, query_rows=4), brute(unique, 10, 5))
 
 
+def test_very_large_and_small(spark):
+    rows = [(0, [1.0] * 4), (1, [1e200] * 4), (2, [1e-200] * 4), (3, [1e-310] * 4), (4, [1.7e308, 0.0, 0.0, 0.0]), (5, [-1e-200] * 4),
+            (50, [3e-320, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(df, F.col("vec_id") % 50 == 0, 6).collect()}
+    want = {(0, 1): 1, (0, 2): 1, (0, 3): 1, (0, 4): 0.5, (0, 50): 0.5, (0, 5): -1,
+            (50, 4): 1, (50, 0): 0.5, (50, 1): 0.5, (50, 2): 0.5, (50, 3): 0.5, (50, 5): -0.5}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_few_and_none(spark):
     same(search(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0])]), [(0, 1, 1, 1 / np.sqrt(2))])
     assert search(spark, [(0, [1.0, 0.0])]) == []
