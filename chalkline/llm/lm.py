@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 
 from chalkline.llm.common import materialize
 
-#: Bigrams: a third order doubles what is shuffled.
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-#: Words of a block (a task's memory is about 100 bytes for each), n-grams of a bucket.
-BLOCK_WORDS, BUCKET_GRAMS = 1_500_000, 2_000_000
+#: Words of a block (a task's memory is about 50 bytes for each and order), n-grams of a bucket.
+BLOCK_WORDS, BUCKET_GRAMS = 1_000_000, 2_000_000
 REMEMBERED_WORDS = 200_000
 
 _BLOCK = "block long, words long, doc_ids binary, sizes binary, vocabulary binary, ids binary"
@@ -56,13 +55,16 @@ _HASHES = _WordHashes()
 
 
 def _squeeze(x: np.ndarray) -> bytes:
+    """Compressed with all lowest bytes first: the higher ones are mostly zero."""
     import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _expand(data: bytes, dtype: str) -> np.ndarray:
     import zstandard
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:

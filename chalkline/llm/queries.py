@@ -178,15 +178,17 @@ ORACLES = {
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                               '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-        g AS (SELECT *, CASE WHEN i > 1 THEN lag(w) OVER (PARTITION BY doc_id ORDER BY i) END AS v FROM t),
+        g AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM t),
         c AS (
             SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
                    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+                   count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS c3,
                    count(*) OVER () - n AS others FROM g),
-        h AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS ch FROM c),
+        h AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS h1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM c),
         s AS (SELECT *, CASE WHEN c1 > 0 THEN c1 / greatest(others, 1)::DOUBLE ELSE 1 / (others + 1)::DOUBLE END AS s1 FROM h),
-        r AS (SELECT doc_id, sum(ln(CASE WHEN v IS NULL THEN s1 WHEN c2 > 0 THEN c2 / ch::DOUBLE ELSE 0.4 * s1 END)) AS ls
-              FROM s GROUP BY doc_id)
+        b AS (SELECT *, CASE WHEN v IS NULL THEN s1 WHEN c2 > 0 THEN c2 / h1::DOUBLE ELSE 0.4 * s1 END AS s2 FROM s),
+        r AS (SELECT doc_id, sum(ln(CASE WHEN u IS NULL THEN s2 WHEN c3 > 0 THEN c3 / h2::DOUBLE ELSE 0.4 * s2 END)) AS ls
+              FROM b GROUP BY doc_id)
         SELECT d.doc_id, len(ws)::BIGINT AS words, round(coalesce(ls, 0), 4) AS log_score,
                CASE WHEN len(ws) > 0 THEN round(ls / len(ws), 6) END AS mean_log_score
         FROM d LEFT JOIN r USING (doc_id)""",

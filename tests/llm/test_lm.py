@@ -42,6 +42,14 @@ def test_packed_hashes():
         assert (lm._unpack(*lm._pack(x)) == x).all()
 
 
+def test_squeezed_numbers():
+    import numpy as np
+    for dtype in ("<u4", "<u8"):
+        for x in ([], [7], [0, 1, 255, 256, (1 << 32) - 1]):
+            x = np.array(x, dtype=dtype)
+            assert (lm._expand(lm._squeeze(x), dtype) == x).all() and len(lm._expand(lm._squeeze(x), dtype)) == len(x)
+
+
 def test_empty_and_long(spark, empty_docs, messy):
     assert lm.score(empty_docs).count() == 0
     rows = {r.doc_id: r for r in lm.score(messy).collect() if r.doc_id in (2, 3, 10)}
