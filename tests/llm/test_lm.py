@@ -55,3 +55,33 @@ def test_empty_and_long(spark, empty_docs, messy):
     rows = {r.doc_id: r for r in lm.score(messy).collect() if r.doc_id in (2, 3, 10)}
     assert rows[2].words == rows[3].words == 0 and rows[2].log_score == 0
     assert rows[10].words == 30_000
+
+
+def test_blocks_lie_in_one_exchange(spark, sample):
+    """The counting and the scoring read the same stored blocks, which are not written a second time."""
+    out = lm.score(sample.select("doc_id", "text"), 3, 0.4, 20_000, 50_000)
+    checkpoints = out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert checkpoints == 0 and plan.count("ReusedExchange") == 1
+
+
+def test_a_block_with_other_rows_is_refused():
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+    from unittest.mock import patch
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"a b c", b"a b d"])], names=["doc_id", "text"])
+    with patch("pyspark.TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))):
+        block, = lm._block_batches(iter([batch]), 100)
+        other, = lm._block_batches(iter([batch.take(pa.array([1, 0]))]), 100)
+        short, = lm._block_batches(iter([batch.slice(1)]), 100)
+    grams, = lm._gram_batches(iter([block]), 2, 1)
+    grams = pa.Table.from_batches([grams])
+    is_total = np.array(grams["bucket"].to_pylist()) == lm.TOTALS
+    counted = pa.concat_tables([lm._count_bucket(grams.filter(pa.array(~is_total))), lm._count_bucket(grams.filter(pa.array(is_total)))])
+    for right in (block, other):
+        assert lm._score_block(pa.Table.from_batches([right]), counted, 2, 0.4)["words"].to_pylist() == [3, 3]
+    for left, right in ((short, counted), (block.slice(1), counted), (block, counted.slice(2))):
+        with pytest.raises(RuntimeError, match="other rows"):
+            lm._score_block(pa.Table.from_batches([left]), right, 2, 0.4)
