@@ -11,13 +11,13 @@ table (a table of fixed size, handed over as a scalar subquery), then by hash.
 Under any such order two similar sets share a word among each one's first
 n - ceil(t n) + 1, and at the first of them the rest of both sets must still
 allow the overlap needed; lengths must fit; and the parity bits of two sets (64,
-for longer lines also 256 or 512) cannot differ in more places than the sets do.
+for longer lines 128, 256 or 512) cannot differ in more places than the sets do.
 What passes these filters is verified on the whole sets.
 
 Lines of equal sets form one class, represented by the earliest, so copies of
-a line cost one row each. The posting lists of a line's rarest words first
+a line cost one row each. The posting lists of some words of a line first
 meet only their earliest members; only lines that are left undecided meet all
-earlier members, so a group of near copies is not paired with itself.
+earlier members, so most of a group of near copies is not paired with itself.
 
 Defined results: a line without words always stays. A null text has no lines
 and stays null. Rows under one doc_id, or without one, are judged each by
@@ -40,11 +40,14 @@ from chalkline.llm.shards import row_versions
 THRESHOLD = 0.8
 #: Hash buckets whose counts order the words.
 BUCKETS = 1 << 17
-#: Beside the 64 parity bits of every line, lines of so many words have four longs of them, or twice as many.
+#: Beside the 64 parity bits of every line, lines of so many words have the half of 128 bits whose fold these 64 are.
+HALF_WORDS = 40
+#: Lines of so many words have four longs of them, or twice as many.
 WIDE_WORDS = ((100, 4), (400, 8))
-PARITY = ["parity", "wide"]
-#: Rarest words of a line whose posting lists' earliest members it meets first.
-STAR_WORDS = 2
+PARITY = ["parity", "half", "wide"]
+#: Words of a line's prefix, evenly from the rarest to the last (edits of a near copy are mostly rare words), and for each
+#: of them so many of its posting list's earliest members, which the line meets first.
+STAR_WORDS, STAR_MEMBERS = 4, 4
 #: Ids of at most this many rows (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -105,11 +108,18 @@ def parities(n: Column) -> list[Column]:
     wide = F.lit(None).cast("array<bigint>")
     for words, width in WIDE_WORDS:
         wide = F.when(n >= words, F.array(*[one(width, k) for k in range(width)])).otherwise(wide)
-    return [one(1, 0).alias("parity"), wide.alias("wide")]
+    return [one(1, 0).alias("parity"), F.when(n >= HALF_WORDS, one(2, 1)).alias("half"), wide.alias("wide")]
 
 
-def _differing(a: dict[str, Column], b: dict[str, Column], least: Column) -> Column:
-    """Parity bits in which two sets differ, at the width of the shorter one (a wider one is folded to it).
+def _narrow(a: dict[str, Column], b: dict[str, Column], least: Column) -> Column:
+    """Of 64 parity bits, or 128 where the shorter set has so many, those in which two sets differ (of the 128 bits the
+    upper half is kept; the lower one is it and the fold)."""
+    fold, upper = a["parity"].bitwiseXOR(b["parity"]), a["half"].bitwiseXOR(b["half"])
+    return F.when(least >= HALF_WORDS, F.bit_count(upper) + F.bit_count(upper.bitwiseXOR(fold))).otherwise(F.bit_count(fold))
+
+
+def _wide(a: dict[str, Column], b: dict[str, Column], least: Column) -> Column:
+    """Parity bits in which two sets of WIDE_WORDS differ, at the width of the shorter one (a wider one is folded to it).
 
     Array functions keep the code of the join that asks this small: written out bit by bit it outgrew what the JVM compiles.
     """
@@ -117,10 +127,11 @@ def _differing(a: dict[str, Column], b: dict[str, Column], least: Column) -> Col
         halves = F.zip_with(F.slice(x, 1, width), F.slice(x, width + 1, width), lambda p, q: p.bitwiseXOR(q))
         return F.when(F.size(x) > width, halves).otherwise(x)
 
-    out = F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
+    out = None
     for words, width in WIDE_WORDS:
         bits = F.zip_with(folded(a["wide"], width), folded(b["wide"], width), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-        out = F.when(least >= words, F.aggregate(bits, F.lit(0), lambda x, y: x + y)).otherwise(out)
+        bits = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+        out = bits if out is None else F.when(least >= words, bits).otherwise(out)
     return out
 
 
@@ -140,10 +151,15 @@ def _fits(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
     earlier = (a["d"] < b["d"]) | (same & (a["v"] < b["v"])) | (same & (a["v"] == b["v"]) & (a["line"] < b["line"]))
     length = (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
     rest = F.least(n - a["size"].bitwiseAND(low), m - b["size"].bitwiseAND(low))
-    most = total - 2 * need
-    # the 64 bits first: they turn most lines away before the wide ones are read
-    return length & earlier & (rest >= need) & (F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= most) & (
-        (F.least(n, m) < WIDE_WORDS[0][0]) | (_differing(a, b, F.least(n, m)) <= most))
+    most, least = total - 2 * need, F.least(n, m)
+    # the narrow bits first: they turn most lines away before the wide ones are read
+    return (length & earlier & (rest >= need) & (_narrow(a, b, least) <= most)
+            & ((least < WIDE_WORDS[0][0]) | (_wide(a, b, least) <= most)))
+
+
+def star_words(prefix: Column) -> Column:
+    last = F.size(prefix) - 1
+    return F.array_distinct(F.array(*[F.get(prefix, F.floor(last * k / F.lit(STAR_WORDS - 1)).cast("int")) for k in range(STAR_WORDS)]))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -195,10 +211,12 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
         return {c: F.col(name + c) for c in (*KEY, "size", *PARITY)}
 
     # words of the posting lists are cut to 32 bits: what meets by chance fails the verification
-    first = Window.partitionBy("w").orderBy(*KEY)
-    led = (own.select(F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("at", "w"), *KEY, "n", *PARITY)
-           .select("w", *KEY, _packed(F.col("n"), F.col("at")).alias("size"), *PARITY)
-           .withColumns({f"a{c}": F.first(c).over(first) for c in (*KEY, "size", *PARITY)}))
+    # (the place of a star's word is left out: it bounds the overlap only at the first word that two sets share)
+    earliest = Window.partitionBy("w").orderBy(*KEY)
+    posted = (*KEY, "size", *PARITY)
+    led = (own.select(F.explode(star_words(F.col("prefix"))).alias("w"), *KEY, _packed(F.col("n"), F.lit(0)).alias("size"), *PARITY)
+           .withColumn("a", F.array(*[F.nth_value(F.struct(*posted), k + 1).over(earliest) for k in range(STAR_MEMBERS)]))
+           .withColumn("a", F.explode(F.array_compact("a"))).select("*", *[F.col(f"a.{c}").alias("a" + c) for c in posted]))
     starred = materialize(led.filter(_fits(side("a"), side(""), t))
                           .select("ad", "av", "aline", *[F.col(c).alias("b" + c) for c in KEY]).distinct())
     gone = materialize(_verified(starred, _sets(starred, docs, classes), t))
@@ -214,7 +232,8 @@ def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     undecided = (b["line"] >= 0) | (a["size"] < 0)
     met = posting.alias("a").join(posting.alias("b"), (F.col("a.w") == F.col("b.w")) & undecided & _fits(a, b, t))
     ends = [x[c].alias(name + c) for name, x in (("a", a), ("b", b)) for c in KEY]
-    off = _differing(a, b, F.least(F.shiftright(a["size"], 32), F.shiftright(b["size"], 32)))
+    least = F.least(F.shiftright(a["size"], 32), F.shiftright(b["size"], 32))
+    off = F.when(least < WIDE_WORDS[0][0], _narrow(a, b, least)).otherwise(_wide(a, b, least))
     rest = materialize(met.select(*ends, off.alias("off")).distinct())
     sets = _sets(rest, docs, classes)
     # one similar line is enough: the nearest by parity first, and every other one for the lines it does not decide

@@ -118,3 +118,36 @@ def test_generated_documents(spark, sample):
     rows = [(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()]
     got = sorted((str(r.doc_id), r.text) for r in linededup.dedup_lines(sample).collect())
     assert got == texts(rows, gone_lines(rows))
+
+
+def candidates(spark, monkeypatch, rows):
+    """Pairs of lines that the join of the posting lists finds (the frame with their distance in parity bits)."""
+    counts, stored = [], linededup.materialize
+
+    def watched(df):
+        out = stored(df)
+        if {"off", "ad", "bd"} <= set(out.columns):
+            counts.append(out.count())
+        return out
+    monkeypatch.setattr(linededup, "materialize", watched)
+    check(spark, rows)
+    return counts[0]
+
+
+def test_a_group_of_near_copies_is_not_paired_with_itself(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for d in range(240):
+        line = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 4)):
+            line[at] = f"new{rng.randrange(3_000)}"
+        rows.append((d, " ".join(line)))
+    assert candidates(spark, monkeypatch, rows) < 10 * len(rows)
+
+
+def test_unlike_lines_that_share_a_rare_word_are_told_apart_by_their_bits(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(1_500)]
+    rows = [(d, " ".join(["rare", *rng.sample(vocabulary, 94)])) for d in range(250)]
+    assert candidates(spark, monkeypatch, rows) < 10
