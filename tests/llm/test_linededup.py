@@ -151,3 +151,31 @@ def test_unlike_lines_that_share_a_rare_word_are_told_apart_by_their_bits(spark,
     vocabulary = [f"v{i}" for i in range(1_500)]
     rows = [(d, " ".join(["rare", *rng.sample(vocabulary, 94)])) for d in range(250)]
     assert candidates(spark, monkeypatch, rows) < 10
+
+
+def test_the_join_of_posting_lists_is_compiled_and_reads_one_exchange(spark, sample, monkeypatch):
+    """Its condition once asked array functions, which Spark only interprets: most of the query's CPU time."""
+    plans, stored = [], linededup.materialize
+
+    def watched(df):
+        if {"off", "ad", "bd"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df)
+    monkeypatch.setattr(linededup, "materialize", watched)
+    linededup.dedup_lines(sample)
+    joins = [line for line in plans[0].splitlines() if "SortMergeJoin" in line]
+    assert joins and not any(f in line for line in joins for f in ("lambda", "zip_with", "aggregate("))
+    # the index side's filter stays above the exchange of the posting rows
+    lines = plans[0].splitlines()
+    at = next(i for i, line in enumerate(lines) if "SPARK_PARTITION_ID" in line)
+    assert "REPARTITION_BY_COL" in lines[at + 1]
+
+
+def test_equal_lengths_and_lengths_apart_meet_by_the_short_prefix(spark):
+    """Pairs right at the threshold, the shorter one earlier or later, or both equally long."""
+    rows = []
+    for k, (n, m, shared) in enumerate([(8, 10, 8), (10, 8, 8), (9, 9, 8), (40, 50, 40), (50, 40, 40), (45, 45, 40), (160, 200, 160), (200, 160, 160), (9, 9, 7), (40, 51, 40)]):
+        both = [f"c{k}x{i}" for i in range(shared)]
+        rows += [(2 * k, " ".join([*both, *(f"a{k}x{i}" for i in range(n - shared))])), (2 * k + 1, " ".join([*(f"b{k}x{i}" for i in range(m - shared)), *both]))]
+    assert len(gone_lines(rows)) == 8
+    check(spark, rows)
