@@ -10,6 +10,11 @@ each query's k-th best similarity; then every vector whose upper bound reaches
 the floor is compared on its original, and a block's k+1 best go on. Their
 final scores are computed on the original vectors, in double precision.
 
+Code blocks lie in parts, and a query block is copied once for each part. The
+copies meet the parts in a merge join that is asked for by name: a plan's
+estimate does not see how often a block is copied, so Spark would broadcast
+gigabytes of copies through the driver.
+
 Equal vectors are searched once: their group is represented by its smallest
 vec_id and carries the k+1 smallest, all that a result can name, so a group of
 copies of any size costs as much as one vector.
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from chalkline.llm.common import materialize
 
@@ -41,10 +47,14 @@ EPSILON = 3.0
 CODE_ROWS, QUERY_ROWS = 4096, 512
 #: Best estimates of a block that are compared for each neighbour wanted, to find the floor.
 TRIED = 4
+#: So many parts have one code block each at least; above, a part has up to so many blocks.
+PARTS, PART_BLOCKS = 64, 16
+#: Share of a block's comparisons from which all of them are made, by a matrix product.
+DENSE = 1 / 32
 #: What rounding may differ between two ways to compute a cosine.
 ROUNDING = 1e-9
 
-_BLOCK = "dim int, block int, vids binary, codes binary, scalars binary, units binary"
+_BLOCK = "dim int, block int, vids binary, codes binary, scalars binary, vectors binary"
 _QUERIES = "dim int, qblock int, qids binary, queries binary, floors binary"
 
 
@@ -54,13 +64,18 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    x = np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
+def units(x: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length one."""
+    x = np.asarray(x, dtype=np.float64)
     x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _matrix(col: pa.ChunkedArray | pa.Array, dim: int, kind: str) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.asarray(col.flatten(), dtype=kind).reshape(-1, dim)
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits and (length, inner product with the centre, cosine to the code) of unit vectors."""
     r = x - centre
@@ -70,66 +85,103 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     return np.packbits(turned > 0, axis=1), np.stack([length, r @ centre, np.where(length > 0, cosine, 1)], 1).astype(np.float32)
 
 
-def _encode_block(key: tuple, table: pa.Table, centres: dict[int, list[float]], seed: int) -> pa.Table:
+def _encode_block(key: tuple, table: pa.Table, centres: dict[int, list[float]], seed: int, kind: str) -> pa.Table:
     dim = key[0].as_py()
-    units = _matrix(table["embedding"], dim)
-    codes, scalars = encode(units, np.array(centres[dim]), rotation(dim, seed))
+    vectors = _matrix(table["embedding"], dim, kind)
+    codes, scalars = encode(units(vectors), np.array(centres[dim]), rotation(dim, seed))
     vids = np.asarray(table["vid"], dtype=np.int64)
     return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
                      "vids": pa.array([vids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary()),
-                     "scalars": pa.array([scalars.tobytes()], pa.binary()), "units": pa.array([units.tobytes()], pa.binary())})
+                     "scalars": pa.array([scalars.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
 
 
-def _query_block(key: tuple, table: pa.Table) -> pa.Table:
+def _query_block(key: tuple, table: pa.Table, kind: str) -> pa.Table:
     dim = key[0].as_py()
     return pa.table({"dim": pa.array([dim], pa.int32()), "qblock": pa.array([key[1].as_py()], pa.int32()),
                      "qids": pa.array([np.asarray(table["vid"], dtype=np.int64).tobytes()], pa.binary()),
-                     "queries": pa.array([_matrix(table["embedding"], dim).tobytes()], pa.binary()),
+                     "queries": pa.array([_matrix(table["embedding"], dim, kind).tobytes()], pa.binary()),
                      "floors": pa.array([np.asarray(table["floor"], dtype=np.float64).tobytes()], pa.binary())})
 
 
+def code_side(codes: np.ndarray, scalars: np.ndarray, dim: int, epsilon: float) -> np.ndarray:
+    """Of every code the row that, multiplied with ``query_side``, gives its estimate; the last column gives the error bound."""
+    norm, with_centre, cosine = scalars.T
+    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+    slack = norm * epsilon * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine / np.sqrt(max(dim - 1, 1))
+    return np.concatenate([signs * (norm / cosine / np.sqrt(dim))[:, None], with_centre[:, None], slack[:, None]], 1).astype(np.float32)
+
+
+def query_side(queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Rows for ``code_side``, and at last what every query has in common with the centre."""
+    r = queries - centre
+    length = np.sqrt((r * r).sum(1, keepdims=True))
+    return np.concatenate([r @ turn.T, np.ones_like(length), length, (queries @ centre)[:, None]], 1).astype(np.float32)
+
+
 def bounds(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray,
            epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated cosine of every query (rows) with every coded vector (columns), and the estimate's error bound."""
-    dim = len(centre)
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    r = queries - centre
-    length = np.sqrt((r * r).sum(1))
-    turned = ((r / np.where(length > 0, length, 1)[:, None]) @ turn.T).astype(np.float32)
-    norm, with_centre, cosine = scalars.T
-    reach = length[:, None] * norm[None]
-    unit = (turned @ signs.T) / np.sqrt(dim) / cosine
-    slack = epsilon * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine / np.sqrt(max(dim - 1, 1))
+    return _bounds(query_side(queries, centre, turn), code_side(codes, scalars, len(centre), epsilon))
+
+
+def _bounds(asked: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a few float32 roundings on top, so that equal vectors stay inside their bounds
-    return (queries @ centre)[:, None] + with_centre + reach * unit, reach * slack + 1e-5
+    return asked[:, :-2] @ coded[:, :-1].T + asked[:, -1:], asked[:, -2:-1] * coded[None, :, -1] + np.float32(1e-5)
+
+
+def _upper(asked: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Estimate and error bound together."""
+    return asked[:, :-1] @ coded.T + (asked[:, -1:] + np.float32(1e-5))
+
+
+def _k_best(r: np.ndarray, c: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row its k best, with what rounding might put among them."""
+    order = np.lexsort((-exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    first = np.searchsorted(r, r)
+    last = np.minimum(first + k, np.searchsorted(r, r, "right")) - 1
+    keep = exact >= exact[last] - ROUNDING
+    return r[keep], c[keep], exact[keep]
 
 
-def _meet(batches, centres: dict[int, list[float]], seed: int, epsilon: float, k: int, final: bool):
+def _meet(batches, centres: dict[int, list[float]], seed: int, epsilon: float, k: int, final: bool, kind: str):
     """For each pair of blocks the k best of each query, among its best estimates or (final) among all whose upper bound reaches its floor."""
-    turns = {}
+    turns, held, part = {}, {}, None
     for batch in batches:
-        for row in batch.to_pylist():
-            dim = row["dim"]
-            turn = turns.setdefault(dim, rotation(dim, seed))
-            qids, floors = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["floors"], np.float64)
-            queries = np.frombuffer(row["queries"], np.float64).reshape(len(qids), dim)
-            vids = np.frombuffer(row["vids"], np.int64)
-            units = np.frombuffer(row["units"], np.float64).reshape(len(vids), dim)
-            about, slack = bounds(np.frombuffer(row["codes"], np.uint8).reshape(len(vids), -1),
-                                  np.frombuffer(row["scalars"], np.float32).reshape(-1, 3), queries, np.array(centres[dim]), turn, epsilon)
-            tried = min(TRIED * k, len(vids))
-            first = np.argpartition(-about, tried - 1, axis=1)[:, :tried]
-            out_q, out_v, out_s = [], [], []
-            for i, q in enumerate(queries):
-                chosen = np.nonzero(about[i] + slack[i] >= floors[i])[0] if final else first[i]
-                exact = units[chosen] @ q
-                if len(exact) > k:                          # with what rounding might put among them
-                    least = np.partition(exact, -k)[-k] - ROUNDING
-                    chosen, exact = chosen[exact >= least], exact[exact >= least]
-                out_q.append(np.full(len(chosen), qids[i]))
-                out_v.append(vids[chosen])
-                out_s.append(exact)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["qid", "vid", "cosine"])
+        data = {name: batch.column(name) for name in batch.schema.names}
+        for n in range(batch.num_rows):
+            dim, block = data["dim"][n].as_py(), data["block"][n].as_py()
+
+            def array(name: str, kind: str | type) -> np.ndarray:
+                return np.frombuffer(data[name][n].as_buffer(), kind)
+
+            centre, turn = np.array(centres[dim]), turns.setdefault(dim, rotation(dim, seed))
+            if part != (dim, data["part"][n].as_py()):       # the blocks of a part meet one query block after the other
+                part, held = (dim, data["part"][n].as_py()), {}
+            if block not in held:
+                vids = array("vids", np.int64)
+                held[block] = (vids.copy(), units(array("vectors", kind).reshape(len(vids), dim)),
+                               code_side(array("codes", np.uint8).reshape(len(vids), -1), array("scalars", np.float32).reshape(-1, 3), dim, epsilon))
+            vids, vectors, coded = held[block]
+            qids, floors = array("qids", np.int64), array("floors", np.float64)
+            queries = units(array("queries", kind).reshape(len(qids), dim))
+            asked = query_side(queries, centre, turn)
+            if final:
+                reached = _upper(asked, coded) >= np.nextafter(floors.astype(np.float32), np.float32(-8))[:, None]
+                r, c = np.nonzero(reached)
+                if len(r) > DENSE * reached.size:
+                    exact = (queries @ vectors.T)[r, c]
+                else:
+                    exact = np.einsum("ij,ij->i", queries[r], vectors[c])
+                near = exact >= floors[r]                   # k reach the floor, whatever rounding does
+                r, c, exact = r[near], c[near], exact[near]
+            else:
+                about, tried = _bounds(asked, coded)[0], min(TRIED * k, len(vids))
+                c = np.argpartition(-about, tried - 1, axis=1)[:, :tried]
+                r, exact = np.repeat(np.arange(len(qids)), tried), np.einsum("ij,ikj->ik", queries, vectors[c]).ravel()
+                c = c.ravel()
+            r, c, exact = _k_best(r, c, exact, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(vids[c]), pa.array(exact)], names=["qid", "vid", "cosine"])
 
 
 def usable(embedding: Column) -> Column:
@@ -180,9 +232,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = EP
         centres.setdefault(r["dim"], {})[r["at"]] = r["mean"]
     middle = {d: [c[i] for i in range(d)] for d, c in centres.items()}
 
+    kind = "f4" if index.schema["embedding"].dataType.elementType == FloatType() else "f8"
     coded, n_blocks = _in_blocks(index.select("vid", "embedding", "dim"), code_rows, "block")
     blocks = materialize(coded.groupBy("dim", "block").applyInArrow(
-        lambda key, t: _encode_block(key, t, middle, seed), _BLOCK))
+        lambda key, t: _encode_block(key, t, middle, seed, kind), _BLOCK))
+    n_parts = min(n_blocks, max(PARTS, -(-n_blocks // PART_BLOCKS)))
+    parts = blocks.withColumn("part", F.pmod("block", F.lit(n_parts)))
 
     # queries of equal vectors are searched once; a vec_id's own vector is found again by its value
     asked = (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -195,9 +250,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = EP
     def meet(floors: DataFrame | None) -> DataFrame:
         rows, _ = _in_blocks(searched, query_rows, "qblock")
         rows = rows.withColumn("floor", F.lit(0.0)) if floors is None else rows.join(floors, "vid")
-        q = rows.groupBy("dim", "qblock").applyInArrow(_query_block, _QUERIES)
-        met = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["dim", "block"])
-        return met.mapInArrow(partial(_meet, centres=middle, seed=seed, epsilon=epsilon, k=k + 1, final=floors is not None),
+        q = rows.groupBy("dim", "qblock").applyInArrow(lambda key, t: _query_block(key, t, kind), _QUERIES)
+        copies = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+        met = copies.hint("merge").join(parts.hint("merge"), ["dim", "part"])
+        return met.mapInArrow(partial(_meet, centres=middle, seed=seed, epsilon=epsilon, k=k + 1, final=floors is not None, kind=kind),
                               "qid long, vid long, cosine double")
 
     # k+1: the query's own vector is among the best

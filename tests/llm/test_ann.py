@@ -73,3 +73,22 @@ def test_few_and_none(spark):
     assert search(spark, [(0, [1.0, 0.0])]) == []
     assert search(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.5])]) == []
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    """They look as small as one copy to the planner, which would send all copies through the driver."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.standard_normal(16).tolist(), 0) for i in range(400)], SCHEMA)
+    found = ann.search(df, F.col("vec_id") % 5 == 0, 5, code_rows=4, query_rows=8)
+    assert found.count() == 80 * 5
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dim#" in plan and "BroadcastHashJoin [dim#" not in plan
+
+
+def test_parts_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PARTS", 3)
+    monkeypatch.setattr(ann, "PART_BLOCKS", 5)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(6).astype(np.float32).tolist()) for i in range(300)] + [(300 + i, rng.standard_normal(3).astype(np.float32).tolist()) for i in range(40)]
+    same(search(spark, rows, every=10, k=5, code_rows=8, query_rows=4), brute(rows, 10, 5))
