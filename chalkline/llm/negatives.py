@@ -11,7 +11,12 @@ what it holds. The descent is best-first, for a block of queries at a time: the
 node of the highest bound is opened, queries whose floor or window lies outside
 its bounds leave it, and the points reached are verified by their exact inner
 product. A query first visits its own tile, which gives it a floor (the k-th
-best score so far), then all others.
+best score so far), then all others. Queries of one vector and label (an
+anchor's windows) lie in one block and share their products and bounds.
+
+Tiles lie in parts, and a block is copied once for each part. The copies meet
+the parts in a merge join that is asked for by name: a plan's estimate does not
+see how often a block is copied, so Spark would broadcast all copies.
 
 Mining asks twice: for the best rows of the anchor's own label, then, for each
 positive's score, for the best rows of other labels inside the window
@@ -51,33 +56,50 @@ POSITIVES, NEGATIVES, SHARE = 5, 5, 0.8
 TILE_ROWS, PIVOTS, LEAF_ROWS, QUERY_ROWS = 4096, 1024, 32, 512
 #: Leaves of the highest bounds that are verified together.
 LEAVES = 16
+#: Scores that are compared with floors at once.
+SCORES = 1 << 20
+#: So many parts have one tile each at least; above, a part has up to so many tiles.
+PARTS, PART_TILES = 64, 16
 #: Ratio of the radii of two levels.
 BASE = 1.5
 LEAST, MOST = -(1 << 62), 1 << 62
 #: Scores below this are exact in double precision.
 EXACT = float(1 << 52)
+#: And these in single precision.
+EXACT_SINGLE = float(1 << 23)
 
 
 # ---- the tree of a tile
 
+def _largest(x: np.ndarray) -> float:
+    return max(-float(x.min(initial=0)), float(x.max(initial=0)))
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Integers in the fewest of 2, 4 and 8 bytes that hold them all."""
+    most = _largest(x)
+    return np.ascontiguousarray(x, dtype="i2" if most < 1 << 15 else "i4" if most < 1 << 31 else "i8")
+
+
 class Tree:
     """Nodes of a cover tree over integer points, in the order in which they are made; a node's children follow each other."""
 
     PARTS = [("point", "i4"), ("radius", "f8"), ("first", "i4"), ("last", "i4"), ("start", "i4"), ("stop", "i4"), ("order", "i4"),
-             ("cid", "i8"), ("vid", "i8"), ("label", "i8"), ("x", "i8"), ("top", "f8")]
+             ("cid", "i8"), ("vid", "i8"), ("label", "i8"), ("top", "f8")]
 
     def __init__(self, data: bytes):
-        sizes = np.frombuffer(data, "i8", len(self.PARTS))
+        sizes = np.frombuffer(data, "i8", len(self.PARTS) + 1)
         at = sizes.nbytes
         for (name, kind), size in zip(self.PARTS, sizes):
             setattr(self, name, np.frombuffer(data, kind, int(size) // np.dtype(kind).itemsize, at))
             at += int(size)
-        self.x = self.x.reshape(len(self.cid), -1)
+        self.x = np.frombuffer(data, f"i{sizes[-1]}", offset=at).reshape(len(self.cid), -1)
 
     def operands(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Queries and points whose matrix product is exact: doubles where every partial sum is, else longs."""
-        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * self.x.shape[1]
-        return (queries.astype(np.float64), self.x.astype(np.float64)) if most < EXACT else (queries, self.x)
+        """Queries and points whose matrix product is exact: singles or doubles where every partial sum is, else longs."""
+        most = _largest(queries) * _largest(self.x) * self.x.shape[1]
+        kind = np.float32 if most < EXACT_SINGLE else np.float64 if most < EXACT else np.int64
+        return queries.astype(kind), self.x.astype(kind)
 
     def bounds(self, score: np.ndarray, norm: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest inner product that anything below ``nodes`` (columns) can have with the queries (rows)."""
@@ -121,26 +143,48 @@ def build_tree(x: np.ndarray, cid: np.ndarray, vid: np.ndarray, label: np.ndarra
             nodes[at][3] = len(nodes)
         at += 1
     parts = dict(zip(("point", "radius", "first", "last", "start", "stop"), zip(*nodes)))
-    parts |= {"order": order, "cid": cid, "vid": vid, "label": label, "x": x, "top": [top]}
-    data = [np.ascontiguousarray(parts[name], dtype=kind).tobytes() for name, kind in Tree.PARTS]
-    return np.array([len(p) for p in data], "i8").tobytes() + b"".join(data)
+    parts |= {"order": order, "cid": cid, "vid": vid, "label": label, "top": [top]}
+    data, x = [np.ascontiguousarray(parts[name], dtype=kind).tobytes() for name, kind in Tree.PARTS], narrow(x)
+    return np.array([*map(len, data), x.itemsize], "i8").tobytes() + b"".join(data) + x.tobytes()
 
 
 class Block:
-    """Queries: vectors, labels, and the window that a score must lie in."""
-
-    def __init__(self, qid, label, low, high, x):
-        self.qid, self.label, self.low, self.high = (np.asarray(v, dtype=np.int64) for v in (qid, label, low, high))
-        self.x = np.asarray(x, dtype=np.int64).reshape(len(self.qid), -1)
+    """Queries: vectors, labels, and the window that a score must lie in. Neighbours of equal vector and label share one row of ``x``."""
+
+    def __init__(self, qid, label, low, high, x, of=None):
+        self.qid, label, self.low, self.high = (np.asarray(v, dtype=np.int64) for v in (qid, label, low, high))
+        x = np.asarray(x)
+        if of is None:
+            x = x.astype(np.int64).reshape(len(self.qid), -1)
+            new = np.ones(len(self.qid), bool)
+            new[1:] = (x[1:] != x[:-1]).any(1) | (label[1:] != label[:-1])
+            of, x = np.cumsum(new) - 1, x[new]
+        self.of, self.x, self.query_label = np.asarray(of, dtype=np.int64), x, label
+        #: of each row of x its first query, its number of queries and their label
+        self.first = np.searchsorted(self.of, np.arange(len(x)))
+        self.width = np.diff(np.append(self.first, len(self.of)))
+        self.label = label[self.first]
 
     def pack(self) -> bytes:
-        return np.concatenate([[len(self.qid)], self.qid, self.label, self.low, self.high, self.x.ravel()]).astype("i8").tobytes()
+        x = narrow(self.x)
+        sizes = [len(self.qid), len(x), x.itemsize]
+        return np.concatenate([sizes, self.qid, self.query_label, self.low, self.high, self.of]).astype("i8").tobytes() + x.tobytes()
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
-        flat = np.frombuffer(data, "i8")
-        n = int(flat[0])
-        return cls(*(flat[1 + i * n:1 + (i + 1) * n] for i in range(4)), flat[1 + 4 * n:])
+        n, m, size = np.frombuffer(data, "i8", 3).tolist()
+        flat = np.frombuffer(data, "i8", 5 * n, 24).reshape(5, n)
+        x = np.frombuffer(data, f"i{size}", offset=24 + flat.nbytes).reshape(m, -1)
+        return cls(*flat[:4], x, flat[4])
+
+
+def _first_k(q: np.ndarray, p: np.ndarray, s: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query's points the k best, by score and vid, and their places."""
+    order = np.lexsort((vid[p], -s, q))
+    q, p, s = q[order], p[order], s[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < k
+    return q[keep], p[keep], s[keep], place[keep]
 
 
 def descend(tree: Tree, block: Block, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
@@ -150,43 +194,63 @@ def descend(tree: Tree, block: Block, k: int, same: bool) -> tuple[np.ndarray, n
     floor, best = block.low.copy(), np.full((len(block.qid), k), LEAST)
     queries, candidates = tree.operands(block.x)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    seen = {"verified": 0, "all": len(block.qid) * len(tree.cid)}
+    seen = {"verified": 0, "all": len(block.x) * len(tree.cid)}
+    # of each vector the widest window that its queries leave; in the kind of the scores, in which all scores are exact
+    lowest, highest = np.minimum.reduceat(floor, block.first), np.maximum.reduceat(block.high, block.first)
+    kind = queries.dtype
 
     def verify(rows: np.ndarray, points: np.ndarray, score: np.ndarray) -> None:
-        good = (tree.label[points] == block.label[rows, None]) == same
-        good &= (score >= floor[rows, None]) & (score <= block.high[rows, None])
-        r, p = np.nonzero(good)
-        if not len(r):
+        seen["verified"] += score.size
+        step = max(1, SCORES // len(rows))
+        for at in range(0, len(points), step):
+            part = score[:, at:at + step]
+            r, p = np.nonzero(part >= lowest[rows].astype(kind)[:, None])
+            s, r, p = part[r, p].astype(np.int64), rows[r], points[at + p]
+            good = (s <= highest[r]) & ((tree.label[p] == block.label[r]) == same)
+            if good.any():
+                keep(r[good], p[good], s[good])
+
+    def keep(r: np.ndarray, p: np.ndarray, s: np.ndarray) -> None:
+        width = block.width[r]
+        nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        q, p, s = np.repeat(block.first[r], width) + nth, np.repeat(p, width), np.repeat(s, width)
+        good = (s >= floor[q]) & (s <= block.high[q])
+        q, p, s, place = _first_k(q[good], p[good], s[good], tree.vid, k)
+        if not len(q):
             return
-        found.append((rows[r], points[p], score[r, p].astype(np.int64)))
-        own = np.flatnonzero(good.any(1))
-        wide = np.where(good[own], score[own], LEAST).astype(np.int64)
-        best[rows[own]] = np.partition(np.concatenate([best[rows[own]], wide], 1), -k, axis=1)[:, -k:]
-        floor[rows[own]] = np.maximum(floor[rows[own]], best[rows[own]].min(1))
+        found.append((q, p, s))
+        own, at = np.unique(q, return_inverse=True)
+        wide = np.full((len(own), k), LEAST)
+        wide[at, place] = s
+        best[own] = np.partition(np.concatenate([best[own], wide], 1), -k, axis=1)[:, -k:]
+        floor[own] = np.maximum(floor[own], best[own].min(1))
+        lowest[:] = np.minimum.reduceat(floor, block.first)
 
     def offer(rows: np.ndarray, nodes: np.ndarray) -> None:
-        score = queries[rows] @ candidates[tree.point[nodes]].T
         single = (tree.last[nodes] == tree.first[nodes]) & (tree.stop[nodes] - tree.start[nodes] == 1)
         if single.any():                                    # nothing below but the point itself
-            verify(rows, tree.point[nodes[single]], score[:, single])
-            seen["verified"] += len(rows) * int(single.sum())
-        low, high = tree.bounds(score, norm[rows], nodes)
-        stays = (high >= floor[rows, None]) & (low <= block.high[rows, None]) & ~single
+            points = tree.point[nodes[single]]
+            verify(rows, points, queries[rows] @ candidates[points].T)
+        nodes = nodes[~single]
+        if not len(nodes):
+            return
+        low, high = tree.bounds((queries[rows] @ candidates[tree.point[nodes]].T).astype(np.float64), norm[rows], nodes)
+        stays = (high >= lowest[rows, None]) & (low <= highest[rows, None])
         for j in np.flatnonzero(stays.any(0)):
             on = stays[:, j]
             heapq.heappush(heap, (-float(high[on, j].max()), int(nodes[j]), rows[on], high[on, j]))
 
     heap: list[tuple[float, int, np.ndarray, np.ndarray]] = []
-    offer(np.arange(len(block.qid)), np.zeros(1, np.int64))
+    offer(np.arange(len(block.x)), np.zeros(1, np.int64))
     while heap:
-        asked, points = np.zeros(len(block.qid), bool), []
+        asked, points = np.zeros(len(block.x), bool), []
         while heap and len(points) < LEAVES:
             node = heap[0][1]
             inner = tree.last[node] > tree.first[node]
             if inner and points:
                 break
             _, _, rows, high = heapq.heappop(heap)
-            rows = rows[high >= floor[rows]]
+            rows = rows[high >= lowest[rows]]
             if not len(rows):
                 continue
             if inner:
@@ -197,17 +261,11 @@ def descend(tree: Tree, block: Block, k: int, same: bool) -> tuple[np.ndarray, n
         if points:
             rows, together = np.flatnonzero(asked), np.concatenate(points)
             verify(rows, together, queries[rows] @ candidates[together].T)
-            seen["verified"] += len(rows) * len(together)
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, seen
     q, p, s = (np.concatenate(v) for v in zip(*found))
-    keep = s >= floor[q]
-    q, p, s = q[keep], p[keep], s[keep]
-    order = np.lexsort((tree.vid[p], -s, q))
-    q, p, s = q[order], p[order], s[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[place < k], p[place < k], s[place < k], seen
+    return *_first_k(q, p, s, tree.vid, k)[:3], seen
 
 
 # ---- rows, classes and tiles
@@ -281,6 +339,7 @@ def build_tiles(classes: DataFrame, tile_rows: int = TILE_ROWS, pivots: int = PI
 # ---- search
 
 def _block_row(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by([("own", "ascending"), ("qid", "ascending")])     # a vector's queries follow each other
     dim = table["dim"][0].as_py()
     x = np.asarray(table["x"].combine_chunks().flatten(), dtype=np.int64)
     block = Block(*(np.asarray(table[c], dtype=np.int64) for c in ("qid", "label", "low", "high")), x)
@@ -290,7 +349,7 @@ def _block_row(key: tuple, table: pa.Table) -> pa.Table:
 def _visit(batches: Iterator[pa.RecordBatch], k: int, same: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data, packed in zip(batch.column(0), batch.column(1)):
-            tree, block = Tree(data.as_py()), Block.unpack(packed.as_py())
+            tree, block = Tree(data.as_buffer()), Block.unpack(packed.as_buffer())
             q, p, s, _ = descend(tree, block, k, same)
             yield pa.RecordBatch.from_arrays([pa.array(block.qid[q]), pa.array(tree.cid[p]), pa.array(tree.vid[p]), pa.array(s)],
                                              names=["qid", "cid", "vid", "score"])
@@ -302,26 +361,33 @@ def best(rows: DataFrame, key: str | list[str], k: int, order: str = "vid") -> D
 
 
 def search(tiles: DataFrame, spans: dict, queries: DataFrame, k: int, same: bool, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """``qid, cid, vid, score``: each query's (qid, dim, x, label, low, high, home) k best classes in its window."""
+    """``qid, cid, vid, score``: each query's (qid, dim, x, label, low, high, home, own) k best classes in its window.
+    ``own``: the same for queries of one vector and label."""
     packed = "dim int, place long, block binary"
+    columns = ["qid", "dim", "x", "label", "low", "high", "own"]
 
-    def visit(blocks: DataFrame) -> DataFrame:
-        met = tiles.select("tile", "tree").join(blocks, F.col("tile") == F.col("at")).select("tree", "block")
-        return met.mapInArrow(partial(_visit, k=k, same=same), "qid long, cid long, vid long, score long")
+    def visit(blocks: DataFrame, tiles: DataFrame, at: str) -> DataFrame:
+        # by name, see above; the tiles of a part are held while its blocks pass
+        met = blocks.hint("merge").join(tiles.select("tree", F.col(at).alias("with")).hint("merge"), F.col("at") == F.col("with"))
+        return met.select("tree", "block").mapInArrow(partial(_visit, k=k, same=same), "qid long, cid long, vid long, score long")
 
-    columns = ["qid", "dim", "x", "label", "low", "high"]
-    # a tile is home to as many queries as it has rows at most
+    # a tile is home to as many vectors as it has rows at most
     homes = queries.select(*columns, "home").groupBy("home").applyInArrow(_block_row, packed)
-    first = materialize(best(visit(homes.withColumnRenamed("place", "at")), "qid", k).drop("rank"))
+    first = materialize(best(visit(homes.withColumnRenamed("place", "at"), tiles, "tile"), "qid", k).drop("rank"))
     floors = first.groupBy(F.col("qid").alias("of")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     known = queries.join(floors, F.col("qid") == F.col("of"), "left").withColumn("low", F.greatest("low", F.coalesce("floor", F.lit(LEAST))))
-    n_blocks = max(1, -(-queries.count() // query_rows))
-    place = F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) + F.col("dim") * F.lit(n_blocks)
+    n_blocks = max(1, -(-queries.select("own").distinct().count() // query_rows))
+    place = F.pmod(F.xxhash64("own"), F.lit(n_blocks)) + F.col("dim") * F.lit(n_blocks)
     blocks = known.select(*columns, place.cast("long").alias("place")).groupBy("place").applyInArrow(_block_row, packed)
-    span = F.create_map(*[F.lit(v) for dim, ab in spans.items() for v in (dim, F.array(*[F.lit(int(x)) for x in ab]))])[F.col("dim")]
-    everywhere = blocks.withColumn("at", F.explode(F.sequence(F.get(span, F.lit(0)).cast("long"), F.get(span, F.lit(1)).cast("long") - 1)))
+    # the tiles of a dim follow each other, so those of a part nearly all have one length
+    n_tiles = max(b for _, b in spans.values())
+    per_part = max(1, min(PART_TILES, n_tiles // PARTS))
+    parts = tiles.withColumn("part", F.floor(F.col("tile") / per_part) + F.col("dim") * F.lit(-(-n_tiles // per_part)))
+    widths = {dim: [int(a) // per_part + dim * -(-n_tiles // per_part), int(b - 1) // per_part + dim * -(-n_tiles // per_part)] for dim, (a, b) in spans.items()}
+    span = F.create_map(*[F.lit(v) for dim, ab in widths.items() for v in (dim, F.array(*[F.lit(x).cast("long") for x in ab]))])[F.col("dim")]
+    everywhere = blocks.withColumn("at", F.explode(F.sequence(F.get(span, F.lit(0)), F.get(span, F.lit(1)))))
     # the second visit finds the home tile's rows again
-    return best(visit(everywhere).unionByName(first).distinct(), "qid", k).drop("rank")
+    return best(visit(everywhere, parts, "part").unionByName(first).distinct(), "qid", k).drop("rank")
 
 
 def mine(vectors: DataFrame, is_anchor: Column, label: Column | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES,
@@ -348,7 +414,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column | None = None, pos
         each = found.join(members, F.col("cid") == F.col("class")).select("qid", "score", F.explode("ids").alias("vid"))
         return best(each, "qid", k)
 
-    windows = asked.withColumns({"low": F.lit(LEAST).cast("long"), "high": F.lit(MOST).cast("long")})
+    windows = asked.withColumns({"low": F.lit(LEAST).cast("long"), "high": F.lit(MOST).cast("long"), "own": F.col("qid")})
     near = materialize(expanded(search(tiles, spans, windows, positives + 1, True, query_rows), positives + 1).drop("rank"))
     mates = anchors.join(near, "qid").filter("anchor_id <> vid")
     mates = materialize(best(mates, "anchor_id", positives).select("anchor_id", F.col("qid").alias("aid"), F.col("vid").alias("positive_id"),
@@ -359,7 +425,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column | None = None, pos
     spots = mates.filter("positive_score >= 0").select("aid", F.col("positive_score").alias("high")).distinct()
     spots = materialize(spots.withColumn("wid", F.monotonically_increasing_id()))
     windows = spots.withColumn("positive_score", F.col("high")).withColumn("low", low).join(asked.withColumnRenamed("qid", "own"), F.col("aid") == F.col("own"))
-    windows = materialize(windows.select(F.col("wid").alias("qid"), "dim", "x", "label", "low", "high", "home"))
+    windows = materialize(windows.select(F.col("wid").alias("qid"), "dim", "x", "label", "low", "high", "home", "own"))
     hard = expanded(search(tiles, spans, windows, negatives, False, query_rows), negatives)
     hard = hard.select(F.col("qid").alias("wid"), "rank", F.col("vid").alias("negative_id"), F.col("score").alias("negative_score"))
     found = mates.join(spots.select("wid", F.col("aid").alias("of"), "high"), (F.col("aid") == F.col("of")) & (F.col("positive_score") == F.col("high")))

@@ -94,3 +94,43 @@ def test_tree_covers_and_skips():
         want = own[np.lexsort((own, -scores[i, own]))][:5]
         assert p[q == i].tolist() == want.tolist() and s[q == i].tolist() == scores[i, want].tolist()
     assert seen["verified"] < 0.6 * seen["all"]
+
+
+def test_windows_of_a_vector_share_its_products():
+    """Five windows of each vector cost no more products than one, also where points without clusters leave little to skip."""
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.standard_normal((700, 24)) / 5).astype(np.int64)
+    label, vid = rng.integers(0, 3, 700), rng.permutation(700)
+    tree = negatives.Tree(negatives.build_tree(x, np.arange(700), vid, label, float(np.sqrt((x * x).sum(1).max()))))
+    asked = np.repeat(np.arange(40), 5)
+    scores = x[:40] @ x.T
+    high = np.sort(np.where(label[:40, None] == label, scores, negatives.LEAST), 1)[:, -6:-1][:, ::-1].ravel()
+    low = (4 * high + 4) // 5
+    block = negatives.Block.unpack(negatives.Block(np.arange(200), label[asked], low, high, x[asked]).pack())
+    q, p, s, seen = negatives.descend(tree, block, 5, False)
+    for i, a in enumerate(asked):
+        good = np.flatnonzero((label != label[a]) & (scores[a] >= low[i]) & (scores[a] <= high[i]))
+        want = good[np.lexsort((vid[good], -scores[a, good]))][:5]
+        assert p[q == i].tolist() == want.tolist() and s[q == i].tolist() == scores[a, want].tolist()
+    assert seen["verified"] <= 40 * 700
+
+
+@pytest.mark.parametrize("most", [5, 40_000, 1 << 40])
+def test_integers_of_any_width_are_kept(most):
+    x = np.array([[most, -3], [-most, 0], [1, 2]])
+    tree = negatives.Tree(negatives.build_tree(x, np.arange(3), np.arange(3), np.zeros(3, int), 2.0 * most))
+    block = negatives.Block.unpack(negatives.Block([7, 8, 9], [0, 0, 1], [1, 2, 3], [4, 5, 6], x[[0, 0, 0]]).pack())
+    assert tree.x.tolist() == x.tolist() and block.x.tolist() == [x[0].tolist()] * 2
+    assert block.of.tolist() == [0, 0, 1] and block.label.tolist() == [0, 1] and block.width.tolist() == [2, 1]
+    assert block.qid.tolist() == [7, 8, 9] and block.low.tolist() == [1, 2, 3] and block.high.tolist() == [4, 5, 6]
+
+
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    """They look as small as one copy to the planner, which would send all copies through the driver."""
+    monkeypatch.setattr(negatives, "PARTS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist(), i % 3) for i in range(400)]
+    found = negatives.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, **SMALL | {"tile_rows": 20})
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [at#" in plan and "Join [tile#" not in plan
